@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from waymark.llm.packing import op5_packing
 from waymark.llm.sharding import op6_sharding
+from waymark.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op6_sharding)}
 ORACLE_SQL: dict[str, str] = {}
