@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from waymark.llm.langid import op7_langid
 from waymark.llm.packing import op5_packing
 from waymark.llm.sharding import op6_sharding
 from waymark.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op6_sharding, op7_langid)}
 ORACLE_SQL: dict[str, str] = {}
