@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from waymark.llm.decontaminate import op9_decontaminate
 from waymark.llm.langid import op7_langid
 from waymark.llm.lempelziv import op8_lempelziv
 from waymark.llm.packing import op5_packing
 from waymark.llm.sharding import op6_sharding
 from waymark.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op6_sharding, op7_langid, op8_lempelziv)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op6_sharding, op7_langid, op8_lempelziv, op9_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
