@@ -21,9 +21,11 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import literal_table, settle, table
 
-TOKENIZER, MAX_TOKENS, SALTS, MEMORY_WORDS, LONG_WORD = "word_bpe_49k.json", 2048, 64, 300_000, 64
+TOKENIZER, MAX_TOKENS, SALTS, MEMORY_WORDS, LONG_WORD = "word_bpe_49k.json", 2048, 64, 600_000, 64
 
 
 @dataclass(frozen=True)
@@ -49,37 +51,90 @@ class Capacity:
         return np.array([self.tokens, self.documents, self.attention], dtype=np.int64)
 
 
+#: Texts of these characters only fall into the tokenizer's own pieces at fixed places: runs of letters,
+#: single digits and runs of signs. An apostrophe (contractions) or "<" (special tokens) may not occur.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff0-9!-&(-/:;=-@\[-`{-~ \t-\r]*")
+UNITS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+WORDS = re.compile(r"[^ \t-\r]+")
+RAW = " "  # begins the key of a word that is encoded as it is
+
+
 class WordEncoder:
-    """Ids of whole texts, as little-endian 32-bit numbers, from remembered words."""
+    """Ids of whole texts, as little-endian 32-bit numbers, from remembered pieces.
 
-    def __init__(self, path: str | None = None):
+    White space always parts the tokenizer's pieces, so a text's ids are those of its words in turn.
+    Plain texts and words are split on into the tokenizer's pieces, and new ones are encoded many at a
+    time: each piece ends in the one id that carries the end-of-word mark. Other words are encoded as
+    they are. Memory is bounded: it is emptied beyond ``MEMORY_WORDS`` pieces, and long ones do not stay.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if path is None:
-            import public_tokenizers
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """The keys of a text's pieces in turn."""
+        if PLAIN.fullmatch(text):
+            return UNITS.findall(text.lower())
+        out: list[str] = []
+        for word in WORDS.findall(text):
+            if PLAIN.fullmatch(word):
+                out += UNITS.findall(word.lower())
+            else:
+                out.append(RAW + word)
+        return out
+
+    def _learn(self, missing: set[str], at_once: int = 64) -> None:
+        raw = [u for u in missing if u[0] == RAW]
+        for unit, found in zip(raw, self.tokenizer.encode_batch_fast([u[1:] for u in raw], add_special_tokens=False), strict=True):
+            self.known[unit] = np.array(found.ids, dtype="<u4").tobytes()
+        units = [u for u in missing if u[0] != RAW]
+        lines = [" ".join(units[k : k + at_once]) for k in range(0, len(units), at_once)]
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            own = units[k * at_once : (k + 1) * at_once]
+            if len(ends) != len(own):
+                raise ValueError("the tokenizer does not end each piece with one end-of-word id")
+            data, low = ids.tobytes(), 0
+            for unit, high in zip(own, (4 * ends).tolist(), strict=True):
+                self.known[unit] = data[low:high]
+                low = high
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [self.pieces(t) for t in texts]
+        missing = set(chain.from_iterable(split))
+        if len(self.known) > MEMORY_WORDS:
+            self.known.clear()
+        known = self.known
+        missing.difference_update(known)
+        self._learn(missing)
+        for units in split:
+            yield b"".join(map(known.__getitem__, units))
+        for unit in missing:
+            if len(unit) > LONG_WORD:
+                del known[unit]
+
 
-            path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer, self.known = Tokenizer.from_file(str(path)), {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
-    def _ids(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch(words, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        # Only ASCII white space parts words here; any other is left to the tokenizer.
-        words = text.encode("utf-8", "replace").split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            missing = list({w for w in words if w not in known})
-            if len(known) > MEMORY_WORDS:
-                known.clear()
-                missing = list(set(words))
-            found = dict(zip(missing, self._ids([w.decode("utf-8") for w in missing]), strict=True))
-            known.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
-            return b"".join([found[w] if w in found else known[w] for w in words])
+def encoder(path: str | None = None) -> WordEncoder:
+    """The encoder of this worker, kept over its tasks."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    if str(path) not in _ENCODERS:
+        _ENCODERS[str(path)] = WordEncoder(str(path))
+    return _ENCODERS[str(path)]
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -89,11 +144,12 @@ def tokenize_pieces(df: DataFrame, tokenizer: str | None = None, max_tokens: int
     """The pieces of all documents; ``with_ids`` adds the ids themselves as ``ids array<int>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.zeros(1, dtype="<u4").tobytes()
+        words, end = encoder(tokenizer), np.zeros(1, dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[start : start + 4 * max_tokens]
                     row = (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, dtype="<i4") if with_ids else None)
