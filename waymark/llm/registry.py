@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from waymark.llm.decontaminate import op9_decontaminate
+from waymark.llm.htmltext import op10_htmltext
 from waymark.llm.langid import op7_langid
 from waymark.llm.lempelziv import op8_lempelziv
 from waymark.llm.packing import op5_packing
 from waymark.llm.sharding import op6_sharding
 from waymark.llm.simhash import op2_simhash
+from waymark.llm.urls import op3_urls
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op6_sharding, op7_langid, op8_lempelziv, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_urls, op5_packing, op6_sharding, op7_langid, op8_lempelziv, op9_decontaminate, op10_htmltext)}
 ORACLE_SQL: dict[str, str] = {}
