@@ -28,6 +28,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A broadcast list of ids has at most so many rows (8 bytes each); longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``ids``, a settled table of distinct keys; null equals null."""
+    ids = ids.select(F.col(key).alias("_gone"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[key].eqNullSafe(ids["_gone"]), "left_anti")
+
+
 def literal_table(spark: SparkSession, rows: Iterable[Sequence], ddl: str) -> DataFrame:
     """A small table of ``rows`` as one folded literal: no RDD, no Python on the executors."""
     names = [field.strip().split()[0] for field in ddl.split(",")]

@@ -30,10 +30,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import settle, table
+from waymark.llm._common import settle, table, without
 from waymark.llm.components import components
 
 SHINGLE, SEED, RADIUS, CROWD = 3, 42, 3, 64
@@ -126,6 +126,26 @@ def near_duplicates(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, c
     return docs.join(settle(labels.unionByName(single)), "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``found`` (:func:`near_duplicates` of it): its smallest doc_id.
+
+    Rows that share one doc_id count as one document; of those and of rows without a doc_id that have
+    a near-duplicate, one stays, by text.
+    """
+    found = settle(found)
+    gone = settle(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = without(docs, gone, "doc_id")
+    repeated = settle(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not repeated.count():
+        return kept
+    # Only repeated ids are dealt by id: fingerprint and component decide which of their rows are alike.
+    again = docs.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
+    single = without(kept, repeated, "doc_id")
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"])
+    once = without(again, gone, "doc_id").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return single.unionByName(once)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select(
