@@ -1,0 +1 @@
+"""A gazetteer and fuzzy place-search engine on Spark."""
