@@ -45,7 +45,9 @@ def _seeds(hashes, at, masks=MASKS):
 
 def _placed(rows: DataFrame, column: str, span: int) -> DataFrame:
     """A row for each place of ``column`` where a mask fits."""
-    return rows.where(F.size(column) >= span).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(column) - span)))
+    # An outer explode: Spark adds no filter on the size, which would read every text's words twice.
+    places = F.when(F.size(column) >= span, F.sequence(F.lit(0), F.size(column) - span))
+    return rows.withColumn("at", F.explode_outer(places)).where("at is not null")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
