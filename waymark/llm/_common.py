@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +40,18 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, df[key].eqNullSafe(ids["_gone"]), "left_anti")
 
 
+def text_chunks(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs (low, high) of whole texts of about so many characters, so that work on a batch stays small."""
+    low, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield low, k
+            low, size = k, 0
+        size += len(text)
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def literal_table(spark: SparkSession, rows: Iterable[Sequence], ddl: str) -> DataFrame:
     """A small table of ``rows`` as one folded literal: no RDD, no Python on the executors."""
     names = [field.strip().split()[0] for field in ddl.split(",")]

@@ -27,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import table
+from waymark.llm._common import table, text_chunks
 
 BUCKETS, SAMPLE, ROUNDS, PENALTY, MOST, UNKNOWN = 1 << 16, 1500, 8, 2.0, 3, "und"
-CHUNK_CHARS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -110,17 +109,6 @@ class LanguageModel:
         return out
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    low, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_CHARS:
-            yield low, k
-            low, size = k, 0
-        size += len(text)
-    if low < len(texts):
-        yield low, len(texts)
-
-
 def train(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> LanguageModel:
     """Learn from ``labelled`` (doc_id, text, lang), at most ``sample`` documents a language."""
     rows = labelled.where("lang is not null and text is not null")
@@ -140,7 +128,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) ->
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for low, high in _chunks(own):
+                for low, high in text_chunks(own):
                     bucket = _trigrams(own[low:high])[0]
                     totals[lang] = totals.get(lang, 0) + np.bincount(bucket, minlength=BUCKETS)
         if totals:
@@ -168,7 +156,7 @@ def identify(df: DataFrame, model: LanguageModel) -> DataFrame:
         known = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(where).to_pylist()]
-            parts = [known.mixtures(texts[low:high]) for low, high in _chunks(texts)]
+            parts = [known.mixtures(texts[low:high]) for low, high in text_chunks(texts)]
             mix = np.concatenate(parts) if parts else np.zeros((0, len(known.languages)))
             if known.languages:
                 top, score = mix.argmax(axis=1), mix.max(axis=1)

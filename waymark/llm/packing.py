@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import literal_table, settle, table
+from waymark.llm._common import literal_table, settle, table, text_chunks
 
 TOKENIZER, MAX_TOKENS, SALTS, MEMORY_WORDS, LONG_WORD = "word_bpe_49k.json", 2048, 64, 600_000, 64
 
@@ -148,7 +148,8 @@ def tokenize_pieces(df: DataFrame, tokenizer: str | None = None, max_tokens: int
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
+            encoded = (ids for low, high in text_chunks(texts) for ids in words.encode_all(texts[low:high]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[start : start + 4 * max_tokens]
