@@ -26,7 +26,7 @@ def primary_name(display: Column) -> Column:
 def address_parts(display: Column) -> Column:
     at = F.instr(display, " (")
     inner = F.substring(display, at + 2, F.length(display) - at - 2)
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(inner, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(at > 0, parts).otherwise(F.filter(F.array(F.lit("")), lambda p: F.lit(False)))
 
 
