@@ -75,13 +75,14 @@ def _block(probes: DataFrame, items: DataFrame, span: int, masks: tuple[str, ...
     shift = F.col("at") - F.col("item_at")
     first = F.greatest(F.lit(0), -shift)
     count = F.least(F.size("item"), F.size("doc") - shift) - first
-    lined = hits.withColumns({"shift": shift, "first": first, "count": count}).select(
+    # Only the stretches along the diagonal go on, once each: the document's words stay behind. They are
+    # settled, so that Spark does not move the comparison into the join and copy whole texts for every hit.
+    stretches = hits.withColumns({"shift": shift, "first": first, "count": count}).select(
         "doc_id", "item_id", "shift", "first", F.size("item").alias("size"),
-        F.zip_with(
-            F.slice("doc", F.col("shift") + F.col("first") + 1, F.col("count")),
-            F.slice("item", F.col("first") + 1, F.col("count")), lambda x, y: x == y,
-        ).alias("same"),
-    )
+        F.slice("doc", F.col("shift") + F.col("first") + 1, F.col("count")).alias("own"),
+        F.slice("item", F.col("first") + 1, F.col("count")).alias("other"),
+    ).distinct()
+    lined = settle(stretches).withColumn("same", F.zip_with("own", "other", lambda x, y: x == y))
     enough = F.least(F.lit(least), F.ceil(F.col("size") * 0.8))
     scored = lined.withColumn("run", _best_run(F.col("same"))).where(F.col("run.score") >= enough)
     return scored.select(
