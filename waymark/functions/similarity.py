@@ -7,11 +7,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.schema import SearchParams
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def block_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters, matching longest blocks first (no junk heuristics)."""
     return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(word, candidate, strict=True)], dtype="float64")

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean(text: Column) -> Column:
@@ -46,7 +47,7 @@ def normalise(text: Column) -> Column:
     return F.translate(text, source, target)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise_exact(text: pd.Series) -> pd.Series:
     """:func:`fold` for any script."""
     return text.map(lambda t: None if t is None else fold(t))

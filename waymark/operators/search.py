@@ -47,7 +47,8 @@ def word_totals(asked: DataFrame, found: DataFrame) -> DataFrame:
 
 def fuzzy_candidates(totals: DataFrame, vocab: DataFrame, found: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(word, candidate, blob_bytes, score, ord): indexed words that contain the probe of a thinly resolved word."""
-    thin = totals.where((F.col("tot") < params.min_confident_places) & (F.length("word") >= params.min_fuzzy_word))
+    few = (F.col("tot") < params.min_confident_places) & (F.col("tot") <= params.max_refs)
+    thin = totals.where(few & (F.length("word") >= params.min_fuzzy_word))
     probe = F.substring("word", F.lit(1), F.greatest(F.lit(params.min_probe), F.length("word") - params.probe_trim))
     asked = thin.select("word", probe.alias("probe"))
     # Any word that contains the probe contains its trigrams; one of them makes it a hash join. An
