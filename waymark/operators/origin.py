@@ -6,24 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_origin(queries: DataFrame, fixes: DataFrame, key: str = "user_id") -> DataFrame:
+def _period(column: str = "ts", unit: str = "day"):
+    """Windows run within a period of a key, and only one row for each period is carried on: no key meets in one task."""
+    return F.date_trunc(unit, column)
+
+
+def asof_origin(queries: DataFrame, fixes: DataFrame, key: str = "user_id", unit: str = "day") -> DataFrame:
     """``queries`` (key, ts, …) with ``origin``, the latest fix (key, ts, fix_id, value) at or before each; null if none."""
-    asked = queries.withColumn("_query", F.struct(*queries.columns)).select(key, "ts", F.lit(1).alias("_side"), "_query", F.lit(None).cast("struct<fix_id: bigint, value: double>").alias("_fix"))
-    seen = fixes.select(key, "ts", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_query"].dataType).alias("_query"), F.struct(F.col("fix_id").cast("bigint").alias("fix_id"), F.col("value").cast("double").alias("value")).alias("_fix"))
-    order = Window.partitionBy(key).orderBy("ts", "_side", "_fix.fix_id").rowsBetween(Window.unboundedPreceding, 0)
-    filled = asked.unionByName(seen).withColumn("origin", F.last("_fix", ignorenulls=True).over(order))
-    return filled.where("_side = 1").select("_query.*", "origin")
+    fix_type = "struct<fix_id: bigint, value: double>"
+    asked = queries.withColumn("_query", F.struct(*queries.columns)).select(key, "ts", F.lit(1).alias("_side"), "_query", F.lit(None).cast(fix_type).alias("_fix"))
+    fix = F.struct(F.col("fix_id").cast("bigint").alias("fix_id"), F.col("value").cast("double").alias("value"))
+    seen = fixes.select(key, "ts", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_query"].dataType).alias("_query"), fix.alias("_fix"))
+    rows = asked.unionByName(seen).withColumn("_period", _period(unit=unit))
+    inside = Window.partitionBy(key, "_period").orderBy("ts", "_side", "_fix.fix_id").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("origin", F.last("_fix", ignorenulls=True).over(inside)).where("_side = 1")
+    lasts = rows.groupBy(key, "_period").agg(F.max(F.when(F.col("_side") == 0, F.struct("ts", "_fix.fix_id", "_fix"))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_before", F.last("_last._fix", ignorenulls=True).over(before)).select(key, "_period", "_before")
+    return filled.join(carried, [key, "_period"]).select("_query.*", F.coalesce("origin", "_before").alias("origin"))
 
 
 def origin_state(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """The last origin event of each key; a fix never replaces an origin that was chosen by hand unless asked to."""
+    """The last origin event (ts, event_id, kind, lat, lon, label) of each key."""
     return events.groupBy(key).agg(F.max_by(F.struct("ts", "kind", "lat", "lon", "label"), F.struct("ts", "event_id")).alias("origin")).select(key, "origin.*")
 
 
-def debounced(events: DataFrame, gap: str, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+def debounced(events: DataFrame, gap: str, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), unit: str = "day") -> DataFrame:
     """The events that no other event of the key follows within ``gap``."""
-    following = F.lead("ts").over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") >= F.col("ts") + F.expr(f"interval {gap}"))).drop("_next")
+    rows = events.withColumn("_period", _period(unit=unit))
+    following = F.lead("ts").over(Window.partitionBy(key, "_period").orderBy(*order))
+    firsts = rows.groupBy(key, "_period").agg(F.min("ts").alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(key).orderBy("_period"))).drop("_first")
+    joined = rows.withColumn("_next", following).join(later, [key, "_period"]).withColumn("_next", F.coalesce("_next", "_later"))
+    kept = joined.where(F.col("_next").isNull() | (F.col("_next") >= F.col("ts") + F.expr(f"interval {gap}")))
+    return kept.select(*events.columns)
 
 
 def latest_wins(answers: DataFrame, key: str = "user_id", request: str = "request_id") -> DataFrame:
