@@ -40,7 +40,19 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, df[key].eqNullSafe(ids["_gone"]), "left_anti")
 
 
-def text_chunks(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def lean(run):
+    """An Arrow batch function that hands its freed memory back when its task ends; workers live on between tasks."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
+def text_chunks(texts: Sequence[str], chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs (low, high) of whole texts of about so many characters, so that work on a batch stays small."""
     low, size = 0, 0
     for k, text in enumerate(texts):

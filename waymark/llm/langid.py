@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import table, text_chunks
+from waymark.llm._common import lean, table, text_chunks
 
 BUCKETS, SAMPLE, ROUNDS, PENALTY, MOST, UNKNOWN = 1 << 16, 1500, 8, 2.0, 3, "und"
 
@@ -138,7 +138,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) ->
 
     counts = {x: np.zeros(BUCKETS, dtype=np.int64) for x in languages}
     # The sample is bounded, so a few tasks hold it and a few count tables come back.
-    for r in picked.select("text", "lang").repartition(4).mapInArrow(count, "lang string, counts binary").collect():
+    for r in picked.select("text", "lang").repartition(4).mapInArrow(lean(count), "lang string, counts binary").collect():
         counts[r["lang"]] += np.frombuffer(r["counts"], dtype="<i8")
     matrix = np.stack([counts[x] for x in languages], axis=1) + smoothing
     return LanguageModel(languages, np.log(matrix / matrix.sum(axis=0)).astype(np.float32))
@@ -169,7 +169,7 @@ def identify(df: DataFrame, model: LanguageModel) -> DataFrame:
                 names=[*batch.schema.names, "lang_pred", "score", "mixture"],
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def held_out():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import literal_table, table
+from waymark.llm._common import lean, literal_table, table
 
 SIGNATURE, RUN, RANGES = 64, 8, 1024
 SYMBOL = re.compile(rf"\w{{1,{RUN}}}|[^\w\s]")
@@ -107,7 +107,7 @@ def fingerprint(df: DataFrame, column: str = "text") -> DataFrame:
             made = [shown(signature(parser, t or "")) for t in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("fingerprint", T.StringType())]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def in_order(df: DataFrame, ranges: int = RANGES) -> DataFrame:
@@ -178,7 +178,7 @@ def compare_edited(ordered: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in EDITED.split(",")])
 
-    return ordered.mapInArrow(run, EDITED)
+    return ordered.mapInArrow(lean(run), EDITED)
 
 
 def op8_lempelziv(spark, sf_dir: str) -> DataFrame:
