@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     # The smallest neighbour is a pre-aggregated minimum and comes back by a join, which can be
     # split where a node has very many neighbours; no node's neighbours meet in one task.
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = settle(both).join(settle(least), "u")
+    joined = both.join(settle(least), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

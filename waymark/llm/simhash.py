@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import settle, table, without
+from waymark.llm._common import lean, settle, table, without
 from waymark.llm.components import components
 
 SHINGLE, SEED, RADIUS, CROWD = 3, 42, 3, 64
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, words: int = SHINGLE) -> DataFrame:
             values = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
 
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id bigint, fp bigint")
 
 
 def _halves(nodes: DataFrame) -> DataFrame:
