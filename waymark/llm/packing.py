@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import lean, literal_table, settle, table, text_chunks
 
-TOKENIZER, MAX_TOKENS, SALTS, MEMORY_WORDS, LONG_WORD = "word_bpe_49k.json", 2048, 64, 500_000, 64
+TOKENIZER, MAX_TOKENS, SALTS, MEMORY_WORDS, LONG_WORD = "word_bpe_49k.json", 2048, 64, 600_000, 64
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def tokenize_pieces(df: DataFrame, tokenizer: str | None = None, max_tokens: int
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoded = (ids for low, high in text_chunks(texts, 1 << 19) for ids in words.encode_all(texts[low:high]))
+            encoded = (ids for low, high in text_chunks(texts, 1 << 20) for ids in words.encode_all(texts[low:high]))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * max_tokens)):
