@@ -25,8 +25,8 @@ def terms(places: DataFrame, names: DataFrame | None = None) -> DataFrame:
     own = word_set(normalise(F.coalesce(F.col("_names"), F.col("name")) if names is not None else F.col("name")))
     latin = F.array_join(F.transform(romanisations(F.col("context")), lambda r: r["value"]), " ")
     around = word_set(normalise(F.concat_ws(" ", "context", latin)))
-    out = places.withColumn("name_terms", F.array_sort(F.coalesce(own, F.array().cast("array<string>"))))
-    return out.withColumn("context_terms", F.array_sort(F.array_except(F.coalesce(around, F.array().cast("array<string>")), "name_terms"))).drop("_names")
+    out = places.withColumn("name_terms", F.sort_array(F.coalesce(own, F.array().cast("array<string>"))))
+    return out.withColumn("context_terms", F.sort_array(F.array_except(F.coalesce(around, F.array().cast("array<string>")), "name_terms"))).drop("_names")
 
 
 def pairs(termed: DataFrame) -> DataFrame:
