@@ -24,7 +24,7 @@ def point(key: str) -> tuple[Column, Column]:
 
 def document_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as places: the text up to the first full stop is the name, the rest the context."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents").repartition("doc_id")  # one file is one task, and words are dear
     at = F.instr("text", ".")
     name = clean(F.substring_index("text", ".", 1))
     rest = clean(F.when(at > 0, F.substring(F.col("text"), at + 1, F.length("text"))).otherwise(""))
