@@ -73,6 +73,25 @@ def test_messages_carry_labels_to_repeats(spark):
     assert sum(found[k]["n_added"] for k in range(300)) == 0
 
 
+def test_plain_words_between_repeats_leave_the_skip_edge(spark):
+    graph = pii.Graph.empty()
+    for k, text in enumerate(["mail jane77@x.com now and " + "word " * 20 + "then jane77 again", "mail jane77@x.com jane77 again"]):
+        graph.add(k, text, pii.base_spans(text))
+    assert (graph.skip, graph.chain) == ([(0, 1)], [(2, 3)])
+
+    rng = random.Random(2)
+    # Alone, such a number is more often a phone than a part, but not surely one.
+    rows = [(k, f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} today" + f" of part {rng.randint(200, 999)}-{rng.randint(1000, 9999)} too" * (k % 2)) for k in range(300)]
+    text = "call +1 (716) 555-3986 today and then " + "word " * 50 + "once more 555-3986 or so"
+    field = pii.train(spark.createDataFrame([*rows, (1000, text)], "doc_id long, text string"))
+    graph = pii.Graph.empty()
+    graph.add(0, text, pii.base_spans(text))
+    at = text.rindex("555-3986")
+    assert pii._added(field, graph) == {0: [[], [], [], [(at, at + 8)]]}
+    graph.skip.clear()
+    assert not pii._added(field, graph)
+
+
 def test_loopy_messages_equal_enumeration_on_a_tree():
     rng = np.random.default_rng(3)
     field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))

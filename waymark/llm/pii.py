@@ -167,11 +167,11 @@ class Graph:
             self.label.append(label)
             if previous is not None:
                 self.chain.append((previous, node))
-            # Each occurrence is linked to the one before it, so links grow with the tokens only.
+            # Each occurrence is linked to the one before it, unless a chain edge joins them: links grow with the tokens only.
             lowered = token.lower()
             for form in {PLAIN.sub("", lowered), PLAIN.sub("", lowered.partition("@")[0])}:
                 if len(form) > 3:
-                    if form in last and last[form] != node - 1:
+                    if form in last and last[form] != previous:
                         self.skip.append((last[form], node))
                     last[form] = node
             previous = node
