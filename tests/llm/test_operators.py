@@ -224,6 +224,21 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), model).count() == 0
 
 
+def test_licences_without_a_stem(spark):
+    lines = {
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa", "CC0 1.0 Universal": "public-domain", "Apache-2.0": "apache",
+        "THE SOFTWARE IS PROVIDED AS IS": "mit", "IN NO EVENT SHALL THE AUTHORS BE LIABLE": "mit",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.": "mpl",
+    }
+    assert not any(re.search(licenses.SCREEN.replace("(?i)", ""), body, re.I) for body in lines)
+    plain = [r["text"] for r in documents(spark).where("text is not null").select("text").limit(100).collect()]
+    texts = [(k, text) for k, text in enumerate(plain)] + [(1000, "é\n\n" + "\n".join(["word"] * 700 + list(lines)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = licenses.scan(df, licenses.train(df)).collect()
+    text = texts[-1][1]
+    assert {(r["start"], r["family"]) for r in rows if r["doc_id"] == 1000} == {(text.index(body), family) for body, family in lines.items()}
+
+
 # Packing
 
 

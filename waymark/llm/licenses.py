@@ -1,14 +1,15 @@
 """Licence scan by a trained paragraph classifier (DataFrame operations and Spark's own models only).
 
-Paragraphs (lines) that hold one of the stems in ``SCREEN`` are classified by logistic regression on
-hashed word 1- and 2-grams: a class for each licence family and one for everything else.  The
-probability of being a licence at all is calibrated on held-out examples (Platt scaling); below one half the
-paragraph is of unknown kind.  A prediction counts as confirmed if enough of the paragraph's word
-3-grams, or of a template's, are shared with a template of that family.
+Every paragraph (line) that is not blank is classified by logistic regression on hashed word 1- and
+2-grams: a class for each licence family and one for everything else.  The probability of being a licence at
+all is calibrated on held-out examples (Platt scaling); below one half the paragraph is of unknown kind.
+A prediction counts as confirmed if enough of the paragraph's word 3-grams, or of a template's, are shared
+with a template of that family.  Reported are the paragraphs taken for licences, and those of unknown kind
+that hold one of the stems in ``SCREEN``.
 
-It learns from the templates (whole, in sentences and halves, among other words), from fixed
-sentences that use the same words otherwise, and from at most ``NEGATIVES`` paragraphs of the corpus without
-a stem, picked by hash.
+It learns from the templates (whole, in sentences, halves and wrapped lines, among other words), from
+fixed sentences that use the same words otherwise, and from at most ``NEGATIVES`` distinct paragraphs of the
+corpus without a stem, picked by hash.
 
 Defined results: null and empty texts have no paragraphs and give no rows; a line that occurs several
 times is reported each time; repeated rows are reported alike; null doc_ids are reported as null; empty
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import literal_table, settle, table
 
-NEGATIVES, BITS, CONFIRM, UNKNOWN = 1500, 12, 0.5, "unknown"
+NEGATIVES, BITS, CONFIRM, UNKNOWN, BLOCK = 1500, 12, 0.5, "unknown", 256
 SCREEN = r"(?i)licen[cs]|copyright|copyleft|warrant|public domain|rights reserved|\bgpl|\bcc[ -](by|0)|spdx|redistribut|permission is"
 
 # Notices and opening words of public licences, by family.
@@ -33,6 +34,7 @@ TEMPLATES = (
     ("mit", "Licensed under the MIT license. See LICENSE file in the project root for full license information."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("mit", "This project is available under the terms of the MIT License. SPDX-License-Identifier: MIT"),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
@@ -60,6 +62,16 @@ TEMPLATES = (
     ("reserved", "All rights reserved."),
     ("reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
 )
+# Names and phrases that stand alone on a line, by family.
+NAMES = (
+    ("mit", "The MIT License"), ("mit", "The software is provided as is"), ("mit", "In no event shall the authors be liable"),
+    ("mit", "In no event shall the authors or copyright holders be liable"),
+    ("apache", "Apache-2.0"), ("apache", "Apache 2.0"), ("apache", "Apache License 2.0"), ("gpl", "GPL-3.0-or-later"), ("gpl", "GNU GPL v3"),
+    ("lgpl", "LGPL-2.1-or-later"), ("bsd", "BSD-3-Clause"), ("mpl", "MPL-2.0"), ("cc-by-nc", "CC-BY-NC-4.0"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International"), ("cc-by-sa", "CC-BY-SA-4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International"), ("cc-by", "CC-BY-4.0"),
+    ("cc-by", "Creative Commons Attribution 4.0 International"), ("public-domain", "CC0-1.0"), ("public-domain", "CC0 1.0 Universal"),
+)
 # Other uses of the same words.
 OTHERWISE = (
     "The driver had lost his license and could not rent a car.",
@@ -85,24 +97,39 @@ OTHERWISE = (
 )
 
 
+def _bound(value, use):
+    """``use(value)`` with the value computed once, however often ``use`` names it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _starts(sizes):
+    """The sum of all sizes before each one; sums of whole blocks are shared, so long arrays cost no square."""
+    add = lambda part: F.aggregate(part, F.lit(0), lambda s, n: s + n)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda b: add(F.slice(sizes, b * BLOCK + 1, BLOCK)))
+    before = F.aggregate(blocks, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+    return _bound(before, lambda sums: F.transform(sizes, lambda _, k: F.get(sums, F.floor(k / BLOCK).cast("int")) + add(F.slice(sizes, F.floor(k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK))))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, start, body): the screened lines of whole texts; start counts code points."""
-    screened = docs.select("doc_id", "text").where(F.col("text").rlike(SCREEN))
-    lines = screened.select("doc_id", F.split("text", "\n").alias("lines"))
-    each = lines.select("doc_id", "lines", F.posexplode("lines").alias("paragraph", "body")).where(F.col("body").rlike(SCREEN))
-    before = F.array_join(F.slice("lines", 1, F.col("paragraph")), "\n")
-    start = F.when(F.col("paragraph") == 0, 0).otherwise(F.length(before) + 1)
-    return each.select("doc_id", "paragraph", start.cast("bigint").alias("start"), "body")
+    """(doc_id, paragraph, start, body): the lines of whole texts that are not blank; start counts code points."""
+    lines = F.split("text", "\n")
+    starts = _bound(F.transform(lines, lambda line: F.length(line) + 1), _starts)
+    each = F.zip_with(lines, starts, lambda line, start: F.struct(start.alias("start"), line.alias("body")))
+    rows = docs.select("doc_id", F.posexplode(each).alias("paragraph", "_line"))
+    return rows.select("doc_id", "paragraph", F.col("_line.start").cast("bigint").alias("start"), F.col("_line.body").alias("body")).where(F.col("body").rlike(r"\S"))
 
 
 def examples() -> list[tuple[str, str]]:
     """(family, body): the fixed training examples."""
-    out = [(UNKNOWN, body) for body in OTHERWISE]
+    out = [(UNKNOWN, body) for body in OTHERWISE] + 4 * list(NAMES)
     for k, (family, body) in enumerate(TEMPLATES):
         sentences = [s for s in re.split(r"(?<=[.;:]) ", body) if len(s.split()) > 4 or s == body]
         words = body.split()
         half = len(words) // 2
         parts = {body, *sentences, *((" ".join(words[:half]), " ".join(words[half:])) if len(words) > 16 else ())}
+        if len(words) > 16:  # as wrapped lines
+            parts |= {" ".join(words[at : at + 10]) for at in range(0, len(words) - 4, 5)}
+            parts |= {" ".join(words[at : at + 6]) for at in range(0, len(words) - 4, 3)}
         other = [OTHERWISE[(k + j) % len(OTHERWISE)] for j in range(2)]
         parts |= {f"{other[0]} {body}", f"{body} {other[1]}", f"Copyright 2020 the authors. {body}", body.lower(), body.upper()}
         out += [(family, part) for part in sorted(parts)]
@@ -149,7 +176,7 @@ def _logit(p):
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
-    """Learn from the fixed examples and at most ``negatives`` paragraphs of ``docs`` (doc_id, text)."""
+    """Learn from the fixed examples and at most ``negatives`` distinct paragraphs of ``docs`` (doc_id, text)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -158,7 +185,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
     share = min(1.0, negatives / max(total, 1))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     lines = some.select(F.explode(F.split("text", "\n")).alias("body")).where((F.length("body") > 0) & ~F.col("body").rlike(SCREEN))
-    taken = lines.orderBy(F.xxhash64("body"), "body").limit(negatives).withColumn("family", F.lit(UNKNOWN))
+    taken = lines.distinct().orderBy(F.xxhash64("body"), "body").limit(negatives).withColumn("family", F.lit(UNKNOWN))
     families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     fixed = literal_table(spark, examples(), "family string, body string")
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
@@ -183,12 +210,15 @@ def _grams(words, size: int = 3):
 
 
 def scan(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, paragraph, start, family, probability, overlap, confirmed) of each screened paragraph."""
+    """(doc_id, paragraph, start, family, probability, overlap, confirmed) of each paragraph that is a licence or holds a stem."""
     words = F.filter(F.split(F.lower("template"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     known = literal_table(docs.sparkSession, TEMPLATES, "family string, template string")
     # The fixed templates: a constant table.
     known = known.select("family", _grams(words).alias("known")).groupBy("family").agg(F.collect_list("known").alias("known"))
-    scored = model.scored(paragraphs(docs)).join(F.broadcast(known), "family", "left").withColumn("own", _grams(F.col("words")))
+    # Spark moves no filter below a row number; moved, this one would compute the features once for each use.
+    scored = model.scored(paragraphs(docs)).withColumn("_row", F.monotonically_increasing_id())
+    scored = scored.where((F.col("_row") >= 0) & ((F.col("family") != UNKNOWN) | F.col("body").rlike(SCREEN)))
+    scored = scored.join(F.broadcast(known), "family", "left").withColumn("own", _grams(F.col("words")))
     shares = F.transform("known", lambda k: F.size(F.array_intersect(k, "own")) / F.least(F.size(k), F.size("own")))
     overlap = F.coalesce(F.array_max(shares), F.lit(0.0))
     return scored.select(
