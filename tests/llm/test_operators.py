@@ -472,3 +472,16 @@ def test_hosts_agree_on_paths(spark):
     df = spark.createDataFrame([(k, "http://h/%d" % k, body(k)) for k in range(6)], "page_id long, url string, html string")
     texts = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
     assert all("chatter" not in t and "article" in t for t in texts.values())
+
+
+def test_words_in_a_class_do_not_drop_the_article():
+    article = "<p>" + "words of the article itself. " * 9 + "</p>"
+    want = ("words of the article itself. " * 9).strip()
+    beside = '<div class="comments"><article class="comment"><p>a remark</p></article></div>'
+    for page in (
+        f'<body><div class="content has-sidebar"><article>{article}</article>{beside}</div></body>',
+        f'<body class="x"><div class="no-comments"><main>{article}</main></div><div class="sidebar">short</div></body>',
+        f'<body><div class="page has-sidebar">{article}<div class="sidebar">short</div></div></body>',
+        f'<body><article>{article}</article><div class="comments">{"<p>a long remark of a reader</p>" * 40}</div></body>',
+    ):
+        assert htmltext.Page(page).text([]) == want

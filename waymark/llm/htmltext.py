@@ -7,7 +7,8 @@ a host then say, on every one of its pages, which containers are the article.  A
 path holds a fair part of its text uses its own best container.
 
 Inside the chosen containers, boilerplate elements (menus, page headers, footers, sidebars, notices,
-adverts, forms, comments, hidden parts) are left out.  Character references are decoded, white space in a
+adverts, forms, comments, hidden parts) are left out.  A word in a class, id or role leaves no element out that
+alone holds an article or main element, or most of the text of a page that has none elsewhere.  Character references are decoded, white space in a
 block becomes one space, and blocks are joined by line feeds.
 
 Defined results: null or empty html gives an empty text; a null url, or one without "://", has the empty
@@ -71,11 +72,31 @@ class Page:
     def __init__(self, html: str):
         self.parents, self.paths, self.bonus = [-1], [""], [1.0]
         self.blocks: list[tuple[str, int, int]] = []
+        #: Elements that AWAY names: the region around each, 0 for none; and the regions that article or main opens in.
+        self._around, self._leads = [0], []
+        self._regions: list[int] = []  # of the blocks
         self._read(html)
+        self._sift()
+
+    def _sift(self) -> None:
+        """Drop the blocks of the regions that AWAY names, but for those that hold the article or most of the text."""
+        size = [0] * len(self._around)
+        for (text, _, _), region in zip(self.blocks, self._regions, strict=True):
+            size[region] += len(text)
+        whole, leads, holds = sum(size), set(self._leads), [False] * len(size)
+        for own in range(len(size) - 1, 0, -1):  # inner ones first
+            size[self._around[own]] += size[own]
+            holds[own] = (holds[own] or own in leads) and size[own] > 0
+            holds[self._around[own]] |= holds[own]
+        kept, found = [True], 0 in leads
+        for own in range(1, len(size)):  # outer ones first
+            kept.append(kept[self._around[own]] and not found and (holds[own] or 2 * size[own] > whole))
+            found = found or kept[own] and own in leads
+        self.blocks = [b for b, region in zip(self.blocks, self._regions, strict=True) if kept[region]]
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, its container, left out
-        container, away, parts, links, in_link, at = 0, False, [], 0, 0, 0
+        stack: list[tuple[str, int, bool, int]] = []  # tag, its container, left out, its region
+        container, away, region, parts, links, in_link, at = 0, False, 0, [], 0, 0, 0
 
         def flush() -> None:
             nonlocal links
@@ -83,12 +104,13 @@ class Page:
                 text = " ".join(unescape("".join(parts)).split())
                 if text and not away:
                     self.blocks.append((text, links, container))
+                    self._regions.append(region)
                 parts.clear()
             links = 0
 
         def restore() -> None:
-            nonlocal container, away
-            container, away = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+            nonlocal container, away, region
+            container, away, region = stack[-1][1:] if stack else (0, False, 0)
 
         for m in TOKEN.finditer(html):
             if m.start() > at:
@@ -112,7 +134,7 @@ class Page:
             if m[2] or m[5]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        if away and not block:
+                        if not block and (away or region != (stack[k - 1][3] if k else 0)):
                             flush()
                         del stack[k:]
                         restore()
@@ -131,17 +153,22 @@ class Page:
                         break
                     if stack[k][0] in CONTAINERS:
                         break
-            inside = away or tag in DROPPED or (tag == "header" and not any(t in ("article", "main") for t, _, _ in stack))
-            names = ""
+            inside = away or tag in DROPPED or (tag == "header" and not any(t in ("article", "main") for t, *_ in stack))
+            names, named = "", False
             if attributes and attributes != "/":
                 found = [(a.lower(), b or c or d) for a, b, c, d in MARKS.findall(attributes)]
                 names = " ".join(v for a, v in found if a in ("class", "id", "role")).lower()
                 if not inside and tag not in ("html", "body", "article", "main"):
-                    inside = bool(names and AWAY.search(names.replace("_", "-")))
+                    named = bool(names and AWAY.search(names.replace("_", "-")))
                 inside = inside or any(a == "hidden" and "hidden" in attributes.lower() or a == "aria-hidden" and v == "true" or a == "style" and UNSEEN.search(v) for a, v in found)
                 names = " ".join(sorted(v for a, v in found if a == "class")).lower()
-            if inside and not away and not block:
+            if (inside or named) and not away and not block:
                 flush()
+            if named and not inside:
+                self._around.append(region)
+                region = len(self._around) - 1
+            if tag in ("article", "main") and not inside:
+                self._leads.append(region)
             if tag in CONTAINERS and not inside:
                 name = tag + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(set(names.split())))
                 self.parents.append(container)
@@ -149,7 +176,7 @@ class Page:
                 self.bonus.append((1.5 if tag in ("article", "main") else 1.0) * (1.25 if TOWARDS.search(names) else 1.0))
                 container = len(self.paths) - 1
             away = inside
-            stack.append((tag, container, away))
+            stack.append((tag, container, away, region))
         if at < len(html):
             parts.append(html[at:])
         flush()
