@@ -349,6 +349,8 @@ def test_mixtures_and_odd_inputs(spark):
     mix = model.mixtures([long["en"] + "\n" + long["de"], long["en"]])
     named = dict(zip(model.languages, mix[0], strict=True))
     assert 0.3 < named["en"] < 0.7 and 0.3 < named["de"] < 0.7 and named["fr"] == named["es"] == 0 and mix[1].max() > 0.98
+    every = model.mixtures([" ".join(long[x][:3000] for x in ("en", "de", "fr", "es"))])[0]
+    assert all(0.1 < m < 0.45 for m in every) and abs(every.sum() - 1) < 1e-3
     rows = langid.identify(odd(spark).withColumn("score", F.lit("clash")), model).collect()
     assert [r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 6, 7)] == ["und"] * 4 and len(rows) == 9
     assert json.loads(rows[0]["mixture"]) == {}

@@ -3,7 +3,8 @@
 Every learned language has a letter-trigram model (hashed into ``BUCKETS`` counts, smoothed).  The
 words of a document are drawn from a mixture of languages; expectation-maximisation estimates the
 proportions from the words' trigram likelihoods.  Language sets are nested by their proportions and the
-set with the best penalised likelihood (log-likelihood minus ``PENALTY`` * size * ln(words)) is kept.
+set with the best penalised likelihood (log-likelihood minus ``PENALTY`` * size * ln(words)) is kept: a
+document's set grows, up to all learned languages, as long as a further one improves that value.
 
 The models learn from at most ``SAMPLE`` training documents a language, taken by hash of the doc_id and
 counted on the executors; only the counts (``BUCKETS`` numbers a language) reach the driver.
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from waymark.llm._common import lean, table, text_chunks
 
-BUCKETS, SAMPLE, ROUNDS, PENALTY, MOST, UNKNOWN = 1 << 16, 1500, 8, 2.0, 3, "und"
+BUCKETS, SAMPLE, ROUNDS, PENALTY, UNKNOWN = 1 << 16, 1500, 8, 2.0, "und"
 
 
 @lru_cache(maxsize=1)
@@ -67,7 +68,7 @@ class LanguageModel:
     languages: tuple[str, ...]
     table: np.ndarray
 
-    def mixtures(self, texts: list[str], rounds: int = ROUNDS, penalty: float = PENALTY, most: int = MOST) -> np.ndarray:
+    def mixtures(self, texts: list[str], rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
         """The proportions of the chosen language set for each text; all zero where it has no letter."""
         out = np.zeros((len(texts), len(self.languages)))
         if not self.languages or not texts:
@@ -81,30 +82,35 @@ class LanguageModel:
         docs, first, words = np.unique(owner, return_index=True, return_counts=True)
         row = np.repeat(np.arange(len(docs)), words)
 
-        def improve(share: np.ndarray, times: int) -> np.ndarray:
+        def improve(share: np.ndarray, times: int, likely: np.ndarray, row: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
             for _ in range(times):
                 part = share[row] * likely
                 part /= part.sum(axis=1, keepdims=True)
                 share = np.add.reduceat(part, first, axis=0) / words[:, None]
             return share
 
-        share = improve(np.full((len(docs), len(self.languages)), 1 / len(self.languages), dtype=likely.dtype), rounds)
+        share = improve(np.full((len(docs), len(self.languages)), 1 / len(self.languages), dtype=likely.dtype), rounds, likely, row, first, words)
         order = np.argsort(-share, axis=1, kind="stable")
-        chosen, value = None, None
-        for size in range(1, min(most, len(self.languages)) + 1):
-            inside = np.zeros_like(share)
-            np.put_along_axis(inside, order[:, :size], 1, axis=1)
-            trial = np.maximum(share, 1e-6) * inside
+        chosen, value = np.zeros_like(share), np.full(len(docs), -np.inf)
+        open_ = np.arange(len(docs))  # the documents whose sets still grow; the others' words are left out
+        for size in range(1, len(self.languages) + 1):
+            inside = np.zeros((len(open_), share.shape[1]), dtype=share.dtype)
+            np.put_along_axis(inside, order[open_, :size], 1, axis=1)
+            trial = np.maximum(share[open_], 1e-6) * inside
             trial /= trial.sum(axis=1, keepdims=True)
             if size > 1:
-                trial = improve(trial, 3)
+                trial = improve(trial, 3, likely, row, first, words)
             gained = np.log(np.maximum((trial[row] * likely).sum(axis=1), 1e-30), dtype=np.float64)
             worth = np.add.reduceat(gained, first) - penalty * size * np.log(words + 1)
-            if chosen is None:
-                chosen, value = trial, worth
-            else:
-                better = worth > value
-                chosen[better], value[better] = trial[better], worth[better]
+            better = worth > value[open_]
+            chosen[open_[better]], value[open_[better]] = trial[better], worth[better]
+            if not better.any():
+                break
+            if not better.all():
+                kept = better[row]
+                open_, likely, words = open_[better], likely[kept], words[better]
+                first = np.concatenate([[0], np.cumsum(words)[:-1]])
+                row = np.repeat(np.arange(len(open_)), words)
         out[docs] = chosen
         return out
 
