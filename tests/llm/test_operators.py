@@ -445,10 +445,34 @@ def test_leaks_are_found_and_clean_texts_left(spark):
 def test_decontamination_odd_inputs(spark):
     b = spark.createDataFrame([(1, "same text here"), (2, None), (3, "word " * 9), (None, "no id at all but long enough to be a real item")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     d = odd(spark).withColumn("item_id", F.lit("clash")).withColumn("at", F.lit(1))
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b).collect()} == {(3, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b).collect()} == {(3, 3), (4, 1), (5, 1)}
     assert decontaminate.overlaps(odd(spark, False), b).count() == 0 and decontaminate.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "Yes, it is."), (3, "no"), (None, "one two three four"), (None, "five six seven eight"), (4, "?!")], "item_id long, text string")
+    texts = ["so ALPHA, beta: gamma delta epsilon!", "alpha beta gamma x delta epsilon", "yes it is", "well yes it is", "No", "no no", "zero one two three four five six seven eight", "", "a b"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (500_000, 2):
+        got = {(r["doc_id"], r["item_id"], r["doc_word"], r["words"], r["matched"]) for r in decontaminate.overlaps(d, b, block=block).collect()}
+        assert got >= {(0, 1, 1, 5, 5), (2, 2, 0, 3, 3), (4, 3, 0, 1, 1)} and {k for k, *_ in got} == {0, 2, 4, 6}
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.15])
+def test_recall_by_rate_of_substitutions(spark, rate):
+    rng = random.Random(12)
+    vocabulary = ["w%d" % k for k in range(2000)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(40)]) for k in range(100)]
+    docs = []
+    for k, words in items:
+        own = [f"z{rng.randint(0, 99)}" if rng.random() < rate else w for w in words]
+        docs.append((k, " ".join([*(rng.choice(vocabulary) for _ in range(200)), *own, *(rng.choice(vocabulary) for _ in range(100))])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(d, b).collect()}
+    assert not {(d, i) for d, i in got if d != i} and len(got) >= (100 if rate <= 0.1 else 97)
+
+
 # HTML
 
 

@@ -7,12 +7,15 @@ A hit fixes how item and document lie against each other; along that diagonal th
 one by one and the best run is scored: a match counts 1, a substitution costs 1.  The pair is reported if
 the run scores at least ``LEAST``, or four fifths of the words of a shorter item.
 
+Items of fewer than ``SPAN`` words have no place for a mask and are found exactly: one of at least ``RUN``
+words wherever all of its words stand in turn, a shorter one where it is the whole document, because such
+words follow each other in any prose.
+
 The seeds of the benchmark go to all executors, in blocks of whole items of at most ``BLOCK`` seeds
 (counted first), so that a larger benchmark means more passes over the corpus and never a larger
 broadcast.  The corpus is never shuffled: only hits are.
 
-Defined results: null and empty texts, and items of fewer than ``SPAN`` words, match nothing; ties
-between runs go to the earliest; repeated rows with one doc_id are reported once; null doc_ids are
+Defined results: null texts and texts without a word match nothing; ties between runs go to the earliest; repeated rows with one doc_id are reported once; null doc_ids are
 reported as null; empty tables give no rows; extra columns are ignored, whatever their names.
 """
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import settle, table
 
-MASKS, LEAST, BLOCK = ("1101011", "11100101", "10110011"), 10, 500_000
+MASKS, LEAST, RUN, BLOCK = ("1101011", "11100101", "10110011"), 10, 4, 500_000
 SPAN = max(map(len, MASKS))
 
 
@@ -56,12 +59,18 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     ``doc_word`` and ``item_word`` are where the run begins, ``words`` its length.
     """
     span = max(map(len, masks))
-    known = settle(items.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= span))
-    sizes = known.agg(F.sum((F.size("item") - (span - 1)) * len(masks)), F.count("*")).first()
-    blocks = max(1, -(-(sizes[0] or 0) // block))
+    known = settle(items.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0).distinct())
+    places = F.greatest((F.size("item") - (span - 1)) * len(masks), F.lit(1))
+    total = known.agg(F.sum(places).alias("n")).first()["n"] or 0
+    sizes = [r["n"] for r in known.where(F.size("item") < span).select(F.size("item").alias("n")).distinct().collect()]  # fewer than span
+    blocks = max(1, -(-total // block))
     body = docs.select("doc_id", word_hashes(F.col("text")).alias("doc"))
     probes = _placed(body, "doc", span).select("doc_id", "doc", "at", F.explode(_seeds(F.col("doc"), F.col("at"), masks)).alias("key"))
-    found = [_block(probes, known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), span, masks, least) for k in range(blocks)]
+    # Blocks by the words, not the ids: many items may share an id, or have none.
+    parts = [known if blocks == 1 else known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) for k in range(blocks)]
+    found = [_block(probes, part.where(F.size("item") >= span), span, masks, least) for part in parts]
+    if sizes:
+        found += [_short(body, part.where(F.size("item") < span), sorted(sizes)) for part in parts]
     best = F.max_by("run", F.struct("run.score", -F.col("run.doc_word"), -F.col("run.item_word"))).alias("run")
     pairs = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
     return pairs.select("doc_id", "item_id", "run.matched", "run.score", "run.doc_word", "run.item_word", "run.words")
@@ -94,6 +103,25 @@ def _block(probes: DataFrame, items: DataFrame, span: int, masks: tuple[str, ...
     )
 
 
+def _short(body: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Items of so many words that stand word for word in a document, or, if shorter than ``RUN``, are all of it."""
+    spot = "array<struct<at: int, n: int>>"
+
+    def places(n: int):
+        fits = F.size("doc") >= n if n >= RUN else F.size("doc") == n
+        at = F.transform(F.sequence(F.lit(0), F.size("doc") - n), lambda at: F.struct(at.alias("at"), F.lit(n).alias("n")))
+        return F.when(fits, at).otherwise(F.array().cast(spot))
+
+    spots = F.concat(*map(places, sizes))
+    probes = body.select("doc_id", "doc", F.explode_outer(spots).alias("spot")).where("spot is not null")
+    own = probes.select("doc_id", "spot", F.slice("doc", F.col("spot.at") + 1, F.col("spot.n")).alias("item"))
+    # A bounded block of the benchmark.
+    known = F.broadcast(items.select("item_id", "item", F.xxhash64("item").alias("key")))
+    hits = own.withColumn("key", F.xxhash64("item")).join(known, ["key", "item"])
+    run = F.struct(F.col("spot.n").alias("score"), F.col("spot.n").alias("matched"), F.col("spot.at").alias("doc_word"), F.lit(0).alias("item_word"), F.col("spot.n").alias("words"))
+    return hits.select("doc_id", "item_id", run.alias("run"))
+
+
 def _best_run(same):
     """The best-scoring stretch of matches (+1) and substitutions (-1): start, end, matched, score."""
     part = "struct<start: int, end: int, matched: int, score: int>"
