@@ -3,12 +3,13 @@
 A text is read as symbols (runs of up to ``RUN`` word characters, and single other signs; white space
 only parts them) and parsed into dictionary phrases as LZ78 does: the longest known phrase plus one
 symbol becomes a new phrase.  The set of phrase hashes is summed up by ``SIGNATURE`` minimum hashes.
-The share of equal minima estimates the Jaccard likeness of two phrase sets.
+Of each minimum the low 16 bits are kept; the share of equal ones estimates the Jaccard likeness of two
+phrase sets and depends on the fingerprints alone.
 
 Defined results: null and empty texts have the empty phrase set, whose minima are all the largest
 number, and are wholly alike; equal texts have equal fingerprints; repeated rows are separate
-documents, ordered by doc_id and then by text; null doc_ids count as the lowest; extra columns
-are ignored; an empty table gives no rows.
+documents, ordered by doc_id and, of one doc_id, by a hash of the text and then the text; null doc_ids count
+as the lowest; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from waymark.llm._common import lean, literal_table, table
 
-SIGNATURE, RUN, RANGES = 64, 8, 1024
+SIGNATURE, RUN, RANGES, RANGE_CHARS = 64, 8, 1024, 1 << 28
 SYMBOL = re.compile(rf"\w{{1,{RUN}}}|[^\w\s]")
 _MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
 _NONE = np.full(SIGNATURE, _MASK, dtype=np.uint64)
@@ -92,8 +93,8 @@ def shown(sign: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of equal minima of two signatures."""
-    return float((a == b).mean())
+    """The share of equal places of two fingerprints, given as signatures."""
+    return float((((a ^ b) & np.uint64(0xFFFF)) == 0).mean())
 
 
 def fingerprint(df: DataFrame, column: str = "text") -> DataFrame:
@@ -110,32 +111,52 @@ def fingerprint(df: DataFrame, column: str = "text") -> DataFrame:
     return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
-def in_order(df: DataFrame, ranges: int = RANGES) -> DataFrame:
+def spans(keys: np.ndarray, signs: np.ndarray, quantiles: list[int]) -> np.ndarray:
+    """The range of each (doc_id, hash of the text), highest doc_ids first.
+
+    A doc_id that several quantiles fall on is dealt over as many ranges, by its hashes.
+    """
+    values, many = np.unique(np.array(quantiles, dtype=np.int64), return_counts=True)
+    parts = np.where(many > 1, many, 0)
+    # Ascending: a range from each value on, and before it those of its own rows if it is hot.
+    first = np.concatenate([[0], np.cumsum(1 + parts)])
+    low, high = np.searchsorted(values, keys, side="left"), np.searchsorted(values, keys, side="right")
+    own = np.append(parts, 0)[low]
+    hot = (high > low) & (own > 0)
+    up = np.where(hot, first[low] + 1 + ((signs >> 31) * own >> 32), first[high])
+    return first[-1] - up
+
+
+def in_order(df: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, text, guest) dealt so that each row is followed, in its partition, by the next document.
 
-    Documents are ordered by descending doc_id, then text; after the last comes the first.  Ranges are
-    cut at approximate quantiles of doc_id.  The first row of each range also goes, as a guest, to the
-    end of the range before it: at most a row for each of the ``ranges`` (or for each with its doc_id).
+    Documents are ordered by descending doc_id, then hash of the text and text; after the last comes the first.
+    Ranges are cut at approximate quantiles of doc_id, at least ``RANGES`` and one for ``RANGE_CHARS``
+    characters unless ``ranges`` says how many.  The first row of each range also goes, as a guest, to the end
+    of the range before it: a row for each range (and its like, if a row is repeated).
     """
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    found = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    edges = np.array(sorted(set(found or [])), dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def span(keys: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, keys.to_numpy(), side="right"))
-
-    keyed = rows.withColumns({"_key": key, "_range": span(key)})
-    firsts = keyed.groupBy("_range").agg(F.max("_key").alias("_key")).orderBy("_range").collect()  # at most `ranges` rows
-    guests = [(r["_key"], firsts[k - 1]["_range"]) for k, r in enumerate(firsts)]
-    doors = literal_table(df.sparkSession, guests, "_key bigint, _before int")
-    dealt = keyed.join(F.broadcast(doors), "_key", "left").select(
-        "doc_id", "text", "_key", F.posexplode(F.array_compact(F.array("_range", "_before"))).alias("_guest", "_range")
+    if ranges is None:
+        ranges = max(RANGES, -(-(rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // RANGE_CHARS))
+    key, sign = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+    found = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 2 * ranges))).first()[0]
+
+    @F.pandas_udf("bigint")
+    def span(keys: pd.Series, signs: pd.Series) -> pd.Series:
+        return pd.Series(spans(keys.to_numpy(), signs.to_numpy(), found or []))
+
+    keyed = rows.withColumns({"_key": key, "_sign": sign}).withColumn("_range", span("_key", "_sign"))
+    # At most two rows for each of the ranges.
+    first = F.max(F.struct("_key", "_sign")).alias("first")
+    firsts = keyed.groupBy("_range").agg(first).orderBy("_range").collect()
+    guests = [(r["first"]["_key"], r["first"]["_sign"], firsts[k - 1]["_range"]) for k, r in enumerate(firsts)]
+    doors = literal_table(df.sparkSession, guests, "_key bigint, _sign bigint, _before bigint")
+    dealt = keyed.join(F.broadcast(doors), ["_key", "_sign"], "left").select(
+        "doc_id", "text", "_key", "_sign", F.posexplode(F.array_compact(F.array("_range", "_before"))).alias("_guest", "_range")
     )
     return (
         dealt.repartition("_range")
-        .sortWithinPartitions("_range", "_guest", F.col("_key").desc(), "text")
+        .sortWithinPartitions("_range", "_guest", F.col("_key").desc(), F.col("_sign").desc(), "text")
         .select("doc_id", "text", (F.col("_guest") > 0).alias("guest"))
     )
 
