@@ -321,7 +321,7 @@ def test_walk_goes_clockwise():
 
 
 def test_sharding_odd_inputs(spark):
-    rows = sharding.shard_bounded(odd(spark).drop("shard")).collect()
+    rows = sharding.shard_bounded(odd(spark)).collect()
     sizes = Counter(r["shard"] for r in rows)
     assert len(rows) == 9 and max(sizes.values()) - min(sizes.get(k, 0) for k in range(8)) <= 1
     assert sharding.shard_bounded(odd(spark, False)).count() == 0
@@ -330,6 +330,16 @@ def test_sharding_odd_inputs(spark):
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 1 for r in got.collect())
 
 
+def test_a_hot_key_is_dealt_in_cells(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.col("id").alias("v"))
+    rows = sharding.shard_bounded(df, order=("v",)).collect()
+    sizes = Counter(r["shard"] for r in rows)
+    assert len({r["v"] for r in rows}) == 3000 and set(sizes.values()) == {375}
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 3000 and max(r["slot"] for r in rows) == 374
+    plan = sharding.shard_bounded(df, order=("v",))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_arc#" in plan and all("_salt" in line for line in plan.splitlines() if "hashpartitioning(_arc#" in line and "_place" in line)
+
+
 # Languages
 
 
@@ -404,12 +414,29 @@ def test_edited_texts_equal_brute_force(spark, ranges):
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
     rows += [(10**12, ""), (10**12 + 1, "x"), (-5, "y z")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    check_edited(sorted(rows, key=lambda r: -r[0]), lempelziv.compare_edited(lempelziv.in_order(df, ranges)).collect())
+    check_edited(in_turn(rows), lempelziv.compare_edited(lempelziv.in_order(df, ranges)).collect())
+
+
+def in_turn(rows):
+    import xxhash
+
+    sign = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & (2**63 - 1)
+    return sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), -sign(r[1]), r[1]))
+
+
+def test_a_hot_id_is_dealt_over_ranges(spark):
+    rows = [(None if k % 3 else k, f"text {k} of many words {k * k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ordered = lempelziv.in_order(df, 16).persist()
+    check_edited(in_turn(rows), lempelziv.compare_edited(ordered).collect())
+    quantiles = sorted(-(2**63) if k % 3 else k for k in range(600))[18::37]
+    keys, signs = np.array([-(2**63)] * 400), np.random.default_rng(1).integers(0, 2**63, 400)
+    assert max(Counter(lempelziv.spans(keys, signs, quantiles).tolist()).values()) < 80
+    ordered.unpersist()
 
 
 def test_lempelziv_odd_inputs(spark):
-    rows = [(r["doc_id"], r["text"] or "") for r in odd(spark).collect()]
-    rows.sort(key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1]))
+    rows = in_turn([(r["doc_id"], r["text"] or "") for r in odd(spark).collect()])
     check_edited(rows, lempelziv.compare_edited(lempelziv.in_order(odd(spark), 4)).collect())
     assert lempelziv.compare_edited(lempelziv.in_order(odd(spark, False))).count() == 0
     prints = {r["text"]: r["fingerprint"] for r in lempelziv.fingerprint(odd(spark)).collect()}

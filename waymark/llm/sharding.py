@@ -8,7 +8,8 @@ The default bounds are the exact quotas (counts at most one apart); with ``load_
 ``ceil(c * n / shards)``.  Only the number of rows per arc (``shards * vnodes`` numbers, however large
 the table) reaches the driver, where the walk is done on counts.  Rows keep their arc and get their
 rank within it, and a small segment table turns (arc, rank) into (shard, slot): one shuffle of narrow
-rows, no text is moved.
+rows, no text is moved.  Ranks are counted within (arc, salt) cells, the salt being a hash of the whole row,
+so that a key that very many rows share does not meet in one task.
 
 Defined results: a null text has size 1 and CRC 0; a null doc_id is a key like any other; equal
 rows are ordered arbitrarily among themselves, which no output shows; an empty table gives no rows.
@@ -23,9 +24,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm._common import literal_array, literal_table, table
+from waymark.llm._common import literal_array, literal_table, settle, table
 
-SHARDS, VNODES, SLOTS = 8, 256, 1 << 16
+SHARDS, VNODES, SLOTS, SALTS = 8, 256, 1 << 16, 64
 
 
 def ring(shards: int, vnodes: int = VNODES, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -97,22 +98,30 @@ def shard_bounded(
 ) -> DataFrame:
     """``df`` with ``shard`` and the gapless ``slot`` in it, under bounded loads.
 
-    ``order`` names further columns that break ties between rows of equal key.
+    ``order`` names further columns that break ties between rows of equal key.  Columns of ``df`` called
+    ``shard`` or ``slot`` are replaced.
     """
+    rows = df.drop("shard", "slot")
     points = ring(shards, vnodes, slots)
     arc = F.get(literal_array(arcs_by_place(points, slots), "int"), place_of(key, slots))
-    counts = {r["_arc"]: r["n"] for r in df.select(arc.alias("_arc")).groupBy("_arc").agg(F.count("*").alias("n")).collect()}
+    hashed = [f.name for f in rows.schema.fields if "map" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)), F.lit(SALTS)).cast("int")
+    placed = rows.withColumns({"_arc": arc, "_salt": salt, "_place": place_of(key, slots)})
+    cells = settle(placed.groupBy("_arc", "_salt").agg(F.count("*").alias("_n")))
+    counts = {r["_arc"]: r["n"] for r in cells.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     segments = walk(counts, points, bounds(sum(counts.values()), shards, load_factor))
     plan = literal_table(df.sparkSession, segments, "_arc int, _low bigint, _high bigint, _shard int, _first bigint")
-    inside = Window.partitionBy("_arc").orderBy("_place", key, *order)
-    ranked = (
-        df.withColumns({"_arc": arc, "_place": place_of(key, slots)})
-        .withColumn("_rank", F.row_number().over(inside) - F.lit(1))
+    before = Window.partitionBy("_arc").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = cells.select("_arc", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_arc", "_salt").orderBy("_place", key, *order)
+    ranked = placed.withColumn("_row", F.row_number().over(inside) - F.lit(1))
+    # Both small sides have proven bounds: shards * vnodes * SALTS cells, and a few segments for each arc.
+    joined = (
+        ranked.join(F.broadcast(base), ["_arc", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_row"))
+        .join(F.broadcast(plan), "_arc").where("_rank >= _low and _rank < _high")
     )
-    # At most a few segments for each of the shards * vnodes points, whatever the table's size.
-    joined = ranked.join(F.broadcast(plan), "_arc").where("_rank >= _low and _rank < _high")
     return joined.withColumns({"shard": F.col("_shard"), "slot": F.col("_first") + F.col("_rank") - F.col("_low")}).drop(
-        "_arc", "_place", "_rank", "_low", "_high", "_shard", "_first"
+        "_arc", "_salt", "_place", "_row", "_base", "_rank", "_low", "_high", "_shard", "_first"
     )
 
 
