@@ -512,7 +512,7 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>
 
 def test_extraction(spark):
     want = "Title & more\nFirst paragraph <b> with bold words and a lot of further text, so that it counts.\none\ntwo"
-    assert htmltext.Page(PAGE).text([]) == want
+    assert htmltext.Page(PAGE).text() == want
     rows = [(1, "http://h/a", PAGE), (2, "http://h/b", PAGE.replace("c7", "c12")), (3, None, None), (4, "x", ""), (5, "http://h/c", "plain &eacute;  text"), (6, "http://h/d", "<p>unclosed <b>tags <div>more"), (6, "http://h/d", "<p>unclosed <b>tags <div>more"), (7, "http://k/", "<div " * 2000 + "x" * 50_000 + "'" * 2000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
     got = Counter((r["page_id"], r["text"]) for r in htmltext.extract(df).where("page_id < 7").collect())
@@ -521,10 +521,67 @@ def test_extraction(spark):
 
 
 def test_hosts_agree_on_paths(spark):
-    body = lambda n: f'<body><div class="main s{n}"><p>{"long text of the article here. " * 4}</p></div><div class="zone"><p>{"chatter beside it. " * (3 if n else 6)}</p></div></body>'
-    df = spark.createDataFrame([(k, "http://h/%d" % k, body(k)) for k in range(6)], "page_id long, url string, html string")
+    """Short articles beside long chatter: alone, such a page goes by the chatter; its host's other pages say better."""
+    article = lambda k, n: " ".join(f"sentence {j} of the article {k} with some more words." for j in range(n))
+    chatter = lambda k, n: " ".join(f"unmarked talk {j} on page {k} that goes on and on." for j in range(n))
+    body = lambda k, short: f'<body><div class="main col{k}"><p>{article(k, 3 if short else 30)}</p></div><div class="zone"><p>{chatter(k, 9 if short else 4)}</p></div></body>'
+    pages = [(k, "http://h/%d" % k, body(k, k == 7)) for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert "unmarked" in htmltext.Page(pages[7][2]).text()
     texts = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
-    assert all("chatter" not in t and "article" in t for t in texts.values())
+    assert texts == {k: article(k, 3 if k == 7 else 30) for k in range(12)}
+
+
+def test_parts_side_by_side_are_kept_together():
+    lead, copy = "Words of the lead. " * 20, "Words of the copy. " * 25
+    page = f'<body><div class="wrap"><div class="lead"><p>{lead}</p></div><div class="copy"><p>{copy}</p></div></div><div class="related-links"><a href="/">More</a></div></body>'
+    assert htmltext.Page(page).text() == f"{lead.strip()}\n{copy.strip()}"
+
+
+def test_nothing_of_the_article_is_dropped():
+    article = "<p>" + "words of the article itself. " * 9 + "</p>"
+    want = ("words of the article itself. " * 9).strip()
+    for inner, more in (
+        ('<div class="entry-header"><h1>The title</h1></div>', "The title"), ('<div class="market-share"><p>Shares of the market rose.</p></div>', "Shares of the market rose."),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "So x=2 holds."), ("<noscript><p>Told without scripts.</p></noscript>", "Told without scripts."),
+        ('<header><h1>Head</h1></header>', "Head"), ('<div class="has-no-ads">kept</div>', "kept"),
+    ):
+        assert htmltext.Page(f"<body><article>{inner}{article}</article></body>").text() == f"{more}\n{want}"
+    for away in ('<div class="AdSlot">buy</div>', '<div class="social-share-box">x</div>', '<div class="share">x</div>', '<form><p>Name</p></form>', '<div class="site-notice">x</div>', '<section id="comments"><p>a remark</p></section>'):
+        assert htmltext.Page(f"<body><article>{article}{away}</article></body>").text() == want
+    assert htmltext.Page(f'<body><form id="all"><div>{article}</div></form></body>').text() == want
+    assert htmltext.Page("a <b>b</b><!-- never ended <p>no").text() == "a b"
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "text", '<a "' * 300_000, '<a ">" ' * 150_000 + "'", "<div>" * 50_000 + "</p>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<" * 500_000 + ">", '<div class="a b">' * 50_000 + "t", "<ul><li>" * 50_000, "<!-- " * 200_000])
+def test_reading_is_linear(html):
+    import time
+
+    began = time.process_time()
+    page = htmltext.Page(html)
+    page.votes(), page.text()
+    assert time.process_time() - began < 10
+
+
+def test_op10_equals_a_plain_reading(spark):
+    """The driver's pages have one article element each: its blocks, read by plain replacement."""
+    from html import unescape
+
+    def plain(html):
+        inner = re.search(r"<article>(.*?)</article>", html, re.S)
+        if inner is None:
+            return None
+        inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", inner[1], flags=re.S)
+        blocks = re.split(r"</?(?:p|h1|div|ul|li|section)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inner))
+        lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        return "\n".join(x for x in lines if x)
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r for r in htmltext.op10_htmltext(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages) and all(got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"]) for r in pages)
+    want = {r["page_id"]: plain(r["html"]) for r in pages if r["html"] and plain(r["html"])}
+    assert len(want) > 100 and {k: got[k]["text"] for k in want} == want
 
 
 def test_words_in_a_class_do_not_drop_the_article():
@@ -537,4 +594,4 @@ def test_words_in_a_class_do_not_drop_the_article():
         f'<body><div class="page has-sidebar">{article}<div class="sidebar">short</div></div></body>',
         f'<body><article>{article}</article><div class="comments">{"<p>a long remark of a reader</p>" * 40}</div></body>',
     ):
-        assert htmltext.Page(page).text([]) == want
+        assert htmltext.Page(page).text() == want
