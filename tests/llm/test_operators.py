@@ -73,39 +73,85 @@ def test_messages_carry_labels_to_repeats(spark):
     assert sum(found[k]["n_added"] for k in range(300)) == 0
 
 
-def test_plain_words_between_repeats_leave_the_skip_edge(spark):
+def graph_of(*texts):
     graph = pii.Graph.empty()
-    for k, text in enumerate(["mail jane77@x.com now and " + "word " * 20 + "then jane77 again", "mail jane77@x.com jane77 again"]):
+    for k, text in enumerate(texts):
         graph.add(k, text, pii.base_spans(text))
-    assert (graph.skip, graph.chain) == ([(0, 1)], [(2, 3)])
+    return graph
 
-    rng = random.Random(2)
-    # Alone, such a number is more often a phone than a part, but not surely one.
-    rows = [(k, f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} today" + f" of part {rng.randint(200, 999)}-{rng.randint(1000, 9999)} too" * (k % 2)) for k in range(300)]
+
+def test_edges_join_repeats_and_likes():
+    graph = graph_of("mail jane77@x.com now and " + "word " * 20 + "then jane77 again", "mail jane77@x.com jane77 again")
+    assert (graph.same, graph.similar, graph.chain) == ([(0, 1)], [], [(2, 3)])
+    graph = graph_of("call +1 (716) 555-3986, " + "word " * 9 + "or 555-3986, or 716-555-3986, not 555-1234, with card 4111 1111 1111 1111, once 4111111111111112 and 41111111111111")
+    own = [graph.span[k] for k in range(len(graph.doc))]
+    assert len(own) == 7 and graph.given == [True, False, False, False, True, False, False]
+    joined = {tuple(sorted(e)) for e in graph.same + graph.similar}
+    assert {(0, 1), (0, 2), (4, 5), (4, 6)} <= joined and not any(3 in e for e in joined)
+    graph = graph_of("write to maria.lopez@x.org and ask for Maria or for Lopez. Lopez is in. " + "The Lark sings.")
+    assert [graph.span[k] for k in range(len(graph.doc)) if not graph.given[k]] == [(39, 44), (52, 57)] and graph.similar == [(0, 1), (0, 2)]
+    assert pii.close("1234", "1244") and pii.close("123", "1234") and pii.close("1234", "134") and not pii.close("1234", "1324") and not pii.close("1234", "12")
+
+
+def test_without_skip_edges_the_repeat_is_lost(spark):
+    field = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     text = "call +1 (716) 555-3986 today and then " + "word " * 50 + "once more 555-3986 or so"
-    field = pii.train(spark.createDataFrame([*rows, (1000, text)], "doc_id long, text string"))
-    graph = pii.Graph.empty()
-    graph.add(0, text, pii.base_spans(text))
-    at = text.rindex("555-3986")
+    graph, at = graph_of(text), text.rindex("555-3986")
     assert pii._added(field, graph) == {0: [[], [], [], [(at, at + 8)]]}
-    graph.skip.clear()
+    graph.similar.clear()
     assert not pii._added(field, graph)
 
 
+def test_planted_repeats_are_found_and_other_tokens_left(spark):
+    """Held out: fitted on half of the documents, repeats planted into the other half."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    field = pii.train(docs.where("doc_id % 2 = 0"))
+    hits = misses = wrong = unrelated = 0
+    for r in docs.where("doc_id % 2 = 1").where(F.col("text").rlike("[0-9@]")).orderBy("doc_id").collect():
+        base = pii.base_spans(r["text"])
+        if not any(base):
+            continue
+        text, marks = pii.planted(r["text"], base, random.Random(r["doc_id"]))
+        again = pii.base_spans(text)
+        found = [(s, e, k + 1) for k, own in enumerate(pii._added(field, graph_of(text)).get(0, [])) for s, e in own]
+        for start, end, kind in marks:
+            if any(s < end and start < e for own in again for s, e in own):
+                continue
+            got = {k for s, e, k in found if s < end and start < e}
+            hits, misses = hits + (kind > 0 and got == {kind}), misses + (kind > 0 and got != {kind})
+            unrelated, wrong = unrelated + (kind == 0), wrong + (kind == 0 and bool(got))
+    assert hits + misses > 200 and hits / (hits + misses) >= 0.9 and wrong <= 0.01 * unrelated
+
+
 def test_loopy_messages_equal_enumeration_on_a_tree():
     rng = np.random.default_rng(3)
-    field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
-    graph = pii.Graph([0] * 4, [(0, 1)] * 4, rng.normal(size=(4, pii.FEATURES)).tolist(), [0] * 4, [(0, 1), (1, 2)], [(0, 3)])
+    field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    graph = pii.Graph([0] * 5, [(0, 1)] * 5, rng.normal(size=(5, pii.FEATURES)).tolist(), [0, 0, 0, 0, 2], [False] * 4 + [True], [(0, 1), (1, 2)], [(0, 3)], [(2, 4)])
     own = np.array(graph.shape) @ field.weights
-    total = np.zeros((5, 5, 5, 5))
+    total = np.zeros((5,) * 4)
     for x in np.ndindex(*total.shape):
-        total[x] = np.exp(sum(own[k, x[k]] for k in range(4)) + field.chain[x[0], x[1]] + field.chain[x[1], x[2]] + field.skip[x[0], x[3]])
+        total[x] = np.exp(sum(own[k, x[k]] for k in range(4)) + field.chain[x[0], x[1]] + field.chain[x[1], x[2]] + field.same[x[0], x[3]] + field.similar[x[2], 2])
     exact = np.stack([total.sum(axis=tuple(j for j in range(4) if j != k)) for k in range(4)])
-    assert np.allclose(field.beliefs(graph, 60), exact / exact.sum(axis=1, keepdims=True), atol=1e-3)
+    assert np.allclose(field.beliefs(graph, 60)[:4], exact / exact.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_op1_against_plain_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in pii.op1_pii(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for k, text in texts.items():
+        base = plain_spans(text)
+        told = [f"{kind}:{s}:{e}" for kind, own in zip(pii.KINDS, base, strict=True) for s, e in own]
+        assert [got[k][f"n_{kind}"] for kind in pii.KINDS] == [len(own) for own in base]
+        assert got[k]["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        spans = got[k]["spans"].split(",") if got[k]["spans"] else []
+        assert set(told) <= set(spans) and len(spans) == len(told) + got[k]["n_added"]
 
 
 def test_pii_odd_inputs(spark):
     for df in (odd(spark), odd(spark, False)):
+        df = df.withColumn("n_ip", F.lit("clash")).withColumn("spans", F.lit(1))
         rows = pii.find(df, pii.train(df)).collect()
         assert len(rows) == df.count()
         assert all(r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest() or r["n_added"] for r in rows)

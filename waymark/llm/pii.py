@@ -1,16 +1,19 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find the base spans: e-mail addresses, IP addresses, payment cards and phone numbers.  The field
-then labels every token with a digit or an "@".  Its graph has chain edges between neighbouring tokens and
-skip edges between distant tokens of one document that repeat or resemble each other (equal letters and
-digits, or equal to the part before an "@").  Tokens of base spans are evidence; loopy sum-product
-messages carry it along the edges, so that a number written out once in full is also found where it is
-repeated without its prefix.  Base spans always stay; confident labels elsewhere add spans.
-
-The potentials are learned on this corpus: token weights by softmax regression on shapes, with the
-tell-tale signs hidden on half of the tokens, and edge weights by the mutual information of labels
-along chain and skip edges.  The sample is ``SAMPLE`` documents, picked by hash, of at most
-``SAMPLE_TOKENS`` tokens each; everything else covers all tokens of whole texts.
+labels what else may be personal: tokens with a digit or an "@", and capitalised words that are part of an
+address found in the document.  Its nodes are those tokens and, as evidence, the base spans.  Chain edges join
+neighbours.  Skip edges join distant nodes of one document that repeat each other (equal letters and digits, or
+equal to the part before an "@") or resemble each other (numbers that share their first or last digits or are
+one edit apart, words of a local part).  Loopy sum-product messages carry labels along all edges, so that a
+number written out once in full is also found where it is repeated without its prefix or with a typing error.
+Base spans always stay; confident labels elsewhere add spans.
+
+All potentials (token weights, chain and both skip tables) are learned together by pseudo-likelihood: each
+token's label given its neighbours' labels.  The sample is ``SAMPLE`` documents, picked by hash.  Into those
+with base spans, repeats of these are planted in shortened or misspelled form, and beside them unrelated
+tokens of the same shapes, so that only the edges tell them apart.  At most ``SAMPLE_TOKENS`` tokens of a
+document, drawn at random, count; everything else covers all tokens of whole texts.
 
 Defined results: null texts are empty ones and have no spans; with no document to learn from, only
 base spans are returned; repeated rows are judged alike; null doc_ids pass through; input columns
@@ -20,6 +23,7 @@ called like an output are replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import string
 from collections.abc import Iterator
@@ -34,10 +38,9 @@ from pyspark.sql import types as T
 from waymark.llm._common import lean, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, SAMPLE_TOKENS, ROUNDS, SURE, EVIDENCE, DAMPING = 1500, 200, 12, 0.9, 8.0, 0.3
+SAMPLE, SAMPLE_TOKENS, ROUNDS, SURE, EVIDENCE, DAMPING = 1500, 200, 12, 0.9, 40.0, 0.3
 LABELS = 1 + len(KINDS)  # 0 is no personal data
-#: Before any repeat is seen, tokens that resemble each other are taken to agree.
-AGREE = np.full((LABELS, LABELS), 0.1) + 10 * np.eye(LABELS)
+FORM, WORD, NUMBERS, VIEWS, QUICK = 4, 4, range(7, 20), 4, 10  # shortest form and word, and how many digits are compared; plantings of a document
 
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,7 +49,7 @@ NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT, TOKEN = re.compile("[0-9@]"), re.compile(r"\S+")
 EDGE_SIGNS = ".,;:!?\"'()[]{}<>*#$%&"
-PLAIN = re.compile(r"[\W_]+")
+PLAIN, LETTERS, AT = re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]+"), re.compile(r"[\[({]at[\])}]")
 
 
 def luhn(digits: str) -> bool:
@@ -105,94 +108,140 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     ]
 
 
-CUES = 4  # the first features after the constant can give a kind away; half of the sample hides them
-NEIGHBOURS = slice(26, 28)  # whether candidates stand beside the token; also hidden on half of the sample
-FEATURES = 30
+FEATURES = 27
 
 
 def _shape(token: str, before: str | None, after: str | None) -> list[float]:
     digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
     core = token.strip(EDGE_SIGNS)
-    plain = "".join(c for c in core if c in "0123456789")
-    out = [1.0, float("@" in token), float("+" in token), float(before is not None and "+" in before)]
-    out.append(float(len(plain) == len(core) and 13 <= len(plain) <= 19 and luhn(plain)))
+    out = [1.0, float("@" in token), float("+" in token)]
     out += [float(low <= digits <= high) for low, high in ((0, 0), (1, 1), (2, 3), (4, 6), (7, 8), (9, 12), (13, 19), (20, 1 << 30))]
     dots = core.count(".")
     out += [float(dots == k) for k in range(4)] + [float(dots > 3)]
     out += [float("-" in core), float("(" in token), float("_" in core or "%" in core), float("=" in core or "/" in core)]
     out += [float(letters == 0), float(0 < letters <= digits), float(letters > digits), float(core[:1].isalpha())]
-    out += [float(before is not None), float(after is not None), float(dots == 3 and letters == 0), float(len(core) > 24)]
+    out += [float(before is not None), float(after is not None), float(len(core) > 24)]
     return out
 
 
+def close(a: str, b: str) -> bool:
+    """Whether one edit makes ``a`` of ``b``."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
+def keys(text: str) -> Iterator[tuple[str, bool]]:
+    """What a node shares with those that repeat it (True) or may resemble it."""
+    lowered = AT.sub("@", text.lower())
+    local = lowered.partition("@")[0]
+    for form in {PLAIN.sub("", lowered), PLAIN.sub("", local)}:
+        if len(form) >= FORM:
+            yield form, True
+    if "@" in lowered or lowered.isalpha():
+        for word in set(LETTERS.findall(local)):
+            if len(word) >= WORD:
+                yield "w" + word, False
+    groups = re.findall("[0-9]+", local)
+    if len(groups) >= 3 and max(map(len, groups)) <= 3:
+        yield "i" + ".".join(groups[:3]), False
+    digits = "".join(groups)
+    if len(digits) in NUMBERS and not any(c.isalpha() for c in local):
+        yield "s" + digits[-7:], False
+        yield "f" + digits[:8], False
+        for k in range(len(digits)):
+            yield "e" + digits[:k] + digits[k + 1 :], False
+        yield "e" + digits, False
+
+
 @dataclass
 class Graph:
-    """The candidate tokens of some texts: where they lie, their shapes, evidence and edges."""
+    """The nodes of some texts: where they lie, their shapes, labels and edges; the base spans among them are evidence."""
 
     doc: list[int]
     span: list[tuple[int, int]]
     shape: list[list[float]]
     label: list[int]
+    given: list[bool]
     chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    same: list[tuple[int, int]]
+    similar: list[tuple[int, int]]
 
     @staticmethod
     def empty() -> "Graph":
-        return Graph([], [], [], [], [], [])
+        return Graph([], [], [], [], [], [], [], [])
 
-    def add(self, doc: int, text: str, base: list[list[tuple[int, int]]], most: int | None = None) -> None:
+    def _nodes(self, text: str, base: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int, int]]:
+        """(start, end, kind or 0) of base spans and of the tokens beside them, in turn."""
         marked = sorted((s, e, k + 1) for k, spans in enumerate(base) for s, e in spans)
-        tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-        chosen = [bool(HINT.search(t)) for _, _, t in tokens]
-        last: dict[str, int] = {}
-        at, previous, taken = 0, None, 0
-        for k, (start, end, token) in enumerate(tokens):
-            if not chosen[k]:
-                previous = None
-                continue
-            if most is not None and taken == most:
-                break
-            taken += 1
-            while at < len(marked) and marked[at][1] <= start:
+        names = {w for s, e in base[0] for w in LETTERS.findall(text[s:e].partition("@")[0].lower()) if len(w) >= WORD}
+        if names:  # a word that is also written small is no name
+            ends = [0, *(e for _, e in base[0]), len(text)]
+            rest = " ".join(text[e:s] for e, s in zip(ends, [*(s for s, _ in base[0]), len(text)], strict=False))
+            names -= {w for w in LETTERS.findall(rest) if w.islower()}
+        at, free = 0, 0
+        for m in TOKEN.finditer(text):
+            start, end = m.span()
+            while at < len(marked) and marked[at][0] < end:
+                if marked[at][0] >= free:
+                    yield marked[at]
+                    free = marked[at][1]
                 at += 1
-            label = next((kind for s, e, kind in marked[at : at + 4] if s < end and e > start), 0)
-            node = len(self.doc)
-            before = tokens[k - 1][2] if k and chosen[k - 1] else None
-            after = tokens[k + 1][2] if k + 1 < len(tokens) and chosen[k + 1] else None
-            low = start + len(token) - len(token.lstrip(EDGE_SIGNS))
-            high = end - (len(token) - len(token.rstrip(EDGE_SIGNS)))
+            if start < free:
+                continue
+            core = m[0].strip(EDGE_SIGNS)
+            named = names and core.istitle() and core.lower() in names and text[:start].rstrip(" \t")[-1:] not in ("", ".", "!", "?", "\n", "\r")
+            if HINT.search(m[0]) or named:
+                yield start, end, 0
+
+    def add(self, doc: int, text: str, base: list[list[tuple[int, int]]]) -> None:
+        nodes = list(self._nodes(text, base))
+        beside = [k > 0 and text[nodes[k - 1][1] : nodes[k][0]].strip(EDGE_SIGNS + " \t\r\n") == "" for k in range(len(nodes))] + [False]
+        last: dict[str, tuple[int, int]] = {}  # of each key the last node, and the last evidence
+        for k, (start, end, kind) in enumerate(nodes):
+            token, node = text[start:end], len(self.doc)
+            low = start + len(token) - len(token.lstrip(EDGE_SIGNS)) if not kind else start
+            high = end - (len(token) - len(token.rstrip(EDGE_SIGNS))) if not kind else end
             self.doc.append(doc)
             self.span.append((low, high) if low < high else (start, end))
-            self.shape.append(_shape(token, before, after))
-            self.label.append(label)
-            if previous is not None:
-                self.chain.append((previous, node))
-            # Each occurrence is linked to the one before it, unless a chain edge joins them: links grow with the tokens only.
-            lowered = token.lower()
-            for form in {PLAIN.sub("", lowered), PLAIN.sub("", lowered.partition("@")[0])}:
-                if len(form) > 3:
-                    if form in last and last[form] != previous:
-                        self.skip.append((last[form], node))
-                    last[form] = node
-            previous = node
+            self.shape.append(_shape(token, text[slice(*nodes[k - 1][:2])] if beside[k] else None, text[slice(*nodes[k + 1][:2])] if beside[k + 1] else None))
+            self.label.append(kind)
+            self.given.append(kind > 0)
+            if beside[k]:
+                self.chain.append((node - 1, node))
+            # Each node is linked to the last ones before it that share a key: links grow with the tokens only.
+            own = text[slice(*self.span[node])]
+            found: dict[int, bool] = {}
+            for key, equal in keys(own):
+                before, evidence = last.get(key, (-1, -1))
+                for other in {before, evidence} - {-1, node}:
+                    if equal or key[0] != "e" or close(*("".join(c for c in text[slice(*self.span[j])] if c in "0123456789") for j in (other, node))):
+                        found[other] = found.get(other, False) or equal
+                last[key] = (node, node if kind else evidence)
+            for other, equal in found.items():
+                if not (beside[k] and other == node - 1) and not (kind and self.given[other]):
+                    (self.same if equal else self.similar).append((other, node))
 
 
 @dataclass(frozen=True)
 class Field:
-    """Token weights and edge potentials (log scale)."""
+    """Token weights and edge potentials (log scale): chain from left to right, and both kinds of skip edges."""
 
     weights: np.ndarray
     chain: np.ndarray
-    skip: np.ndarray
+    same: np.ndarray
+    similar: np.ndarray
 
     def beliefs(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product over all graphs at once: the label probabilities of each token."""
+        """Loopy sum-product over all graphs at once: the label probabilities of each node."""
         own = np.array(graph.shape) @ self.weights
-        label = np.array(graph.label)
-        seen = np.flatnonzero(label)
-        own[seen, label[seen]] += EVIDENCE
-        edges = np.array(graph.chain + graph.skip, dtype=np.int64).reshape(-1, 2)
-        factor = np.exp(np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)]))
+        label, given = np.array(graph.label), np.flatnonzero(graph.given)
+        own[given] = 0.0
+        own[given, label[given]] = EVIDENCE
+        kinds = ((graph.chain, self.chain), (graph.same, self.same), (graph.similar, self.similar))
+        edges = np.array([e for own_edges, _ in kinds for e in own_edges], dtype=np.int64).reshape(-1, 2)
+        factor = np.exp(np.concatenate([np.repeat(table[None], len(own_edges), 0) for own_edges, table in kinds]))
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         factor = np.concatenate([factor, factor.transpose(0, 2, 1)])
         n = len(edges)
@@ -215,12 +264,83 @@ class Field:
         return total / total.sum(axis=1, keepdims=True)
 
 
-def _information(counts: np.ndarray, prior: np.ndarray | float) -> np.ndarray:
-    """Pointwise mutual information of the labels at both ends; ``prior`` counts are added to the seen ones."""
-    both = counts + counts.T + prior
-    both /= both.sum()
-    side = both.sum(axis=1)
-    return np.log(both / np.outer(side, side))
+def variant(kind: str, span: str, rng: random.Random) -> str:
+    """A base span as it may be repeated: shortened, respaced or misspelled."""
+    digits = "".join(c for c in span if c in "0123456789")
+    if kind == "email":
+        local, _, domain = span.partition("@")
+        words = [w for w in re.findall(r"[A-Za-z]+", local) if len(w) >= WORD]
+        return rng.choice([local, local + "@", f"{local}[at]{domain}", *(w.title() for w in words)])
+    if kind == "ip":
+        parts = span.split(".")
+        return rng.choice(["-".join(parts), ".".join([*parts[:3], "x"]), ":".join(parts)])
+    if kind == "phone" and rng.random() < 0.7:
+        own = digits[-10:]
+        return rng.choice([f"{own[:-7]}-{own[-7:-4]}-{own[-4:]}", f"{own[-7:-4]}-{own[-4:]}", own, digits, f"{own[:-7]}.{own[-7:-4]}.{own[-4:]}"])
+    if kind == "card" and rng.random() < 0.3:
+        return digits[: rng.randint(9, 12)]
+    k = rng.randrange(len(digits))
+    return digits[:k] + rng.choice([str(rng.randint(0, 9)), ""]) + digits[k + 1 :]
+
+
+def planted(text: str, base: list[list[tuple[int, int]]], rng: random.Random, each: int = 3) -> tuple[str, list[tuple[int, int, int]]]:
+    """``text`` with repeats of its base spans and unrelated tokens of like shape put in: (start, end, kind) of each, 0 if unrelated."""
+    put = []
+    for k, own in enumerate(base):
+        for s, e in own[:each]:
+            like = variant(KINDS[k], text[s:e], rng)
+            put.append((like, k + 1))
+            for _ in range(2):
+                other = variant(KINDS[k], text[s:e], rng)
+                other = "".join(str(rng.randint(0, 9)) if c in "0123456789" else rng.choice(string.ascii_lowercase) if c.isalpha() else c for c in other)
+                put.append((other, 0))
+    places = sorted(rng.choices([m.end() for m in TOKEN.finditer(text)] or [0], k=len(put)))
+    inside = [(s, e) for own in base for s, e in own]
+    out, marks, at, length = [], [], 0, 0
+    rng.shuffle(put)
+    for place, (token, kind) in zip(places, put, strict=True):
+        place = next((e for s, e in inside if s < place < e), place)
+        place = max(place, at)
+        out += [text[at:place], " so ", token, " to"]
+        length += place - at + 4
+        marks.append((length, length + len(token), kind))
+        length += len(token) + 3
+        at = place
+    return "".join(out) + text[at:], marks
+
+
+def _rows(graph: Graph) -> np.ndarray:
+    """Of each free node: its shape, the labels of its left, right, equal and similar neighbours, and its own label."""
+    n, label = len(graph.doc), np.array(graph.label)
+    counts = np.zeros((4, n, LABELS))
+    for which, pairs in ((0, graph.chain), (1, [(b, a) for a, b in graph.chain]), *((k, p) for k, own in ((2, graph.same), (3, graph.similar)) for p in (own, [(b, a) for a, b in own]))):
+        for a, b in pairs:  # b hears of a
+            counts[which, b, label[a]] += 1
+    rows = np.concatenate([np.array(graph.shape), *counts, label[:, None]], axis=1)
+    return rows[~np.array(graph.given)]
+
+
+def fit(rows: np.ndarray, rounds: int = 1200, rate: float = 0.5, momentum: float = 0.95, decay: float = 1e-4) -> Field:
+    """Token weights, chain table and strengths of skip edges of the greatest pseudo-likelihood, by gradient steps on all together."""
+    shape, label = rows[:, :FEATURES], rows[:, -1].astype(int)
+    left, right, same, similar = (rows[:, FEATURES + k * LABELS : FEATURES + (k + 1) * LABELS] for k in range(4))
+    target = np.eye(LABELS)[label]
+    tables = [np.zeros((FEATURES, LABELS)), *(np.zeros((LABELS, LABELS)) for _ in range(3))]
+    speeds = [np.zeros_like(t) for t in tables]
+    for _ in range(rounds):
+        weights, chain, equal, alike = tables
+        score = shape @ weights + left @ chain + right @ chain.T + same @ equal + similar @ alike
+        score = np.exp(score - score.max(axis=1, keepdims=True))
+        wrong = (score / score.sum(axis=1, keepdims=True) - target) / len(rows)
+        steps = [shape.T @ wrong, left.T @ wrong + wrong.T @ right]
+        # One strength for each kind of skip edge: repeats agree, whatever their label is. It moves faster than
+        # the weights, so that edges and not shapes come to tell repeats from unrelated tokens.
+        steps += [QUICK * (near * wrong).sum() * np.eye(LABELS) for near in (same, similar)]
+        for table, speed, step in zip(tables, speeds, steps, strict=True):
+            speed *= momentum
+            speed -= rate * (step + decay * table)
+            table += speed
+    return Field(*tables)
 
 
 def train(df: DataFrame, sample: int = SAMPLE) -> Field | None:
@@ -229,42 +349,38 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Field | None:
     size = rows.count()
     if not size:
         return None
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, sample / size) * 1_000_000))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(np.ceil(min(1.0, sample / size) * 1_000_000)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            graph = Graph.empty()
-            for k, text in enumerate(batch.column(0).to_pylist()):
-                graph.add(k, text, base_spans(text), SAMPLE_TOKENS)
-            if not graph.doc:
-                continue
-            label, counts = np.array(graph.label), np.zeros((2, LABELS, LABELS))
-            for which, pairs in enumerate((graph.chain, graph.skip)):
-                for a, b in pairs:
-                    counts[which, label[a], label[b]] += 1
-            cells = (np.array(graph.shape, dtype="<f8"), label.astype("<i8"), counts.astype("<f8"))
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["shape", "label", "counts"])
-
-    # The sample is bounded, so few tasks hold it.
-    parts = picked.select("text").repartition(8).mapInArrow(lean(learn), "shape binary, label binary, counts binary").collect()
+            found = []
+            for text in batch.column(0).to_pylist():
+                base, rng = base_spans(text), random.Random(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                for _ in range(VIEWS if any(base) else 1):
+                    more, marks = planted(text, base, rng)
+                    graph = Graph.empty()
+                    graph.add(0, more, base_spans(more))
+                    if not graph.doc:
+                        continue
+                    at = 0
+                    for node, (low, high) in enumerate(graph.span):
+                        while at < len(marks) and marks[at][1] <= low:
+                            at += 1
+                        if at < len(marks) and marks[at][0] < high and not graph.given[node]:
+                            graph.label[node] = marks[at][2]
+                    own = _rows(graph)
+                    found.append(own[sorted(rng.sample(range(len(own)), SAMPLE_TOKENS))] if len(own) > SAMPLE_TOKENS else own)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(found).astype("<f4").tobytes()], pa.binary())], names=["rows"])
+
+    # The sample is bounded, so few tasks hold it and a bounded table comes back.
+    parts = picked.select("text").repartition(8).mapInArrow(lean(learn), "rows binary").collect()
     if not parts:
         return None
-    shape = np.concatenate([np.frombuffer(p["shape"]).reshape(-1, FEATURES) for p in parts])
-    label = np.concatenate([np.frombuffer(p["label"], dtype="<i8") for p in parts])
-    chain, skip = sum(np.frombuffer(p["counts"]).reshape(2, LABELS, LABELS) for p in parts)
-    # The order of the parts is not fixed; the order of the rows is made so.
-    order = np.lexsort([*shape.T, label])
-    shape, label = shape[order], label[order]
-    shown, turn = shape.copy(), np.arange(len(shape)) % 4
-    shown[(turn == 0) | (turn == 2), 1 : 1 + CUES] = 0.0
-    shown[(turn == 1) | (turn == 2), NEIGHBOURS] = 0.0
-    weights, target = np.zeros((FEATURES, LABELS)), np.eye(LABELS)[label]
-    for _ in range(300):
-        score = shown @ weights
-        score = np.exp(score - score.max(axis=1, keepdims=True))
-        score /= score.sum(axis=1, keepdims=True)
-        weights -= 1.0 * (shown.T @ (score - target) / len(label) + 1e-4 * weights)
-    return Field(weights, _information(chain, 0.5), _information(skip, AGREE))
+    found = np.concatenate([np.frombuffer(p["rows"], dtype="<f4").reshape(-1, FEATURES + 4 * LABELS + 1) for p in parts]).astype(float)
+    if not len(found):
+        return None
+    return fit(found[np.lexsort(found.T)])  # the order of the parts is not fixed; the order of the rows is made so
 
 
 def _added(field: Field, graph: Graph) -> dict[int, list[list[tuple[int, int]]]]:
@@ -275,7 +391,7 @@ def _added(field: Field, graph: Graph) -> dict[int, list[list[tuple[int, int]]]]
     belief = field.beliefs(graph)
     best, sure = belief.argmax(axis=1), belief.max(axis=1)
     joined = {b: a for a, b in graph.chain}
-    new = [best[k] > 0 and not graph.label[k] and sure[k] >= SURE for k in range(len(graph.doc))]
+    new = [best[k] > 0 and not graph.given[k] and sure[k] >= SURE for k in range(len(graph.doc))]
     for k in np.flatnonzero(new):
         spans = out.setdefault(graph.doc[k], [[] for _ in KINDS])[best[k] - 1]
         before = joined.get(int(k))
