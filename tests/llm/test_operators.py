@@ -232,7 +232,7 @@ def test_rules_and_parts(spark):
         (1, "http://A.net/x"), (2, "https://www.Example.NET/en/a"), (3, "http://example.com/de/?q"), (4, "http://example.com/DE/"), (5, "http://b.org/fr/x#y"), (6, "http://net"),
         (7, None), (8, "no scheme"), (9, "a://b://c/d"), (10, "http://notexample.com/de/"), (11, ""), (12, "http://h?x/y"), (13, "http://x.net/y\nz"),
     ]
-    rows = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(given, "page_id long, url string"), urls.UrlModel([], 0.0, None)).collect()}
+    rows = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(given, "page_id long, url string"), urls.UrlModel(None, 0.0, None)).collect()}
     want = {1: "net/", 2: "example.net/en/", 3: "example.com/de/", 4: None, 5: "org/fr/", 6: None, 7: None, 8: None, 9: None, 10: None, 11: None, 12: None, 13: "net/"}
     assert {k: r["rule"] for k, r in rows.items()} == want
     assert (rows[9]["host"], rows[9]["path"]) == ("b:", "//c/d") and (rows[12]["host"], rows[12]["path"]) == ("h", "") and rows[7]["host"] == ""
@@ -247,10 +247,29 @@ def test_trees_learn_from_labelled_urls(spark):
     model = urls.train(df)
     got = {r["page_id"]: r["verdict"] for r in urls.judge(df, model).collect()}
     assert len(got) == 501 and all(got[k] == "block" for k in range(1000, 1100)) and all(got[k] == "allow" for k in range(400))
+    for clash in ("probability", "features", "prediction", "f_site", "s_tld", "n", "bad", "_row", "a.b"):
+        df = df.withColumn(clash, F.lit("mine"))
+    again = urls.judge(df, model).collect()
+    assert {r["page_id"]: r["verdict"] for r in again} == got and {r["features"] for r in again} == {r["a.b"] for r in again} == {"mine"}
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty, urls.train(empty)).count() == 0
 
 
+def test_no_host_is_learned_by_heart(spark):
+    """The shares around a host leave its own rows out, and hosts that were never seen are judged by their looks."""
+    rng = random.Random(5)
+    good = [(f"https://{rng.choice(['news', 'blog', 'shop'])}{k % 40}.example.org/en/{k}", 0.0) for k in range(400)]
+    bad = [(f"http://buy-now-{k % 20}-x.example.org/a?b={k}&c={k}&d=1", 1.0) for k in range(200)]
+    labels = spark.createDataFrame(good + bad, "url string, label double")
+    model = urls.train(labels, labels)
+    shares = {r["host"]: r["f_domain"] for r in model.shares(spark.createDataFrame([("news1.example.org",), ("buy-now-1-x.example.org",), ("other.example.org",)], "host string")).collect()}
+    of = lambda host, own: (sum(l for u, l in good + bad if f"//{host}/" not in u or not own) + urls.SMOOTH / 3) / (sum(f"//{host}/" not in u or not own for u, _ in good + bad) + urls.SMOOTH)  # noqa: E731, E741
+    assert shares == pytest.approx({"news1.example.org": of("news1.example.org", True), "buy-now-1-x.example.org": of("buy-now-1-x.example.org", True), "other.example.org": of("", False)})
+    unseen = spark.createDataFrame([(1, "http://buy-now-99-x.example.org/a?b=1&c=2&d=1"), (2, "https://news99.example.org/en/7")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(unseen, model).collect()} == {1: "block", 2: "allow"}
+    assert urls.held_out_auc(labels, labels) > 0.95
+
+
 # Licences
 
 
