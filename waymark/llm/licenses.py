@@ -1,15 +1,18 @@
 """Licence scan by a trained paragraph classifier (DataFrame operations and Spark's own models only).
 
-Every paragraph (line) that is not blank is classified by logistic regression on hashed word 1- and
-2-grams: a class for each licence family and one for everything else.  The probability of being a licence at
-all is calibrated on held-out examples (Platt scaling); below one half the paragraph is of unknown kind.
+Every paragraph (line) that is not blank is classified by logistic regression on the word 1- and 2-grams of
+the fixed texts below, weighed by the paragraph's length: a class for each licence family and one for everything else.  The probability of being a licence at
+all is calibrated (Platt scaling) on held-out templates, whose parts the scaled model has not seen, weighted
+as if ``PRIOR`` of all paragraphs were licences.  Reported
+are the paragraphs with a calibrated probability of at least ``DOUBT``: of a family from one half on, of
+unknown kind below it or where no family has half of what all families have.
 A prediction counts as confirmed if enough of the paragraph's word 3-grams, or of a template's, are shared
-with a template of that family.  Reported are the paragraphs taken for licences, and those of unknown kind
-that hold one of the stems in ``SCREEN``.
+with a template of that family.
 
 It learns from the templates (whole, in sentences, halves and wrapped lines, among other words), from
 fixed sentences that use the same words otherwise, and from at most ``NEGATIVES`` distinct paragraphs of the
-corpus without a stem, picked by hash.
+corpus, picked by hash, that share no word 3-gram with a template; a third of them are hard ones, which hold a
+word stem in ``STEMS``.
 
 Defined results: null and empty texts have no paragraphs and give no rows; a line that occurs several
 times is reported each time; repeated rows are reported alike; null doc_ids are reported as null; empty
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import literal_table, settle, table
 
-NEGATIVES, BITS, CONFIRM, UNKNOWN, BLOCK = 1500, 12, 0.5, "unknown", 256
-SCREEN = r"(?i)licen[cs]|copyright|copyleft|warrant|public domain|rights reserved|\bgpl|\bcc[ -](by|0)|spdx|redistribut|permission is"
+NEGATIVES, CONFIRM, DOUBT, PRIOR, UNKNOWN, BLOCK, FOLDS = 3000, 0.5, 0.2, 0.02, "unknown", 256, 5
+STEMS = r"(?i)licen[cs]|copyright|copyleft|warrant|public domain|rights reserved|\bgpl|\bcc[ -](by|0)|spdx|redistribut|permission is"
 
 # Notices and opening words of public licences, by family.
 TEMPLATES = (
@@ -119,9 +122,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "paragraph", F.col("_line.start").cast("bigint").alias("start"), F.col("_line.body").alias("body")).where(F.col("body").rlike(r"\S"))
 
 
-def examples() -> list[tuple[str, str]]:
-    """(family, body): the fixed training examples."""
-    out = [(UNKNOWN, body) for body in OTHERWISE] + 4 * list(NAMES)
+def examples() -> list[tuple[str, str, int]]:
+    """(family, body, fold): the fixed training examples; all parts of a template are in one fold."""
+    out = [(UNKNOWN, body, k % FOLDS) for k, body in enumerate(OTHERWISE)]
+    out += 4 * [(family, body, k % FOLDS) for k, (family, body) in enumerate(NAMES)]
     for k, (family, body) in enumerate(TEMPLATES):
         sentences = [s for s in re.split(r"(?<=[.;:]) ", body) if len(s.split()) > 4 or s == body]
         words = body.split()
@@ -130,28 +134,42 @@ def examples() -> list[tuple[str, str]]:
         if len(words) > 16:  # as wrapped lines
             parts |= {" ".join(words[at : at + 10]) for at in range(0, len(words) - 4, 5)}
             parts |= {" ".join(words[at : at + 6]) for at in range(0, len(words) - 4, 3)}
-        other = [OTHERWISE[(k + j) % len(OTHERWISE)] for j in range(2)]
-        parts |= {f"{other[0]} {body}", f"{body} {other[1]}", f"Copyright 2020 the authors. {body}", body.lower(), body.upper()}
-        out += [(family, part) for part in sorted(parts)]
+        other = [OTHERWISE[(k + FOLDS * j) % len(OTHERWISE)] for j in range(2)]  # of the template's own fold
+        parts |= {f"{other[0]} {body}", f"{body} {other[1]}", f"Copyright 2020 the authors. {body}"}
+        out += [(family, part, k % FOLDS) for part in sorted(parts)]
     return out
 
 
+#: Counted for each paragraph beside its grams, so that a line of one word is not all that word and long prose adds up to nothing.
+LENGTH, EVERY = " length", 3
+
+
+def vocabulary() -> list[str]:
+    """The 1- and 2-grams of the fixed texts."""
+    texts = [body for _, body in (*TEMPLATES, *NAMES)] + list(OTHERWISE)
+    return sorted({g for text in texts for size in (1, 2) for g in _runs(text, size)}) + [LENGTH]
+
+
 def _features(rows: DataFrame) -> DataFrame:
-    """``rows`` (body) with the hashed word 1- and 2-grams."""
-    from pyspark.ml.feature import HashingTF
+    """``rows`` (body) with the counts of its known grams and of ``LENGTH``, scaled to length one."""
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
 
-    words = F.filter(F.split(F.lower("body"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = _words(F.col("body"))
     joined = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.concat_ws(" ", F.get("words", k - 1), F.get("words", k)))
     pairs = F.when(F.size("words") > 1, joined).otherwise(F.array().cast("array<string>"))
-    grams = rows.withColumn("words", words).withColumn("grams", F.concat("words", pairs))
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << BITS, binary=True).transform(grams)
+    length = F.array_repeat(F.lit(LENGTH), F.lit(1) + F.floor(F.size("words") / EVERY).cast("int"))
+    grams = rows.withColumn("words", words).withColumn("grams", F.concat("words", pairs, length))
+    counted = CountVectorizerModel.from_vocabulary(vocabulary(), "grams", "counted").transform(grams)
+    return Normalizer(inputCol="counted", outputCol="features").transform(counted)
 
 
 class LicenceModel:
     """Families, the classifier over them, and the calibration of "is a licence"."""
 
-    def __init__(self, families: list[str], classifier, slope: float, offset: float):
+    def __init__(self, families: list[str], classifier, slope: float, offset: float, held_out: float | None = None):
         self.families, self.classifier, self.slope, self.offset = families, classifier, slope, offset
+        #: The share of held-out examples, of templates that the scaled model did not see, that are told apart.
+        self.held_out = held_out
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """``rows`` (body) with ``words``, ``family`` (unknown if unlikely to be a licence) and ``probability``."""
@@ -164,9 +182,10 @@ class LicenceModel:
         out = out.withColumns({"_best": best, "_logit": _logit(1 - F.get("_p", F.lit(0)))})
         sure = 1 / (1 + F.exp(-(F.lit(self.slope) * F.col("_logit") + F.lit(self.offset))))
         names = F.array(*map(F.lit, self.families))
+        clear = F.col("_best.p") >= 0.5 * (1 - F.get("_p", F.lit(0)))
         return out.withColumns({
             "probability": sure,
-            "family": F.when(sure >= 0.5, F.get(names, 1 - F.col("_best.k"))).otherwise(UNKNOWN),
+            "family": F.when((sure >= 0.5) & clear, F.get(names, 1 - F.col("_best.k"))).otherwise(UNKNOWN),
         }).select(*kept, "words", "family", "probability")
 
 
@@ -183,24 +202,42 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
 
     spark, total = docs.sparkSession, docs.count()
     share = min(1.0, negatives / max(total, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("body")).where((F.length("body") > 0) & ~F.col("body").rlike(SCREEN))
-    taken = lines.distinct().orderBy(F.xxhash64("body"), "body").limit(negatives).withColumn("family", F.lit(UNKNOWN))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    lines = settle(some.select(F.explode(F.split("text", "\n")).alias("body")).where(F.length("body") > 0).distinct().withColumn("words", _words(F.col("body"))))
+    known = F.array(*map(F.lit, sorted({g for _, body in TEMPLATES for g in _runs(body)})))
+    other = lines.where(~F.arrays_overlap(_grams(F.col("words")), known))
+    stems = F.col("body").rlike(STEMS)
+    pick = lambda rows, most: rows.orderBy(F.xxhash64("body"), "body").limit(most)
+    taken = pick(other.where(~stems), negatives - negatives // 3).unionByName(pick(other.where(stems), negatives // 3))
+    taken = taken.select(F.lit(UNKNOWN).alias("family"), "body", F.pmod(F.xxhash64("body"), F.lit(FOLDS)).cast("int").alias("fold"))
     families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
-    fixed = literal_table(spark, examples(), "family string, body string")
+    fixed = literal_table(spark, examples(), "family string, body string, fold int")
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    rows = settle(_features(fixed.unionByName(taken.select("family", "body")).withColumn("label", number.cast("double")).coalesce(1)))
-    held = F.pmod(F.xxhash64("body"), F.lit(5)) == 0
-    learner = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.1, maxIter=60)
-    part = learner.fit(rows.where(~held))
-    judged = part.transform(rows.where(held)).select(
+    rows = settle(_features(fixed.unionByName(taken).withColumn("label", number.cast("double")).coalesce(1)))
+    learner = LogisticRegression(family="multinomial", regParam=0.0003, elasticNetParam=0.1, maxIter=60)
+    part = learner.fit(rows.where("fold > 0"))
+    judged = settle(part.transform(rows.where("fold = 0")).select(
         (F.col("label") > 0).cast("double").alias("label"), _logit(1 - vector_to_array("probability")[0]).alias("logit")
-    )
+    ))
     slope, offset = 1.0, 0.0
-    if judged.select("label").distinct().count() == 2:
-        platt = LogisticRegression(regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=["logit"], outputCol="features").transform(judged))
+    sizes = {r["label"]: r["n"] for r in judged.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) == 2:
+        weight = F.when(F.col("label") > 0, F.lit(PRIOR / sizes[1.0])).otherwise(F.lit((1 - PRIOR) / sizes[0.0])) * sum(sizes.values())
+        platt = LogisticRegression(regParam=0.001, maxIter=50, weightCol="weight").fit(VectorAssembler(inputCols=["logit"], outputCol="features").transform(judged.withColumn("weight", weight)))
         slope, offset = float(platt.coefficients[0]), float(platt.intercept)
-    return LicenceModel(families, learner.fit(rows), slope, offset)
+    sure = 1 / (1 + F.exp(-(F.lit(slope) * F.col("logit") + F.lit(offset))))
+    right = judged.agg(F.avg(((sure >= 0.5) == (F.col("label") > 0)).cast("double")).alias("right")).first()["right"]
+    return LicenceModel(families, learner.fit(rows), slope, offset, right)
+
+
+def _words(text):
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _runs(body: str, size: int = 3) -> set[str]:
+    """:func:`_grams` of a fixed text."""
+    words = [w for w in re.split(r"[\W_]+", body.lower()) if w]
+    return {" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
 
 
 def _grams(words, size: int = 3):
@@ -210,14 +247,14 @@ def _grams(words, size: int = 3):
 
 
 def scan(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, paragraph, start, family, probability, overlap, confirmed) of each paragraph that is a licence or holds a stem."""
-    words = F.filter(F.split(F.lower("template"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """(doc_id, paragraph, start, family, probability, overlap, confirmed) of each paragraph that is or may be a licence."""
+    words = _words(F.col("template"))
     known = literal_table(docs.sparkSession, TEMPLATES, "family string, template string")
     # The fixed templates: a constant table.
     known = known.select("family", _grams(words).alias("known")).groupBy("family").agg(F.collect_list("known").alias("known"))
     # Spark moves no filter below a row number; moved, this one would compute the features once for each use.
     scored = model.scored(paragraphs(docs)).withColumn("_row", F.monotonically_increasing_id())
-    scored = scored.where((F.col("_row") >= 0) & ((F.col("family") != UNKNOWN) | F.col("body").rlike(SCREEN)))
+    scored = scored.where((F.col("_row") >= 0) & (F.col("probability") >= DOUBT))
     scored = scored.join(F.broadcast(known), "family", "left").withColumn("own", _grams(F.col("words")))
     shares = F.transform("known", lambda k: F.size(F.array_intersect(k, "own")) / F.least(F.size(k), F.size("own")))
     overlap = F.coalesce(F.array_max(shares), F.lit(0.0))
