@@ -218,7 +218,7 @@ def test_simhash_odd_inputs(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == 9
     assert {r["component_id"] for r in rows if r["fp"] == 0} == {1}
-    kept = simhash.representatives(odd(spark), simhash.near_duplicates(odd(spark)))
+    kept = simhash.representatives(odd(spark))
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(k for k in ids if k is not None) == [1, 3, 4, 7] and ids.count(None) == 1
     assert simhash.near_duplicates(odd(spark, False)).count() == 0

@@ -3,41 +3,42 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.lineage import settle  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+#: A broadcast list of ids has at most so many rows (8 bytes each); longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where neither that setting nor a
-    checkpoint folder exists (a local test session) a temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-checkpoint-"))
-    return df.checkpoint(eager=True)
 
+def row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two columns that name a row by all its values (128 bits of hashes; maps are left out), and their names.
 
-#: A broadcast list of ids has at most so many rows (8 bytes each); longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+    Rows that share a doc_id, or have none, are told apart; only equal rows have equal keys.
+    """
+    names = ["_row_key", "_row_check"]
+    while set(names) & set(df.columns):
+        names = ["_" + n for n in names]
+    values = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    # xxhash64 passes nulls over; which values are null is hashed as well.
+    nulls = F.concat(*(v.isNull().cast("int").cast("string") for v in values))
+    return df.withColumns({names[0]: F.xxhash64(nulls, *values), names[1]: F.xxhash64(F.lit("check"), nulls, *values)}), names
 
 
-def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is not in ``ids``, a settled table of distinct keys; null equals null."""
-    ids = ids.select(F.col(key).alias("_gone"))
+def keep_rows(df: DataFrame, ids: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` (never null) are in ``ids`` (``left_semi``) or not (``left_anti``); ``ids`` is settled and distinct."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, df[key].eqNullSafe(ids["_gone"]), "left_anti")
+    return df.join(ids, keys, kind)
 
 
 def lean(run):

@@ -30,10 +30,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import lean, settle, table, without
+from waymark.llm._common import keep_rows, lean, row_keys, settle, table
 from waymark.llm.components import components
 
 SHINGLE, SEED, RADIUS, CROWD = 3, 42, 3, 64
@@ -55,15 +55,17 @@ def simhash(text: str | None, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed bigint."""
+def fingerprints(df: DataFrame, words: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the columns ``carry``) for every row; fp is the fingerprint as a signed bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id bigint, fp bigint")
+    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    more = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(lean(run), "doc_id bigint, fp bigint" + more)
 
 
 def _halves(nodes: DataFrame) -> DataFrame:
@@ -114,36 +116,38 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Da
     return links
 
 
-def near_duplicates(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable."""
-    docs = settle(fingerprints(df, words))
+def near_duplicates(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, and ``carry``) for every row.
+
+    component_id is the smallest doc_id reachable; root is the same fingerprint for all of a component.
+    """
+    docs = settle(fingerprints(df, words, carry))
     nodes = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = settle(components(ball_links(nodes.select("fp"), radius, crowd)))
     linked = settle(nodes.join(roots, nodes.fp == roots.node).select("fp", "first", "root"))
     least = settle(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    labels = linked.join(least, "root").select("fp", "component_id")
-    single = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    return docs.join(settle(labels.unionByName(single)), "fp").select("doc_id", "fp", "component_id")
+    labels = linked.join(least, "root").select("fp", "component_id", "root")
+    single = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"), F.col("fp").alias("root"))
+    return docs.join(settle(labels.unionByName(single)), "fp").select("doc_id", "fp", "component_id", "root", *carry)
 
 
-def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component of ``found`` (:func:`near_duplicates` of it): its smallest doc_id.
+def representatives(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates: that of the smallest doc_id (null last), then by a hash of the row.
 
-    Rows that share one doc_id count as one document; of those and of rows without a doc_id that have
-    a near-duplicate, one stays, by text.
+    Rows are told apart by all their values, so that rows without a doc_id, or with one in common, are
+    judged each by its own text.
     """
-    found = settle(found)
-    gone = settle(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = without(docs, gone, "doc_id")
-    repeated = settle(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if not repeated.count():
-        return kept
-    # Only repeated ids are dealt by id: fingerprint and component decide which of their rows are alike.
-    again = docs.join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    single = without(kept, repeated, "doc_id")
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"])
-    once = without(again, gone, "doc_id").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return single.unionByName(once)
+    keyed, keys = row_keys(docs)
+    found = settle(near_duplicates(keyed, words, radius, carry=tuple(keys)))
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *keys)
+    groups = settle(found.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", *(F.col(f"best.{k}").alias(f"best{j}") for j, k in enumerate(keys))))
+    others = found.join(groups, "root").where((F.col(keys[0]) != F.col("best0")) | (F.col(keys[1]) != F.col("best1")))
+    kept = keep_rows(keyed, settle(others.select(*keys).distinct()), keys, "left_anti")
+    # Equal rows have equal keys: of the best one, too, only one copy stays.
+    repeated = settle(found.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    if repeated.count():
+        kept = keep_rows(kept, repeated, keys, "left_anti").unionByName(keep_rows(kept, repeated, keys, "left_semi").dropDuplicates(keys))
+    return kept.drop(*keys)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
