@@ -32,6 +32,23 @@ def test_native_folding_equals_the_exact_form(spark):
     assert column(spark, letters, t.normalise) == [t.fold(c) for c in letters]
 
 
+def test_folding_any_script(spark):
+    given_ = ["Ἀθήνα", "ﬁn ½", "ＡＢＣ", "ԵՐԵՎԱՆ և", "한국 값", "STRASSE Straße", "ⅷ ㎏", "שָׁלוֹם", "Ünïcödé", "plain ASCII", "", None]
+    assert column(spark, given_, t.normalise) == [None if v is None else t.fold(v) for v in given_]
+    assert column(spark, ["Ἀθήνα"], t.normalise) == ["αθηνα"]
+    every = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000] + ["a" + chr(c) for c in range(0x1D400, 0x1D500)]
+    assert column(spark, every, t.normalise) == [t.fold(c) for c in every]
+
+
+def test_case_folding(spark):
+    given_ = ["Straße", "STRASSE", "ΟΔΟΣ", "οδος", "ŉ", "İstanbul", "Київ", "ﬀ", None]
+    assert column(spark, given_, t.casefold) == [None if v is None else v.casefold() for v in given_]
+
+
+def test_clean_takes_every_white_space(spark):
+    assert column(spark, ["a\x1c\x1fb \u2003c\x85", None], t.clean) == ["a b c", ""]
+
+
 def test_words(spark):
     assert column(spark, ["Медовий двір!", "a_1 b-2", "", None], lambda v: t.words(t.normalise(v))) == [["медовии", "двір"], ["a_1", "b", "2"], [], None]
 

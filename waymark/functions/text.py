@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 def clean(text: Column) -> Column:
     """Runs of white space become one space; the ends are trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def fold(text: str) -> str:
@@ -21,30 +21,35 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
-@lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """What :func:`fold` does to each character up to Cyrillic: one to one, deleted, or longer."""
-    one, gone, longer = {}, [], {}
-    for code in (*range(0x20, 0x530), *range(0x1E00, 0x1F00), *range(0x2010, 0x2030)):
-        char = chr(code)
-        if (to := fold(char)) == char:
-            continue
-        if len(to) == 1:
-            one[char] = to
-        elif to:
-            longer[char] = to
+#: Code points that the expressions below fold by themselves: Latin, Greek, Cyrillic and general punctuation.
+_OWN = (*range(0x530), *range(0x1E00, 0x1F00), *range(0x2010, 0x2070), *range(0x20A0, 0x20C1))
+_ASCII = r"^\p{ASCII}*+$"
+
+
+def _covered(known: list[int]) -> str:
+    """A pattern of the texts that hold only ``known`` code points."""
+    runs: list[list[int]] = []
+    for code in sorted(known):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
         else:
-            gone.append(char)
-    return "".join(one) + "".join(gone), "".join(one.values()), longer
+            runs.append([code, code])
+    return "^[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]*+$"
 
 
-def normalise(text: Column) -> Column:
-    """:func:`fold` inside the JVM; exact for Latin, Greek and Cyrillic letters with their marks."""
-    source, target, longer = _fold_tables()
-    for char, to in longer.items():
-        if char.isalpha() and ord(char) < 0x180:  # a few Latin letters; ligatures beyond are left to the exact form
-            text = F.replace(text, F.lit(char), F.lit(to))
-    return F.translate(text, source, target)
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[str, str, str]:
+    """What :func:`fold` does to each of these characters (source, target; deleted ones last), and the texts it covers."""
+    one, gone, known = {}, [], [ord("ß")]
+    for char in map(chr, _OWN):
+        to = fold(char)
+        if to == char or len(to) <= 1:
+            known.append(ord(char))
+        if to != char and len(to) == 1:
+            one[char] = to
+        elif not to:
+            gone.append(char)
+    return "".join(one) + "".join(gone), "".join(one.values()), _covered(known)
 
 
 @F.pandas_udf(T.StringType())
@@ -53,6 +58,30 @@ def normalise_exact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else fold(t))
 
 
+def normalise(text: Column) -> Column:
+    """:func:`fold`, inside the JVM for the scripts of ``_OWN``; only texts with other characters are sent to Python."""
+    source, target, covered = _fold_tables()
+    here = F.when(text.rlike(_ASCII), F.lower(text)).when(text.rlike(covered), F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), source, target))
+    return F.coalesce(here, normalise_exact(F.when(~text.rlike(covered), text)))
+
+
+@lru_cache(maxsize=1)
+def _plain_case() -> str:
+    """The texts that lower-casing folds, but for the two letters that :func:`casefold` handles."""
+    return _covered([ord(c) for c in map(chr, range(0x530)) if c in "ßς" or (c.casefold() == c.lower() and len(c.lower()) == 1)])
+
+
+@F.pandas_udf(T.StringType())
+def casefold_exact(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.casefold())
+
+
+def casefold(text: Column) -> Column:
+    """Case folding: what lower-casing does, and letters such as ß beyond it."""
+    here = F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return F.coalesce(F.when(text.rlike(_plain_case()), here), casefold_exact(F.when(~text.rlike(_plain_case()), text)))
+
+
 def words(text: Column) -> Column:
     """All words of a text in turn: runs of letters, numbers and underscores."""
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
@@ -101,10 +130,24 @@ def romanise_naive(text: Column) -> Column:
     return _spell(F.lower(text), SINGLE | TYPED_SINGLE, {k: v for k, v in (SEVERAL | TYPED_SEVERAL).items() if k not in TYPED_SINGLE})
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+ROMANISED = "array<struct<scheme: string, value: string>>"
+
+
 def romanisations(text: Column) -> Column:
-    """Array of (scheme, value): distinct romanisations of a Cyrillic text that differ from it, official first."""
-    kmu, naive = F.trim(romanise_kmu(text)), F.trim(romanise_naive(text))
+    """Array of (scheme, value): distinct romanisations of a Cyrillic text that differ from it, official first.
+
+    Other texts cost one look for a Cyrillic letter.
+    """
     pair = lambda scheme, value: F.struct(F.lit(scheme).alias("scheme"), value.alias("value"))
-    both = F.array(pair("translit_kmu", kmu), F.when(naive != kmu, pair("translit_naive", naive)))
-    kept = F.filter(both, lambda x: x.isNotNull() & (x["value"] != "") & (F.lower(x["value"]) != F.lower(text)))
-    return F.when(is_cyrillic(text), kept).otherwise(F.filter(both, lambda x: F.lit(False)))
+
+    def differing(t: Column) -> Column:
+        both = F.array(pair("translit_kmu", t["kmu"]), F.when(t["naive"] != t["kmu"], pair("translit_naive", t["naive"])))
+        return F.filter(both, lambda x: x.isNotNull() & (x["value"] != "") & (F.lower(x["value"]) != t["low"]))
+
+    spelled = F.struct(F.trim(romanise_kmu(text)).alias("kmu"), F.trim(romanise_naive(text)).alias("naive"), F.lower(text).alias("low"))
+    return F.when(is_cyrillic(text), bound(spelled, differing)).otherwise(F.array().cast(ROMANISED))

@@ -22,17 +22,23 @@ def terms(places: DataFrame, names: DataFrame | None = None) -> DataFrame:
     if names is not None:
         joined = names.groupBy("place_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda n: n["name"]), " ").alias("_names"))
         places = places.join(joined, "place_id", "left")
-    own = word_set(normalise(F.coalesce(F.col("_names"), F.col("name")) if names is not None else F.col("name")))
+    empty = F.array().cast("array<string>")
     latin = F.array_join(F.transform(romanisations(F.col("context")), lambda r: r["value"]), " ")
-    around = word_set(normalise(F.concat_ws(" ", "context", latin)))
-    out = places.withColumn("name_terms", F.sort_array(F.coalesce(own, F.array().cast("array<string>"))))
-    return out.withColumn("context_terms", F.sort_array(F.array_except(F.coalesce(around, F.array().cast("array<string>")), "name_terms"))).drop("_names")
+    # Each text is a column before it is folded: folding names it several times.
+    texts = places.withColumns({
+        "_own": F.coalesce(F.col("_names"), F.col("name")) if names is not None else F.col("name"), "_around": F.concat_ws(" ", "context", latin),
+    })
+    out = texts.withColumns({f"{k}_words": F.coalesce(word_set(normalise(F.col(k))), empty) for k in ("_own", "_around")})
+    out = out.withColumn("name_terms", F.sort_array("_own_words"))
+    return out.withColumn("context_terms", F.sort_array(F.array_except("_around_words", "name_terms"))).drop("_names", "_own", "_around", "_own_words", "_around_words")
 
 
 def pairs(termed: DataFrame) -> DataFrame:
     """(word, place_id, named): one row for each word of each place."""
-    name = termed.select(F.explode("name_terms").alias("word"), "place_id", F.lit(True).alias("named"))
-    return name.unionByName(termed.select(F.explode("context_terms").alias("word"), "place_id", F.lit(False).alias("named")))
+    marked = lambda terms, named: F.transform(terms, lambda w: F.struct(w.alias("word"), F.lit(named).alias("named")))
+    # An outer explode: Spark adds no filter on the size, which would find every text's words once more.
+    every = termed.select("place_id", F.explode_outer(F.concat(marked("name_terms", True), marked("context_terms", False))).alias("term"))
+    return every.where("term is not null").select("term.word", "place_id", "term.named")
 
 
 def packed_ref(place_id: Column, named: Column) -> Column:
@@ -81,7 +87,7 @@ def unpack_postings(posted: DataFrame) -> DataFrame:
 def write_index(termed: DataFrame, folder: str) -> None:
     """places, pairs and vocab as Parquet; words sorted so that a range of them reads few row groups."""
     termed.write.mode("overwrite").parquet(f"{folder}/places")
-    exploded = pairs(termed)
+    exploded = pairs(termed.sparkSession.read.parquet(f"{folder}/places"))
     exploded.repartitionByRange("word", "place_id").sortWithinPartitions("word", "place_id").write.mode("overwrite").parquet(f"{folder}/pairs")
     saved = termed.sparkSession.read.parquet(f"{folder}/pairs")
     vocabulary(saved).repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{folder}/vocab")

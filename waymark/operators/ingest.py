@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import line_centroid, polygons_centroid
-from waymark.functions.text import clean, romanisations
+from waymark.functions.text import casefold, clean, romanisations
 from waymark.schema import ADMIN_LEVELS, NAME_KEYS, NEARBY_RANKS, STRONG_KEYS, WEAK_KEYS
 
 
@@ -89,7 +89,7 @@ def _with_romanisations(names: DataFrame) -> DataFrame:
 def _first_names(names: DataFrame, key: str) -> DataFrame:
     """The first row of each folded name of a place, renumbered in order (a place has few names)."""
     order = [c for c in ("_late", "ord", "_k") if c in names.columns]
-    firsts = names.groupBy(key, F.lower("name").alias("_folded")).agg(F.min_by(F.struct("source", "name"), F.struct(*order)).alias("v"), F.min(F.struct(*order)).alias("o"))
+    firsts = names.withColumn("_folded", casefold(F.col("name"))).groupBy(key, "_folded").agg(F.min_by(F.struct("source", "name"), F.struct(*order)).alias("v"), F.min(F.struct(*order)).alias("o"))
     gathered = firsts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("o", "v"))).alias("all"))
     return gathered.select(key, F.posexplode("all").alias("ord", "x")).select(key, "ord", "x.v.source", "x.v.name")
 
