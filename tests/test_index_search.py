@@ -156,6 +156,6 @@ def test_primary_and_related(spark):
 def test_range_plan_is_a_hash_join(spark):
     places = {1: ({"alpha"}, {"beta"}, "Alpha", "shop=x")}
     asked = spark.createDataFrame([("al",)], "word string")
-    plan = search.prefix_candidates(asked, build(spark, places).vocab)._jdf.queryExecution().toString()
+    plan = search.prefix_candidates(asked, build(spark, places).prefixes)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert F.col("x") is not None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
@@ -94,6 +95,56 @@ def test_cells_equal_brute_force(spark):
     assert {(r["place_id"], r["name"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("lat", [0.01, -60.0, 78.2, 89.5])
+def test_cells_hold_at_any_latitude(spark, lat):
+    rng = random.Random(int(lat))
+    width = 0.6 / max(math.cos(math.radians(lat)), 0.01)
+    at = [(k, "p", rng.uniform(20, 20 + width), lat + rng.uniform(-0.3, 0.3), "") for k in range(80)]
+    to = [(f"s{k}", "village", rng.uniform(20, 20 + width), lat + rng.uniform(-0.3, 0.3)) for k in range(80)]
+    metres = lambda x, y, sx, sy: math.hypot((sx - x) * 111_320 * math.cos(math.radians(y)), (sy - y) * 110_574)
+    want = {(k, n) for k, _, x, y, _ in at for n, _, sx, sy in to if metres(x, y, sx, sy) <= 12_000}
+    got = spatial.nearest(places(spark, at), points(spark, to), 12_000.0, 100)
+    assert want and {(r["place_id"], r["name"]) for r in got.collect()} == want
+    lines = [(k, n, [(sx, sy), (sx + 0.01, sy + 0.002)]) for k, (n, _, sx, sy) in enumerate(to)]
+    streets = spark.createDataFrame(lines, "seq long, name string, line array<struct<lon: double, lat: double>>")
+
+    def nearest(x, y):
+        out = []
+        for k, n, ((ax, ay), (bx, by)) in lines:
+            t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            out.append((metres(x, y, ax + t * (bx - ax), ay + t * (by - ay)), k, n))
+        return min(out)
+
+    found = {r["place_id"]: r["name"] for r in spatial.nearest_street(places(spark, at), streets, 3_000.0).collect()}
+    best = {k: nearest(x, y) for k, _, x, y, _ in at}
+    assert found == {k: n for k, (d, _, n) in best.items() if d <= 3_000}
+
+
+@pytest.mark.parametrize("cell_size", [0.1, 0.25, 3.0])
+def test_tiles_equal_the_polygons(spark, cell_size):
+    """Stars with holes, cut into tiles, against even-odd counting over whole polygons; most tiles carry no geometry."""
+    rng = random.Random(6)
+
+    def star(x, y, radius, corners=24):
+        ring = [(x + radius * rng.uniform(0.6, 1) * math.cos(2 * math.pi * k / corners), y + radius * rng.uniform(0.6, 1) * math.sin(2 * math.pi * k / corners)) for k in range(corners)]
+        return [*ring, ring[0]]
+
+    shapes = [(k, f"a{k}", str(k), [[star(x, y, 1.5), star(x, y, 0.5)], [star(x + 4, y, 0.7)]]) for k, (x, y) in enumerate([(0.1, 0.2), (1.0, -0.5), (-2.2, 0.7)])]
+    at = [(k, "p", rng.uniform(-4, 6), rng.uniform(-2.5, 2.5), "") for k in range(600)]
+
+    def inside(x, y, polys):
+        odd = False
+        for ring in (r for poly in polys for r in poly):
+            for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+                odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+        return odd
+
+    want = {(k, level) for k, _, x, y, _ in at for _, _, level, polys in shapes if inside(x, y, polys)}
+    assert {(r["place_id"], r["level"]) for r in spatial.areas_of(places(spark, at), areas(spark, shapes), cell_size).collect()} == want
+    tiles = spatial.area_tiles(areas(spark, shapes), cell_size).collect()
+    assert all((r["edges"] is None) == r["whole"] for r in tiles) and (cell_size > 0.1 or sum(r["whole"] for r in tiles) > len(tiles) / 4)
+
+
 def test_centroids(spark):
     df = spark.createDataFrame([(square(0.0, 0.0, 2.0, 4.0), [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0)])], "polys array<array<array<struct<lon: double, lat: double>>>>, line array<struct<lon: double, lat: double>>")
     row = df.select(geo.polygons_centroid(F.col("polys")).alias("p"), geo.line_centroid(F.col("line")).alias("l")).first()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +25,16 @@ def equirectangular_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) ->
     return F.sqrt(dx * dx + dy * dy) * F.lit(EARTH_RADIUS_M)
 
 
-def degree_radius(metres: float, max_lat: float) -> float:
-    """Degrees that cover ``metres`` in either direction up to a latitude."""
-    return max(metres / M_PER_DEG_LAT, metres / max(M_PER_DEG_LON * math.cos(math.radians(max_lat)), 1.0))
+def degree_radius(metres: float, lat: Column) -> Column:
+    """Degrees of longitude that cover ``metres`` up to a latitude; all of them at the poles."""
+    return F.least(F.lit(360.0), F.lit(metres) / F.greatest(m_per_deg_lon(lat), F.lit(1e-6)))
+
+
+def band_width(band: Column, metres: float) -> Column:
+    """The width in degrees of the cells in a band of latitude that is ``metres`` high: at least so many metres."""
+    high = metres / M_PER_DEG_LAT
+    edge = F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(high)
+    return degree_radius(metres, F.least(edge, F.lit(90.0)))
 
 
 def cell(value: Column, size: float) -> Column:
@@ -44,9 +49,8 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
-def in_polygons(lon: Column, lat: Column, polys: Column) -> Column:
-    """Whether a point lies in or on the boundary of any polygon (rings of points; holes count by parity)."""
-    edges = F.flatten(F.transform(F.flatten(polys), ring_edges))
+def in_edges(lon: Column, lat: Column, edges: Column) -> Column:
+    """Whether a point lies in or on the boundary that the edges draw (by parity, so holes are left out)."""
 
     def on(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
@@ -61,6 +65,11 @@ def in_polygons(lon: Column, lat: Column, polys: Column) -> Column:
     return F.exists(edges, on) | odd
 
 
+def polygon_edges(polys: Column) -> Column:
+    """The edges of all rings of polygons."""
+    return F.flatten(F.transform(F.flatten(polys), ring_edges))
+
+
 def nearest_on_segment(lon: Column, lat: Column, a: Column, b: Column) -> Column:
     """The point of a segment that is nearest in degrees."""
     dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import normalise, romanisations, word_set
 
-RANGE_BITS = 12
+RANGE_BITS, KEY_CHARS = 12, 3
 
 
 def terms(places: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -84,38 +84,69 @@ def unpack_postings(posted: DataFrame) -> DataFrame:
     return posted.select("word", F.explode("postings").alias("ref")).select("word", place.alias("place_id"), named.alias("named"))
 
 
+def prefixes(vocab: DataFrame) -> DataFrame:
+    """(key, candidate, n_chars, places, blob_bytes): each word under its first one to ``KEY_CHARS`` characters."""
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(KEY_CHARS)), lambda n: F.substring("word", F.lit(1), n)))
+    return vocab.select(F.explode(keys).alias("key"), F.col("word").alias("candidate"), "n_chars", "places", "blob_bytes")
+
+
+def trigrams(word: Column) -> Column:
+    """The distinct runs of three characters of a word that has so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda k: F.substring(word, k, F.lit(3))))
+
+
+def grams(vocab: DataFrame) -> DataFrame:
+    """(gram, candidate, blob_bytes): each word under its trigrams."""
+    long = vocab.where("n_chars >= 3")
+    return long.select(F.explode(trigrams(F.col("word"))).alias("gram"), F.col("word").alias("candidate"), "blob_bytes")
+
+
 def write_index(termed: DataFrame, folder: str) -> None:
-    """places, pairs and vocab as Parquet; words sorted so that a range of them reads few row groups."""
+    """The tables of an index as Parquet, each ranged and sorted by what it is asked for, so that a search reads few row groups."""
+    spark = termed.sparkSession
+
+    def save(table: DataFrame, name: str, *order: str) -> DataFrame:
+        table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     termed.write.mode("overwrite").parquet(f"{folder}/places")
-    exploded = pairs(termed.sparkSession.read.parquet(f"{folder}/places"))
-    exploded.repartitionByRange("word", "place_id").sortWithinPartitions("word", "place_id").write.mode("overwrite").parquet(f"{folder}/pairs")
-    saved = termed.sparkSession.read.parquet(f"{folder}/pairs")
-    vocabulary(saved).repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{folder}/vocab")
+    saved = save(pairs(spark.read.parquet(f"{folder}/places")), "pairs", "word", "place_id")
+    save(saved.select("place_id", "word"), "by_place", "place_id", "word")
+    vocab = save(vocabulary(saved), "vocab", "word")
+    save(prefixes(vocab), "prefixes", "key", "candidate")
+    save(grams(vocab), "grams", "gram", "candidate")
 
 
 class Index:
-    """An index on disk, or in the making: places (place_id, name, context, …), pairs and vocab."""
+    """An index on disk, or in the making: places (place_id, name, context, …), pairs, and its other tables."""
+
+    TABLES = ("places", "pairs", "vocab", "prefixes", "grams", "by_place")
 
-    def __init__(self, places: DataFrame, pairs: DataFrame, vocab: DataFrame):
-        self.places, self.pairs, self.vocab = places, pairs, vocab
+    def __init__(self, places: DataFrame, pairs: DataFrame, vocab: DataFrame, prefixes: DataFrame, grams: DataFrame, by_place: DataFrame):
+        self.places, self.pairs, self.vocab, self.prefixes, self.grams, self.by_place = places, pairs, vocab, prefixes, grams, by_place
 
     @classmethod
     def of(cls, termed: DataFrame) -> "Index":
         exploded = pairs(termed)
-        return cls(termed, exploded, vocabulary(exploded))
+        vocab = vocabulary(exploded)
+        return cls(termed, exploded, vocab, prefixes(vocab), grams(vocab), exploded.select("place_id", "word"))
 
     @classmethod
     def open(cls, spark, folder: str) -> "Index":
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("places", "pairs", "vocab")))
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in cls.TABLES))
 
     @classmethod
     def open_stored(cls, spark, folder: str | None) -> "Index | None":
         """The index of a remembered folder, or None where it is gone or unreadable."""
-        from pyspark.errors import AnalysisException
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import PySparkException
 
         if not folder:
             return None
         try:
-            return cls.open(spark, folder)
-        except AnalysisException:
+            found = cls.open(spark, folder)
+            for name in cls.TABLES:  # a damaged file shows when it is read
+                getattr(found, name).limit(1).collect()
+            return found
+        except (PySparkException, Py4JJavaError):
             return None

@@ -3,6 +3,10 @@
 Words are resolved, not rows: each distinct query word meets the vocabulary once (by prefix, and by
 containment where that is thin), the resolved words' postings score the places, and only queries that
 stay short of hits have places read in full.  All caps hold per query and word, as windows.
+
+The index is stored by what is asked for.  A small batch (at most ``FEW`` distinct words) names its keys in
+filters that reach the files, so that a single query reads a few row groups; a large one joins by shuffles.
+The results are the same.
 """
 
 from __future__ import annotations
@@ -15,10 +19,10 @@ from waymark.functions.present import address_parts, display_name, is_area, prim
 from waymark.functions.similarity import score_pairs
 from waymark.functions.text import normalise, words
 from waymark.lineage import settle
-from waymark.operators.index import Index
+from waymark.operators.index import KEY_CHARS, Index, trigrams
 from waymark.schema import LAST_CHAR, SearchParams
 
-KEY_CHARS = 3
+FEW, AT_ONCE = 2000, 10
 
 
 def tokens(queries: DataFrame) -> DataFrame:
@@ -27,12 +31,28 @@ def tokens(queries: DataFrame) -> DataFrame:
     return split.select("query_id", F.size("words").alias("k"), F.posexplode("words").alias("i", "word"))
 
 
-def prefix_candidates(asked: DataFrame, vocab: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+def few(rows: DataFrame, column: str, most: int = FEW) -> list | None:
+    """The distinct values of a column where they are at most ``most``, else None."""
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    return None if len(found) > most else sorted(r[0] for r in found)
+
+
+def only(table: DataFrame, column: str, values: list | None) -> DataFrame:
+    """The rows of ``table`` with one of a few values; Parquet skips the row groups without them."""
+    if values is None:
+        return table
+    # Short lists are pushed to the files value by value, long ones only as a range.
+    parts = [F.col(column).isin(values[k : k + AT_ONCE]) for k in range(0, len(values), AT_ONCE)] or [F.lit(False)]
+    while len(parts) > 1:
+        parts = [parts[k] | parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return table.where(parts[0])
+
+
+def prefix_candidates(asked: DataFrame, prefixes: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(word, candidate, n_chars, places, blob_bytes, rn, run) of each distinct word: shortest first, with running sizes."""
     # Equal leading characters make a hash join of the range; the range keeps its own upper end.
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(KEY_CHARS)), lambda n: F.substring("candidate", F.lit(1), n)))
-    keyed = vocab.withColumnRenamed("word", "candidate").withColumn("key", F.explode(keys))
     probe = asked.select("word").distinct().withColumn("key", F.substring("word", F.lit(1), F.lit(KEY_CHARS)))
+    keyed = only(prefixes, "key", few(probe, "key"))
     hit = keyed.join(probe, "key").where((F.col("candidate") >= F.col("word")) & (F.col("candidate") < F.concat("word", F.lit(LAST_CHAR))))
     order = Window.partitionBy("word").orderBy("n_chars", "candidate")
     ranked = hit.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= params.max_vocab_words)
@@ -45,34 +65,36 @@ def word_totals(asked: DataFrame, found: DataFrame) -> DataFrame:
     return asked.select("word").distinct().join(totals, "word", "left").withColumn("tot", F.coalesce("tot", F.lit(0)))
 
 
-def fuzzy_candidates(totals: DataFrame, vocab: DataFrame, found: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+def fuzzy_candidates(totals: DataFrame, index: Index, found: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(word, candidate, blob_bytes, score, ord): indexed words that contain the probe of a thinly resolved word."""
-    few = (F.col("tot") < params.min_confident_places) & (F.col("tot") <= params.max_refs)
-    thin = totals.where(few & (F.length("word") >= params.min_fuzzy_word))
+    thin_enough = (F.col("tot") < params.min_confident_places) & (F.col("tot") <= params.max_refs)
+    thin = totals.where(thin_enough & (F.length("word") >= params.min_fuzzy_word))
     probe = F.substring("word", F.lit(1), F.greatest(F.lit(params.min_probe), F.length("word") - params.probe_trim))
-    asked = thin.select("word", probe.alias("probe"))
-    # Any word that contains the probe contains its trigrams; one of them makes it a hash join. An
-    # underscore stands for any sign in a LIKE pattern, so only trigrams without it can be used.
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(c, k, F.lit(3))))
-    usable = F.filter(grams("probe"), lambda g: ~F.contains(g, F.lit("_")))
-    keyed = asked.withColumn("gram", F.get(usable, F.lit(0)))
-    words_ = vocab.where(F.col("n_chars") >= 3).select(F.col("word").alias("candidate"), "blob_bytes")
+    # Any word that contains the probe contains its trigrams; one of them makes it a hash join. An underscore
+    # stands for any sign in a LIKE pattern, so trigrams with one are no keys.
+    usable = F.filter(trigrams(F.col("probe")), lambda g: ~F.contains(g, F.lit("_")))
+    keyed = thin.select("word", probe.alias("probe")).withColumn("gram", F.get(usable, F.lit(0)))
     like = F.expr("candidate like concat('%', probe, '%')")
-    hit = words_.withColumn("gram", F.explode(grams("candidate"))).join(keyed, "gram").where(like).drop("gram")
-    odd = keyed.where("gram is null").drop("gram").join(words_, like).select("candidate", "blob_bytes", "word", "probe")
-    fresh = hit.unionByName(odd).join(found.select("word", "candidate"), ["word", "candidate"], "left_anti")
+    hit = only(index.grams, "gram", few(keyed, "gram")).join(keyed, "gram").where(like).drop("gram")
+    odd = keyed.where("gram is null")
+    if few(odd, "word", 0) is None:
+        # Rare: of such probes a single sign is the key; of underscores alone, which only words with one resemble enough, that one.
+        sign = F.coalesce(F.get(F.filter(F.split("probe", ""), lambda c: c != "_"), F.lit(0)), F.lit("_"))
+        signs = index.vocab.where("n_chars >= 3").select(F.explode(F.array_distinct(F.split("word", ""))).alias("gram"), F.col("word").alias("candidate"), "blob_bytes")
+        hit = hit.unionByName(signs.join(odd.withColumn("gram", sign), "gram").where(like).select(*hit.columns))
+    fresh = hit.join(found.select("word", "candidate"), ["word", "candidate"], "left_anti")
     scored = score_pairs(fresh.select("word", "candidate", "blob_bytes"), params=params).where(F.col("score") >= params.min_score)
     order = Window.partitionBy("word").orderBy("candidate")
     return scored.withColumn("ord", F.lit(1000) + F.row_number().over(order))
 
 
-def resolve(asked: DataFrame, vocab: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+def resolve(asked: DataFrame, index: Index, params: SearchParams = SearchParams()) -> DataFrame:
     """(word, candidate, score, exact, ord, names_only): what each distinct word could be, within the caps."""
-    found = settle(prefix_candidates(asked, vocab, params))  # capped: at most max_vocab_words a query word
+    found = settle(prefix_candidates(asked, index.prefixes, params))  # capped: at most max_vocab_words a query word
     totals = word_totals(asked, found)
     kept = found.where(F.col("run") <= params.max_refs)
     by_prefix = kept.select("word", "candidate", "blob_bytes", F.lit(1.0).alias("score"), (F.col("candidate") == F.col("word")).alias("exact"), F.col("rn").alias("ord"))
-    by_part = fuzzy_candidates(totals, vocab, kept, params).withColumn("exact", F.lit(False)).select(*by_prefix.columns)
+    by_part = fuzzy_candidates(totals, index, kept, params).withColumn("exact", F.lit(False)).select(*by_prefix.columns)
     before = Window.partitionBy("word").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     walked = by_prefix.unionByName(by_part).withColumn("before", F.coalesce(F.sum("blob_bytes").over(before), F.lit(0)))
     capped = totals.select("word", (F.col("tot") > params.max_refs).alias("names_only"))
@@ -82,7 +104,7 @@ def resolve(asked: DataFrame, vocab: DataFrame, params: SearchParams = SearchPar
 def tally(asked: DataFrame, resolved: DataFrame, pairs: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(query_id, i, place_id, score, exact, ord): each place's best score for each query word."""
     refs = (
-        pairs.withColumnRenamed("word", "candidate").join(resolved, "candidate")
+        only(pairs, "word", few(resolved, "candidate")).withColumnRenamed("word", "candidate").join(resolved, "candidate")
         .where(~F.col("names_only") | F.col("named"))
         .select("word", "place_id", "ord", F.when(F.col("named"), F.col("score")).otherwise(F.col("score") - params.context_penalty).alias("score"), (F.col("exact") & F.col("named")).alias("exact"))
     )
@@ -114,7 +136,7 @@ def classified(scored: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.withColumn("kind", F.when(low >= F.col("threshold"), "ranked").when(high >= F.col("threshold"), "partial"))
 
 
-def complete(kinds: DataFrame, asked: DataFrame, pairs: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+def complete(kinds: DataFrame, asked: DataFrame, by_place: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """Partly matched places of queries that lack hits, with their open words judged against all their words.
 
     The result has the columns of ``kinds`` and ``pn``, the place's rank among the partial ones.
@@ -123,8 +145,12 @@ def complete(kinds: DataFrame, asked: DataFrame, pairs: DataFrame, params: Searc
     short = kinds.where("kind = 'partial'").join(ranked, "query_id", "left").where(F.coalesce("nr", F.lit(0)) < F.col("lim"))
     order = Window.partitionBy("query_id").orderBy(F.col("sum").desc(), "first", "place_id")
     read = short.withColumn("sum", total("scores")).withColumn("pn", F.row_number().over(order)).where(F.col("pn") <= params.max_incomplete)
+    read = settle(read)  # at most max_incomplete places a query
+    ids = few(read, "place_id")
+    if ids == []:
+        return read.select(*kinds.columns, "pn")
     open_ = read.select("query_id", "place_id", "threshold", F.posexplode("scores").alias("i", "s")).where("s < threshold").select("query_id", "place_id", "i")
-    terms = pairs.select("place_id", F.col("word").alias("candidate")).join(open_.select("place_id").distinct(), "place_id")
+    terms = only(by_place, "place_id", ids).select("place_id", F.col("word").alias("candidate")).join(open_.select("place_id").distinct(), "place_id")
     first = lambda c: F.substring(c, 1, 1)
     worded = open_.join(asked.select("query_id", "i", "word"), ["query_id", "i"])
     judged = terms.withColumn("f", first("candidate")).join(worded.withColumn("f", first("word")), ["place_id", "f"])
@@ -165,7 +191,7 @@ def judged_places(index: Index, queries: DataFrame, params: SearchParams = Searc
     Each step's result is read several times by the next, so it is settled once.
     """
     asked = settle(tokens(queries))
-    resolved = settle(resolve(asked, index.vocab, params))
+    resolved = settle(resolve(asked, index, params))
     scored = grid(tally(asked, resolved, index.pairs, params), asked)
     return asked, settle(classified(scored, queries).where("kind is not null"))
 
@@ -173,7 +199,7 @@ def judged_places(index: Index, queries: DataFrame, params: SearchParams = Searc
 def search(index: Index, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """Ranked hits of ``queries`` (query_id, text, lim, threshold, lat, lon); lat and lon null without an origin."""
     asked, kinds = judged_places(index, queries, params)
-    return rank(kinds, complete(kinds, asked, index.pairs, params), asked, index.places, queries, params)
+    return rank(kinds, complete(kinds, asked, index.by_place, params), asked, index.places, queries, params)
 
 
 def primary_and_related(hits: DataFrame, most_related: int = 30) -> DataFrame:

@@ -1,7 +1,8 @@
 """Spatial joins as equi-joins on grid cells: points in areas, nearest points, nearest lines.
 
 The small side is copied to every cell it can matter in, so the large side (places) is never copied.
-Cells as wide as the radius at the highest latitude make three by three of them enough.
+Cells of nearest points are as wide as the radius in their own band of latitude, so that three by three of
+them are enough anywhere.
 """
 
 from __future__ import annotations
@@ -9,61 +10,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import cell, degree_radius, in_polygons, nearest_on_segment, planar_m, ring_edges
+from waymark.functions.geo import band_width, cell, degree_radius, in_edges, nearest_on_segment, planar_m, polygon_edges, ring_edges
 from waymark.operators.ingest import bounds
-from waymark.schema import MAJOR_RANKS, SETTLEMENT_RANKS, ContextParams
+from waymark.schema import M_PER_DEG_LAT, MAJOR_RANKS, SETTLEMENT_RANKS, ContextParams
 
-MAX_LAT = 75.0
+
+def area_tiles(areas: DataFrame, cell_size: float = 0.25) -> DataFrame:
+    """(cx, cy, seq, level, name, whole, edges): the cells that each area covers or touches.
+
+    A cell wholly inside carries no geometry; one that the boundary meets carries the edges that a ray to
+    the east can meet from inside the cell.  Edges are cut down to rows of cells first, then to cells.
+    """
+    box = areas.withColumn("b", bounds(F.flatten(F.flatten("polys")))).withColumn("edges", polygon_edges(F.col("polys")))
+    span = lambda low, high: F.sequence(cell(F.col(low), cell_size), cell(F.col(high), cell_size))
+    low, high = (lambda e, k: F.least(e["a"][k], e["b"][k])), (lambda e, k: F.greatest(e["a"][k], e["b"][k]))
+    side = lambda c, plus=0: (F.col(c) + plus) * F.lit(cell_size)
+    rows = box.select("seq", "level", "name", "b", "edges", F.explode(span("b.y0", "b.y1")).alias("cy"))
+    rows = rows.withColumn("strip", F.filter("edges", lambda e: (high(e, "lat") >= side("cy")) & (low(e, "lat") <= side("cy", 1)))).drop("edges")
+    cells = rows.select("seq", "level", "name", "cy", "strip", F.explode(span("b.x0", "b.x1")).alias("cx"))
+    own = cells.withColumn("own", F.filter("strip", lambda e: high(e, "lon") >= side("cx"))).drop("strip")
+    tiles = own.withColumn("touched", F.exists("own", lambda e: low(e, "lon") <= side("cx", 1)))
+    middle = in_edges(side("cx", 0.5), side("cy", 0.5), F.col("own"))
+    kept = tiles.withColumn("whole", ~F.col("touched") & middle).where("touched or whole")
+    return kept.select("cx", "cy", "seq", "level", "name", "whole", F.when(F.col("touched"), F.col("own")).alias("edges"))
 
 
 def areas_of(places: DataFrame, areas: DataFrame, cell_size: float = 0.25) -> DataFrame:
     """(place_id, level, name): for each level the first area (by seq) that holds or touches the place."""
-    box = areas.withColumn("b", bounds(F.flatten(F.flatten("polys"))))
-    span = lambda low, high: F.sequence(cell(F.col(low), cell_size), cell(F.col(high), cell_size))
-    tiled = box.withColumn("cx", F.explode(span("b.x0", "b.x1"))).withColumn("cy", F.explode(span("b.y0", "b.y1")))
     at = places.select("place_id", "lon", "lat", cell(F.col("lon"), cell_size).alias("cx"), cell(F.col("lat"), cell_size).alias("cy"))
-    near = at.join(tiled, ["cx", "cy"]).where(F.col("lon").between(F.col("b.x0"), F.col("b.x1")) & F.col("lat").between(F.col("b.y0"), F.col("b.y1")))
-    inside = near.where(in_polygons(F.col("lon"), F.col("lat"), F.col("polys")))
+    near = at.join(area_tiles(areas, cell_size), ["cx", "cy"])
+    inside = near.where(F.col("whole") | in_edges(F.col("lon"), F.col("lat"), F.col("edges")))
     return inside.groupBy("place_id", "level").agg(F.min_by("name", "seq").alias("name"))
 
 
-def nearest(places: DataFrame, points: DataFrame, radius_m: float, most: int, max_lat: float = MAX_LAT) -> DataFrame:
+def nearest(places: DataFrame, points: DataFrame, radius_m: float, most: int) -> DataFrame:
     """(place_id, pos, name, seq, metres): up to ``most`` points within the radius, nearest first, then by seq."""
-    size = degree_radius(radius_m, max_lat)
+    high = radius_m / M_PER_DEG_LAT
     around = F.sequence(F.lit(-1), F.lit(1))
+    column = lambda lon, band: F.floor(F.col(lon) / band_width(F.col(band), radius_m)).cast("bigint")
     spread = (
         points.select("seq", "name", F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-        .withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        .select("*", (cell(F.col("plon"), size) + F.col("dx")).alias("cx"), (cell(F.col("plat"), size) + F.col("dy")).alias("cy"))
+        .withColumn("cy", F.explode(F.transform(around, lambda d: cell(F.col("plat"), high) + d)))
+        .withColumn("cx", F.explode(F.transform(around, lambda d: column("plon", "cy") + d)))
     )
-    at = places.select("place_id", "lon", "lat", cell(F.col("lon"), size).alias("cx"), cell(F.col("lat"), size).alias("cy"))
+    at = places.select("place_id", "lon", "lat", cell(F.col("lat"), high).alias("cy")).withColumn("cx", column("lon", "cy"))
     metres = planar_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     near = at.join(spread, ["cx", "cy"]).withColumn("metres", metres).where(F.col("metres") <= radius_m)
     order = Window.partitionBy("place_id").orderBy("metres", "seq")
     return near.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select("place_id", "pos", "name", "seq", "metres")
 
 
-def nearby_settlements(places: DataFrame, settlements: DataFrame, params: ContextParams = ContextParams(), max_lat: float = MAX_LAT) -> DataFrame:
+def nearby_settlements(places: DataFrame, settlements: DataFrame, params: ContextParams = ContextParams()) -> DataFrame:
     """The nearest settlements, or where there is none the nearest city or town of a wider radius."""
-    near = nearest(places, settlements.where(F.col("rank").isin(*SETTLEMENT_RANKS)), params.settlement_radius, params.settlements, max_lat)
-    return near.unionByName(fallback_major(places, settlements, near, params, max_lat))
+    near = nearest(places, settlements.where(F.col("rank").isin(*SETTLEMENT_RANKS)), params.settlement_radius, params.settlements)
+    return near.unionByName(fallback_major(places, settlements, near, params))
 
 
-def fallback_major(places: DataFrame, settlements: DataFrame, near: DataFrame, params: ContextParams = ContextParams(), max_lat: float = MAX_LAT) -> DataFrame:
+def fallback_major(places: DataFrame, settlements: DataFrame, near: DataFrame, params: ContextParams = ContextParams()) -> DataFrame:
     alone = places.join(near.select("place_id").distinct(), "place_id", "left_anti")
-    return nearest(alone, settlements.where(F.col("rank").isin(*MAJOR_RANKS)), params.major_radius, 1, max_lat)
+    return nearest(alone, settlements.where(F.col("rank").isin(*MAJOR_RANKS)), params.major_radius, 1)
 
 
-def nearest_subdivision(places: DataFrame, settlements: DataFrame, params: ContextParams = ContextParams(), max_lat: float = MAX_LAT) -> DataFrame:
-    return nearest(places, settlements.where(~F.col("rank").isin(*SETTLEMENT_RANKS)), params.subdivision_radius, params.subdivisions, max_lat)
+def nearest_subdivision(places: DataFrame, settlements: DataFrame, params: ContextParams = ContextParams()) -> DataFrame:
+    return nearest(places, settlements.where(~F.col("rank").isin(*SETTLEMENT_RANKS)), params.subdivision_radius, params.subdivisions)
 
 
-def nearest_street(places: DataFrame, streets: DataFrame, radius_m: float = ContextParams().street_radius, max_lat: float = MAX_LAT, cell_size: float = 0.01) -> DataFrame:
+def nearest_street(places: DataFrame, streets: DataFrame, radius_m: float = ContextParams().street_radius, cell_size: float = 0.01) -> DataFrame:
     """(place_id, name, seq, metres): the nearest street within the radius, by its nearest point in degrees."""
-    pad = 1.5 * degree_radius(radius_m, max_lat)
+    high = 1.5 * radius_m / M_PER_DEG_LAT
+    far = F.greatest(F.abs(F.col("e.a.lat")), F.abs(F.col("e.b.lat"))) + F.lit(high)
+    pad = {"lat": F.lit(high), "lon": degree_radius(1.5 * radius_m, F.least(far, F.lit(90.0)))}
     segments = streets.select("seq", "name", F.posexplode(ring_edges(F.col("line"))).alias("part", "e"))
-    low = lambda k: cell(F.least(F.col("e.a." + k), F.col("e.b." + k)) - pad, cell_size)
-    high = lambda k: cell(F.greatest(F.col("e.a." + k), F.col("e.b." + k)) + pad, cell_size)
+    low = lambda k: cell(F.least(F.col("e.a." + k), F.col("e.b." + k)) - pad[k], cell_size)
+    high = lambda k: cell(F.greatest(F.col("e.a." + k), F.col("e.b." + k)) + pad[k], cell_size)
     tiled = segments.withColumn("cx", F.explode(F.sequence(low("lon"), high("lon")))).withColumn("cy", F.explode(F.sequence(low("lat"), high("lat"))))
     at = places.select("place_id", "lon", "lat", cell(F.col("lon"), cell_size).alias("cx"), cell(F.col("lat"), cell_size).alias("cy"))
     touched = at.join(tiled, ["cx", "cy"]).withColumn("p", nearest_on_segment(F.col("lon"), F.col("lat"), F.col("e.a"), F.col("e.b")))

@@ -19,7 +19,6 @@ from waymark.sources.adapters import read
 
 BOX = (23.0, 49.0, 24.5, 50.0)
 WIDE = ContextParams(settlement_radius=60_000.0)
-MAX_LAT = 50.8
 
 
 def joined(column) -> "F.Column":
@@ -111,14 +110,14 @@ def _asked(spark, d):
 
 def prefix_resolve(spark, d):
     _, asked, idx = _asked(spark, d)
-    found = search.prefix_candidates(asked, idx.vocab)
+    found = search.prefix_candidates(asked, idx.prefixes)
     return found.select("word", "candidate", "places", "blob_bytes", F.col("rn").cast("bigint").alias("rn"), F.col("run").cast("bigint").alias("run"))
 
 
 def fuzzy_resolve(spark, d):
     _, asked, idx = _asked(spark, d)
-    found = search.prefix_candidates(asked, idx.vocab)
-    fuzzy = search.fuzzy_candidates(search.word_totals(asked, found), idx.vocab, found)
+    found = search.prefix_candidates(asked, idx.prefixes)
+    fuzzy = search.fuzzy_candidates(search.word_totals(asked, found), idx, found)
     return fuzzy.select("word", "candidate", F.round("score", 6).alias("score"), F.col("ord").cast("bigint").alias("ord"))
 
 
@@ -138,7 +137,7 @@ def word_similarity(spark, d):
 
 def tally_scores(spark, d):
     _, asked, idx = _asked(spark, d)
-    t = search.tally(asked, search.resolve(asked, idx.vocab), idx.pairs)
+    t = search.tally(asked, search.resolve(asked, idx), idx.pairs)
     return t.select("query_id", F.col("i").cast("int").alias("i"), "place_id", F.round("score", 6).alias("score"), "exact")
 
 
@@ -155,7 +154,7 @@ def classify_hits(spark, d):
 
 def complete_partial(spark, d):
     idx, asked, kinds = _kinds(spark, d)
-    done = search.complete(kinds, asked, idx.pairs)
+    done = search.complete(kinds, asked, idx.by_place)
     return done.select("query_id", "place_id", F.col("pn").cast("int").alias("pn"), F.round(search.total("scores") / F.col("k"), 6).alias("score"))
 
 
@@ -237,19 +236,19 @@ def _near(df):
 
 def knn_settlements(spark, d):
     kept = src.supplier_settlements(spark, d).where(F.col("rank").isin("city", "town", "village", "hamlet"))
-    return _near(spatial.nearest(src.customer_places(spark, d), kept, WIDE.settlement_radius, 3, MAX_LAT))
+    return _near(spatial.nearest(src.customer_places(spark, d), kept, WIDE.settlement_radius, 3))
 
 
 def fallback_major(spark, d):
-    return _near(spatial.nearby_settlements(src.customer_places(spark, d), src.supplier_settlements(spark, d), max_lat=MAX_LAT))
+    return _near(spatial.nearby_settlements(src.customer_places(spark, d), src.supplier_settlements(spark, d)))
 
 
 def nearest_subdivision(spark, d):
-    return _near(spatial.nearest_subdivision(src.customer_places(spark, d), src.supplier_settlements(spark, d), max_lat=MAX_LAT))
+    return _near(spatial.nearest_subdivision(src.customer_places(spark, d), src.supplier_settlements(spark, d)))
 
 
 def nearest_street(spark, d):
-    found = spatial.nearest_street(src.customer_places(spark, d), src.part_streets(spark, d), max_lat=MAX_LAT)
+    found = spatial.nearest_street(src.customer_places(spark, d), src.part_streets(spark, d))
     return found.select("place_id", "name", "seq", F.round("metres", 3).alias("metres"))
 
 
@@ -258,7 +257,7 @@ def point_in_area(spark, d):
 
 
 def context_assembly(spark, d):
-    made = context.context(src.customer_places(spark, d), src.nation_areas(spark, d), src.supplier_settlements(spark, d), src.part_streets(spark, d), WIDE, MAX_LAT)
+    made = context.context(src.customer_places(spark, d), src.nation_areas(spark, d), src.supplier_settlements(spark, d), src.part_streets(spark, d), WIDE)
     return made.select("place_id", F.array_join("context", ", ").alias("context"))
 
 
