@@ -46,3 +46,25 @@ def test_from_file_to_hits(spark, extract, tmp_path):
     assert not hits["In the hole district"]
     assert cli.build(spark, extract, out) == (places, names)
     assert hits["Honey Yard District"][0]["metres"] < 200
+
+
+def test_probes_stage_and_audit(spark, extract, tmp_path):
+    out = str(tmp_path / "out")
+    places, names = cli.build(spark, extract, out)
+    ids = [r["place_id"] for r in spark.read.parquet(f"{out}/places").collect()]
+    assert sorted(ids) == list(range(1, places + 1))
+    nodes = spark.read.format("xml").option("rowTag", "node").load(f"{out}/nodes.osm")
+    assert nodes.count() == names and sorted(r["_id"] for r in nodes.collect()) == list(range(1, names + 1))
+    assert cli.probe(spark, out) == 4
+    probes = {r["tag"][0]["_v"]: r["_id"] for r in spark.read.format("xml").option("rowTag", "node").load(f"{out}/probes.osm").collect()}
+    assert set(probes) == {"place=town", "tourism=hotel", "shop=x", "building=yes"}
+    (tmp_path / "seen.txt").write_text("".join(f"poi osmid={k}\n" for c, k in probes.items() if c != "shop=x"))
+    total, rescued = cli.stage(spark, out, str(tmp_path / "seen.txt"))
+    assert total == names and rescued == 1
+    staged = spark.read.format("xml").option("rowTag", "node").load(f"{out}/staged.osm").collect()
+    assert [[tuple(t) for t in r["tag"]][1:] for r in staged if r["tag"][0]["_v"].startswith("In the hole")] == [[("shop", "x"), ("place", "locality")]]
+    (tmp_path / "all.txt").write_text("".join(f"osmid={r['_id']}\n" for r in staged))
+    assert cli.audit(spark, out, str(tmp_path / "all.txt")) == names
+    (tmp_path / "most.txt").write_text("osmid=1\n")
+    with pytest.raises(ValueError, match="lost"):
+        cli.audit(spark, out, str(tmp_path / "most.txt"))

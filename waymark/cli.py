@@ -1,4 +1,4 @@
-"""Command line: build an index from an extract, and search it."""
+"""Command line: build an index from an extract and search it; probe, stage and audit nodes for an external map tool."""
 
 from __future__ import annotations
 
@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from waymark.functions.present import hit_line
 from waymark.functions.text import clean
-from waymark.operators import context, index, ingest, search
+from waymark.operators import context, export, index, ingest, search
 from waymark.schema import QUERY, ContextParams
 from waymark.sources import osm
 
 
 def build(spark: SparkSession, extract: str, out: str, box: tuple[float, float, float, float] | None = None, refresh: bool = False, params: ContextParams = ContextParams()) -> tuple[int, int]:
-    """Enrich every named place of an extract and write places, names and the index; returns their counts."""
-    if extract.endswith(".pbf"):
-        from waymark.sources.pbf import read_pbf as read
-    else:
-        read = osm.read_xml
-    objects = ingest.named(osm.objects(*read(spark, extract)))
+    """Enrich every named place of an extract and write places, names, nodes and the index; returns the counts of places and names."""
+
+    def kept(df, name: str):
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return spark.read.parquet(f"{out}/{name}")
+
+    objects = kept(ingest.named(osm.objects(*osm.read_once(spark, extract, f"{out}/extract"))), "objects")
 
     def sources():
         admin, settled, streets = ingest.roles(objects)
@@ -31,16 +32,35 @@ def build(spark: SparkSession, extract: str, out: str, box: tuple[float, float,
 
     admin, settled, streets = osm.stored(spark, f"{out}/context", sources, refresh)
     placed = objects.withColumn("category", ingest.category(F.col("tags"))).where("category is not null")
-    placed = ingest.in_box(ingest.located(placed), box).withColumn("place_id", F.col("seq"))
-    placed = placed.withColumn("addr_street", clean(ingest.tag(F.col("tags"), "addr:street")))
-    placed.write.mode("overwrite").parquet(f"{out}/objects")
-    saved = spark.read.parquet(f"{out}/objects")
-    ingest.name_variants(saved).write.mode("overwrite").parquet(f"{out}/names")
-    names = spark.read.parquet(f"{out}/names")
+    placed = ingest.in_box(ingest.located(placed), box).withColumn("addr_street", clean(ingest.tag(F.col("tags"), "addr:street")))
+    # Dense ids keep the postings' deltas small.
+    saved = kept(export.number_rows(placed.drop("line", "polys"), ["seq"], "place_id"), "placed")
+    names = kept(ingest.name_variants(saved), "names")
     around = context.context(saved.select("place_id", "name", "lon", "lat", "addr_street"), admin, settled, streets, params)
-    places = saved.drop("line", "polys", "addr_street").join(around.select("place_id", F.array_join("context", ", ").alias("context")), "place_id")
+    places = kept(saved.drop("addr_street").join(around.select("place_id", F.array_join("context", ", ").alias("context")), "place_id"), "places")
+    osm.write_xml_nodes(kept(export.export_nodes(places, names), "nodes"), f"{out}/nodes.osm")
     index.write_index(index.terms(places, names), f"{out}/index")
-    return spark.read.parquet(f"{out}/index/places").count(), names.count()
+    return places.count(), names.count()
+
+
+def probe(spark: SparkSession, out: str) -> int:
+    """Write one node for each category, for the external map tool to accept or reject; returns their count."""
+    nodes = export.probes(spark.read.parquet(f"{out}/places"))
+    osm.write_xml_nodes(nodes, f"{out}/probes.osm")
+    return nodes.count()
+
+
+def stage(spark: SparkSession, out: str, inspected: str) -> tuple[int, int]:
+    """Write the nodes as the tool keeps them, given what its inspector printed of the probes; returns (total, rescued)."""
+    surviving = export.ids_in_text(spark.read.text(inspected))
+    nodes, counts = export.staged(spark.read.parquet(f"{out}/nodes"), spark.read.parquet(f"{out}/places"), surviving)
+    osm.write_xml_nodes(nodes, f"{out}/staged.osm")
+    return tuple(counts.first())
+
+
+def audit(spark: SparkSession, out: str, inspected: str) -> int:
+    """How many nodes the finished map holds, by what the inspector printed of it; raises if any is lost."""
+    return export.check_audit(export.audit(spark.read.parquet(f"{out}/nodes"), export.ids_in_text(spark.read.text(inspected))))
 
 
 def find(spark: SparkSession, folder: str, text: str, limit: int = 20, near: tuple[float, float] | None = None):
@@ -63,10 +83,21 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("query")
     s.add_argument("--limit", type=int, default=20)
     s.add_argument("--near", type=float, nargs=2)
+    commands.add_parser("probe").add_argument("out")
+    for name in ("stage", "audit"):
+        c = commands.add_parser(name)
+        c.add_argument("out")
+        c.add_argument("inspected")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("waymark").getOrCreate()
     if args.command == "build":
         print("%d places, %d names" % build(spark, args.extract, args.out, args.box and tuple(args.box), args.refresh))
+    elif args.command == "probe":
+        print("%d categories" % probe(spark, args.out))
+    elif args.command == "stage":
+        print("%d nodes, %d rescued" % stage(spark, args.out, args.inspected))
+    elif args.command == "audit":
+        print("%d nodes kept, none lost" % audit(spark, args.out, args.inspected))
     else:
         c = F.col
         line = hit_line(c("score"), c("exact_count"), c("name"), c("address"), c("lat"), c("lon"), c("metres"))

@@ -6,29 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.present import display_name, matched_context, split_category
+from waymark.lineage import settle
 
 RESCUE_KEY, RESCUE_VALUE = "place", "locality"
 
 
-def export_nodes(places: DataFrame, names: DataFrame, bucket_bits: int = 12) -> DataFrame:
-    """(node_id, place_id, lon, lat, name, key, value): ids run from 1 by (place_id, ord).
-
-    Ids are counted in ranges of place_ids: only the sizes of the ranges are added up in order.
-    """
+def export_nodes(places: DataFrame, names: DataFrame) -> DataFrame:
+    """(node_id, place_id, lon, lat, name, key, value): ids run from 1 by (place_id, ord)."""
     key, value = split_category(F.col("category"))
     joined = places.join(names.select("place_id", "ord", F.col("name").alias("variant")), "place_id")
     shown = display_name(F.col("variant"), matched_context(F.col("variant"), F.col("context")))
-    ranged = joined.select("place_id", "ord", "lon", "lat", shown.alias("name"), key.alias("key"), value.alias("value"), F.shiftright("place_id", bucket_bits).alias("_range"))
-    return number_rows(ranged, "_range", ["place_id", "ord"], "node_id").drop("_range")
+    rows = joined.select("place_id", "ord", "lon", "lat", shown.alias("name"), key.alias("key"), value.alias("value"))
+    return number_rows(rows, ["place_id", "ord"], "node_id").drop("ord")
 
 
-def number_rows(rows: DataFrame, range_column: str, order: list[str], name: str) -> DataFrame:
-    """``rows`` numbered from 1 by (range, order) without bringing all rows together."""
-    sizes = rows.groupBy(range_column).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(range_column).rowsBetween(Window.unboundedPreceding, -1)  # over ranges, not rows
-    starts = sizes.select(range_column, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(range_column).orderBy(*order)
-    return rows.join(starts, range_column).withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_start")
+def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` numbered from 1 by ``order`` without bringing all rows together.
+
+    Rows are ranged and sorted, which a checkpoint fixes; only the sizes of the ranges are added up in order.
+    """
+    place = F.monotonically_increasing_id()  # the partition, and 33 bits for the row in it
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", place)
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    joined = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
+    return joined.withColumn(name, F.col("_start") + inside).drop("_part", "_at", "_start")
 
 
 def distinct_categories(places: DataFrame) -> DataFrame:
@@ -58,9 +62,21 @@ def rescue(nodes: DataFrame, accepted_categories: DataFrame) -> DataFrame:
 
 def audit(written: DataFrame, read_back: DataFrame, key: str = "node_id") -> DataFrame:
     """(written, kept, lost): rows written and distinct ids read back."""
-    total = written.agg(F.count("*").alias("written"))
-    kept = read_back.agg(F.count_distinct(key).alias("kept"))
-    return total.join(kept).withColumn("lost", F.col("written") - F.col("kept"))
+    ids = written.select(F.lit(1).alias("written"), F.lit(None).alias(key)).unionByName(read_back.select(F.lit(0).alias("written"), key))
+    return ids.agg(F.sum("written").alias("written"), F.count_distinct(key).alias("kept")).withColumn("lost", F.col("written") - F.col("kept"))
+
+
+def probes(places: DataFrame) -> DataFrame:
+    """One node for each distinct category, for an external tool to accept or reject: (node_id, lon, lat, name, key, value)."""
+    key, value = split_category(F.col("category"))
+    return distinct_categories(places).select(F.col("probe_id").alias("node_id"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.col("category").alias("name"), key.alias("key"), value.alias("value"))
+
+
+def staged(nodes: DataFrame, places: DataFrame, surviving: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with the tags that the tool keeps, and how many there are: (total, rescued); ``surviving`` has (node_id) of probes."""
+    named = distinct_categories(places)
+    saved = rescue(nodes, accepted(named, surviving.select(F.col("node_id").alias("probe_id"))))
+    return saved, saved.agg(F.count("*").alias("total"), F.count_if("rescued").alias("rescued"))
 
 
 def check_audit(audited: DataFrame) -> int:

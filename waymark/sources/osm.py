@@ -35,6 +35,20 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     return nodes, ways, relations
 
 
+def read_once(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations of an extract, decoded once and kept as Parquet; later passes read columns of that."""
+    if path.endswith(".pbf"):
+        from waymark.sources.pbf import read_rows
+
+        read_rows(spark, path).write.mode("overwrite").partitionBy("kind").parquet(folder)
+        kept = spark.read.schema("id bigint, lon double, lat double, tags array<struct<k: string, v: string>>, refs array<bigint>, members array<struct<type: string, ref: bigint, role: string>>, kind string").parquet(folder)
+        of = lambda kind, *columns: kept.where(F.col("kind") == kind).select("id", *columns, "tags")
+        return of("node", "lon", "lat"), of("way", "refs"), of("relation", "members")
+    for name, df in zip(("node", "way", "relation"), read_xml(spark, path), strict=True):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("node", "way", "relation"))
+
+
 def has_tag(key: str, value: str | None = None):
     return F.exists("tags", lambda t: (t["k"] == key) & (F.lit(True) if value is None else t["v"] == value))
 
@@ -125,9 +139,11 @@ def objects(nodes: DataFrame, ways: DataFrame, relations: DataFrame, key: str |
 
 
 def write_xml_nodes(exported: DataFrame, folder: str) -> None:
-    """Exported nodes (node_id, lon, lat, name, key, value) as .osm XML."""
+    """Exported nodes (node_id, lon, lat, name, and key and value or an array ``tags``) as .osm XML."""
     tag = lambda k, v: F.struct(k.alias("_k"), v.alias("_v"))
-    rows = exported.select(F.col("node_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.array(tag(F.lit("name"), F.col("name")), tag(F.col("key"), F.col("value"))).alias("tag"))
+    own = F.transform("tags", lambda t: tag(t["k"], t["v"])) if "tags" in exported.columns else F.array(tag(F.col("key"), F.col("value")))
+    tags = F.concat(F.array(tag(F.lit("name"), F.col("name"))), own)
+    rows = exported.select(F.col("node_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tags.alias("tag"))
     rows.write.mode("overwrite").format("xml").option("rootTag", "osm").option("rowTag", "node").save(folder)
 
 

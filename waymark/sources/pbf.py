@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +20,10 @@ ROW = (
     "kind string, id bigint, lon double, lat double, tags array<struct<k: string, v: string>>, refs array<bigint>,"
     " members array<struct<type: string, ref: bigint, role: string>>"
 )
+_TAG, _MEMBER = pa.struct([("k", pa.string()), ("v", pa.string())]), pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())])
+ARROW = pa.schema([
+    ("kind", pa.string()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("tags", pa.list_(_TAG)), ("refs", pa.list_(pa.int64())), ("members", pa.list_(_MEMBER)),
+])
 MEMBER_TYPES = ("node", "way", "relation")
 
 
@@ -144,14 +149,16 @@ class PbfReader(DataSourceReader):
                 at += 4 + length + header[3]
         return [Blobs(spots[k : k + self.at_once]) for k in range(0, len(spots), self.at_once)] or [Blobs([])]
 
-    def read(self, partition: Blobs) -> Iterator[tuple]:
+    def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
         if not partition.spots:
             return
         with _opened(self.path) as file:
             for at, size in partition.spots:
                 file.seek(at)
                 blob = dict(fields(file.read(size)))
-                yield from block_rows(blob[1] if 1 in blob else zlib.decompress(blob[3]))
+                columns = list(zip(*block_rows(blob[1] if 1 in blob else zlib.decompress(blob[3])), strict=True))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
 class PbfSource(DataSource):
@@ -168,10 +175,15 @@ class PbfSource(DataSource):
         return PbfReader(self.options["path"], int(self.options.get("blobs", 8)))
 
 
-def read_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, ways and relations of a .pbf extract."""
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a .pbf extract, of every kind."""
     spark.dataSource.register(PbfSource)
-    rows = spark.read.format("osm_pbf").load(path)
+    return spark.read.format("osm_pbf").load(path)
+
+
+def read_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations of a .pbf extract; each decodes the file, ``osm.read_once`` does so once."""
+    rows = read_rows(spark, path)
     return (
         rows.where(F.col("kind") == "node").select("id", "lon", "lat", "tags"),
         rows.where(F.col("kind") == "way").select("id", "refs", "tags"),
