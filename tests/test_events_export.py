@@ -74,6 +74,34 @@ def test_stream_origin(spark, tmp_path):
     assert got == {1: ("place", 2.0), 2: ("gps", 4.0)}
 
 
+def test_stream_origin_forgets_and_ignores_stale_events(spark, tmp_path):
+    schema = "user_id long, ts timestamp, kind string, lat double, lon double"
+    parts = [[(1, at(100), "map", 2.0, 2.0)], [(1, at(95), "place", 1.0, 1.0), (2, at(110), "gps", 5.0, 5.0)], [(3, at(9_000), "gps", 0.0, 0.0)], [(3, at(9_001), "gps", 0.0, 0.0)], [(1, at(9_002), "gps", 7.0, 7.0)]]
+    frames = [spark.createDataFrame(rows, schema) for rows in parts]
+    got = [(r["user_id"], r["kind"], r["lat"], r["changed"]) for r in run_stream(spark, tmp_path, frames, lambda s: events.origin_changes(s, keep_ms=60_000), "update")]
+    assert [x for x in got if x[0] == 1] == [(1, "map", 2.0, True), (1, "map", 2.0, False), (1, "gps", 7.0, True)]
+
+
+def test_stream_query_gets_its_last_fix(spark, tmp_path):
+    schema = "user_id long, ts timestamp, kind string, lat double, lon double, text string"
+    rows = [(1, at(1), "gps", 1.0, 1.0, None), (1, at(4), "gps", 2.0, 2.0, None), (1, at(5), "query", None, None, "a"), (1, at(6), "gps", 3.0, 3.0, None), (2, at(5), "query", None, None, "b"), (9, at(90_000), "query", None, None, "end"), (9, at(90_000), "gps", 0.0, 0.0, None)]
+    split = lambda s: events.with_origin(s.where("kind = 'query'").select("user_id", "ts", "text"), s.where("kind = 'gps'").select("user_id", "ts", "lat", "lon"))
+    got = {r["text"]: r["fix_lat"] for r in run_stream(spark, tmp_path, [spark.createDataFrame(rows, schema)], split, "append")}
+    assert got == {"a": 2.0, "b": None}
+
+
+def test_a_moved_origin_searches_again(spark, tmp_path):
+    schema = "user_id long, ts timestamp, kind string, lat double, lon double, text string"
+    rows = [(1, at(1), "query", None, None, "inn"), (1, at(2), "gps", 1.0, 1.0, None), (1, at(3), "gps", 1.0, 1.0, None), (1, at(4), "place", 2.0, 2.0, None), (1, at(5), "gps", 9.0, 9.0, None), (2, at(1), "gps", 4.0, 4.0, None), (2, at(2), "query", None, None, "bar"), (3, at(1), "query", None, None, " ")]
+    got = sorted((r["user_id"], r["text"], r["kind"], r["reason"]) for r in run_stream(spark, tmp_path, [spark.createDataFrame(rows, schema)], events.searches, "append"))
+    assert got == [(1, "inn", "gps", "moved"), (1, "inn", "none", "typed"), (1, "inn", "place", "moved"), (2, "bar", "gps", "typed")]
+    asked = spark.createDataFrame([(1, at(1), 10, "inn"), (1, at(90_000), 11, "bar"), (2, at(1), 12, " ")], "user_id long, ts timestamp, query_id long, text string")
+    changes = spark.createDataFrame([(1, at(0), 1), (1, at(2), 2), (1, at(80_000), 3), (1, at(200_000), 4), (2, at(2), 5)], "user_id long, ts timestamp, change_id long")
+    assert {(r["change_id"], r["query"]["query_id"]) for r in origin.reruns(changes, asked).collect()} == {(2, 10), (3, 10), (4, 11)}
+    fixes = spark.createDataFrame([(1, at(0), 1, 48.0, 24.0), (1, at(5), 2, 48.0, 24.00001), (1, at(90_000), 3, 48.0, 24.00002), (1, at(90_001), 4, 48.1, 24.0)], "user_id long, ts timestamp, fix_id long, lat double, lon double")
+    assert sorted(r["fix_id"] for r in origin.moved(fixes, 100.0).collect()) == [1, 4]
+
+
 def test_each_batch_answers_the_newest_query(spark):
     seen = []
     run = events.answer_each_batch(lambda q: q, lambda df, n: seen.append((n, sorted(r["query_id"] for r in df.collect()))))

@@ -11,19 +11,30 @@ def _period(column: str = "ts", unit: str = "day"):
     return F.date_trunc(unit, column)
 
 
+def _asof(left: DataFrame, right: DataFrame, value: str, tie: str, key: str, unit: str, name: str) -> DataFrame:
+    """``left`` with ``name``, the struct ``value`` of the latest row of ``right`` at or before it; of equal times the larger ``tie``."""
+    asked = left.withColumn("_left", F.struct(*left.columns)).select(key, "ts", F.lit(1).alias("_side"), "_left", F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.lit(None).cast("bigint").alias("_tie"))
+    seen = right.select(key, "ts", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_left"].dataType).alias("_left"), F.col(value).alias("_value"), F.col(tie).cast("bigint").alias("_tie"))
+    rows = asked.unionByName(seen).withColumn("_period", _period(unit=unit))
+    inside = Window.partitionBy(key, "_period").orderBy("ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn(name, F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
+    lasts = rows.groupBy(key, "_period").agg(F.max(F.when(F.col("_side") == 0, F.struct("ts", "_tie", "_value"))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_before", F.last("_last._value", ignorenulls=True).over(before)).select(key, "_period", "_before")
+    return filled.join(carried, [key, "_period"]).select("_left.*", F.coalesce(name, "_before").alias(name))
+
+
 def asof_origin(queries: DataFrame, fixes: DataFrame, key: str = "user_id", unit: str = "day") -> DataFrame:
     """``queries`` (key, ts, …) with ``origin``, the latest fix (key, ts, fix_id, value) at or before each; null if none."""
-    fix_type = "struct<fix_id: bigint, value: double>"
-    asked = queries.withColumn("_query", F.struct(*queries.columns)).select(key, "ts", F.lit(1).alias("_side"), "_query", F.lit(None).cast(fix_type).alias("_fix"))
     fix = F.struct(F.col("fix_id").cast("bigint").alias("fix_id"), F.col("value").cast("double").alias("value"))
-    seen = fixes.select(key, "ts", F.lit(0).alias("_side"), F.lit(None).cast(asked.schema["_query"].dataType).alias("_query"), fix.alias("_fix"))
-    rows = asked.unionByName(seen).withColumn("_period", _period(unit=unit))
-    inside = Window.partitionBy(key, "_period").orderBy("ts", "_side", "_fix.fix_id").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.withColumn("origin", F.last("_fix", ignorenulls=True).over(inside)).where("_side = 1")
-    lasts = rows.groupBy(key, "_period").agg(F.max(F.when(F.col("_side") == 0, F.struct("ts", "_fix.fix_id", "_fix"))).alias("_last"))
-    before = Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.withColumn("_before", F.last("_last._fix", ignorenulls=True).over(before)).select(key, "_period", "_before")
-    return filled.join(carried, [key, "_period"]).select("_query.*", F.coalesce("origin", "_before").alias("origin"))
+    return _asof(queries, fixes.select(key, "ts", "fix_id", fix.alias("_fix")), "_fix", "fix_id", key, unit, "origin")
+
+
+def reruns(changes: DataFrame, queries: DataFrame, key: str = "user_id", unit: str = "day") -> DataFrame:
+    """Each change of an origin (key, ts, …) with ``query``, the user's query (key, ts, query_id, text) that is searched again; none without one."""
+    asked = F.struct(F.col("query_id").cast("bigint").alias("query_id"), "text")
+    found = _asof(changes, queries.select(key, "ts", "query_id", asked.alias("_asked")), "_asked", "query_id", key, unit, "query")
+    return found.where(F.trim(F.col("query.text")) != "")
 
 
 def origin_state(events: DataFrame, key: str = "user_id") -> DataFrame:
@@ -54,13 +65,17 @@ def throttled(fixes: DataFrame, period: str, key: str = "user_id") -> DataFrame:
     return grouped.select(key, F.col("w.start").alias("window_start"), "f.fix_id", "f.ts", "f.value")
 
 
-def moved(fixes: DataFrame, least_m: float, key: str = "user_id") -> DataFrame:
+def moved(fixes: DataFrame, least_m: float, key: str = "user_id", unit: str = "day") -> DataFrame:
     """Fixes at least ``least_m`` metres from the one before."""
     from waymark.functions.geo import equirectangular_m
 
-    order = Window.partitionBy(key).orderBy("ts", "fix_id")
-    far = equirectangular_m(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
-    return fixes.withColumn("_m", far).where(F.col("_m").isNull() | (F.col("_m") >= least_m)).drop("_m")
+    rows = fixes.withColumn("_period", _period(unit=unit))
+    order, spot = Window.partitionBy(key, "_period").orderBy("ts", "fix_id"), F.struct("lat", "lon")
+    lasts = rows.groupBy(key, "_period").agg(F.max_by(spot, F.struct("ts", "fix_id")).alias("_last"))
+    carried = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(key).orderBy("_period"))).drop("_last")
+    joined = rows.withColumn("_before", F.lag(spot).over(order)).join(carried, [key, "_period"]).withColumn("_before", F.coalesce("_before", "_carried"))
+    far = equirectangular_m(F.col("_before.lat"), F.col("_before.lon"), F.col("lat"), F.col("lon"))
+    return joined.withColumn("_m", far).where(F.col("_m").isNull() | (F.col("_m") >= least_m)).select(*fixes.columns)
 
 
 def fresh(entries: DataFrame, now, ttl: str = "7 days") -> DataFrame:

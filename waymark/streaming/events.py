@@ -29,35 +29,87 @@ def throttled(fixes: DataFrame, period: str = "5 seconds", late: str = "10 secon
 
 
 def with_origin(queries: DataFrame, fixes: DataFrame, late: str = "10 seconds", within: str = "1 hour", key: str = "user_id") -> DataFrame:
-    """Each query with the fixes of its user in the time before it; the last of them is its origin."""
-    q = queries.withWatermark("ts", late).alias("q")
-    f = fixes.withWatermark("ts", late).select(F.col(key).alias("fix_key"), F.col("ts").alias("fix_ts"), F.col("lat").alias("fix_lat"), F.col("lon").alias("fix_lon")).alias("f")
+    """Each query with the last fix (fix_ts, fix_lat, fix_lon) of its user at or before it, null where there is none ``within`` the time."""
+    asked = queries.columns
+    q = queries.withWatermark("ts", late)
+    f = fixes.withWatermark("ts", late).select(F.col(key).alias("fix_key"), F.col("ts").alias("fix_ts"), F.col("lat").alias("fix_lat"), F.col("lon").alias("fix_lon"))
     near = (F.col(key) == F.col("fix_key")) & (F.col("fix_ts") <= F.col("ts")) & (F.col("fix_ts") > F.col("ts") - F.expr(f"interval {within}"))
-    return q.join(f, near, "leftOuter").drop("fix_key")
+    # The watermark closes each query's group, and so drops its state, when no fix before it can come any more.
+    last = F.max_by(F.struct("fix_ts", "fix_lat", "fix_lon"), "fix_ts").alias("fix")
+    return q.join(f, near, "leftOuter").groupBy(*asked).agg(last).select(*asked, "fix.fix_ts", "fix.fix_lat", "fix.fix_lon")
 
 
 ORIGIN = "user_id bigint, kind string, lat double, lon double, changed boolean"
-STATE = "kind string, lat double, lon double"
+STATE = "kind string, lat double, lon double, seen double"
 
 
-def origin_changes(events: DataFrame, key: str = "user_id") -> DataFrame:
+def _moved(kind: str, lat: float, lon: float, seen: float, row) -> tuple[str, float, float, float]:
+    """The origin after an event: a fix moves one that is gps or unset, a choice replaces any; events older than the last are stale."""
+    at = row.ts.timestamp()
+    if at < seen or (row.kind == "gps" and kind not in ("gps", "none")):
+        return kind, lat, lon, seen
+    return row.kind, float(row.lat), float(row.lon), at
+
+
+def _keep(state: GroupState, values: tuple, keep_ms: int) -> None:
+    """Store the state until ``keep_ms`` after the newest of its events and the watermark."""
+    state.update(values)
+    state.setTimeoutTimestamp(int(max(values[3] * 1000, state.getCurrentWatermarkMs())) + keep_ms)
+
+
+def origin_changes(events: DataFrame, key: str = "user_id", late: str = "10 seconds", keep_ms: int = 86_400_000) -> DataFrame:
     """The origin of each user after each batch of events (key, ts, kind, lat, lon), and whether it changed.
 
     ``kind`` is gps, place, map or none.  A fix (gps) moves an origin that is gps or unset; a chosen place
-    or map point stays until another choice or ``none`` clears it.
+    or map point stays until another choice or ``none`` clears it.  An event older than the last that counted
+    changes nothing, whatever batch it comes in.  A user without events for ``keep_ms`` is forgotten.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, lat, lon = state.get if state.exists else ("none", float("nan"), float("nan"))
-        before = (kind, lat, lon)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = state.get if state.exists else ("none", float("nan"), float("nan"), 0.0)
+        before = own[:3]
         for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            if row.kind == "gps" and kind not in ("gps", "none"):
-                continue
-            kind, lat, lon = row.kind, float(row.lat), float(row.lon)
-        state.update((kind, lat, lon))
-        yield pd.DataFrame({"user_id": [name[0]], "kind": [kind], "lat": [lat], "lon": [lon], "changed": [(kind, lat, lon) != before]})
+            own = _moved(*own, row)
+        _keep(state, own, keep_ms)
+        changed = own[0] != before[0] or (own[0] != "none" and own[1:3] != before[1:3])
+        yield pd.DataFrame({"user_id": [name[0]], "kind": [own[0]], "lat": [own[1]], "lon": [own[2]], "changed": [changed]})
+
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, ORIGIN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+SEARCH = "user_id bigint, text string, kind string, lat double, lon double, reason string"
 
-    return events.groupBy(key).applyInPandasWithState(step, ORIGIN, STATE, "update", GroupStateTimeout.NoTimeout)
+
+def searches(events: DataFrame, key: str = "user_id", late: str = "10 seconds", keep_ms: int = 86_400_000) -> DataFrame:
+    """What is to be searched: each typed query with the origin of its moment, and the current one again when the origin changes.
+
+    ``events`` (key, ts, kind, lat, lon, text): kind is query (with its text) or one of :func:`origin_changes`.
+    ``reason`` is typed or moved.  An empty query is current but not searched.
+    """
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kind, lat, lon, seen, text = state.get if state.exists else ("none", float("nan"), float("nan"), 0.0, "")
+        out = []
+        for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
+            if row.kind == "query":
+                text, reason = row.text or "", "typed"
+            else:
+                after = _moved(kind, lat, lon, seen, row)
+                reason = "moved" if after[0] != kind or (after[0] != "none" and after[1:3] != (lat, lon)) else None
+                kind, lat, lon, seen = after
+            if reason and text.strip():
+                out.append((name[0], text, kind, lat, lon, reason))
+        _keep(state, (kind, lat, lon, seen, text), keep_ms)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in SEARCH.split(", ")])
+
+    grouped = events.withWatermark("ts", late).groupBy(key)
+    return grouped.applyInPandasWithState(step, SEARCH, STATE + ", text string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def answer_each_batch(search: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
