@@ -15,7 +15,7 @@ from waymark.schema import SearchParams
 @F.pandas_udf(T.DoubleType())
 def block_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters, matching longest blocks first (no junk heuristics)."""
-    return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(word, candidate, strict=True)], dtype="float64")
+    return pd.Series([None if a is None else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(word, candidate, strict=True)], dtype="float64")
 
 
 def quick_score(word: Column, candidate: Column, params: SearchParams = SearchParams()) -> Column:
@@ -25,9 +25,8 @@ def quick_score(word: Column, candidate: Column, params: SearchParams = SearchPa
 
 
 def score_pairs(pairs: DataFrame, word: str = "word", candidate: str = "candidate", params: SearchParams = SearchParams()) -> DataFrame:
-    """``pairs`` with ``score``: distinct pairs that need the ratio are sent to Python once, the others never."""
-    quick = pairs.withColumn("score", quick_score(F.col(word), F.col(candidate), params))
-    open_ = quick.where("score is null").select(word, candidate).distinct()
-    ratio = open_.withColumn("_ratio", block_ratio(word, candidate))
-    rest = quick.where("score is null").drop("score").join(ratio, [word, candidate]).withColumnRenamed("_ratio", "score")
-    return quick.where("score is not null").unionByName(rest.select(*quick.columns))
+    """``pairs``, which are distinct, with ``score``; only those that need the ratio are sent to Python."""
+    quick = pairs.withColumn("_quick", quick_score(F.col(word), F.col(candidate), params))
+    open_ = F.col("_quick").isNull()
+    ratio = block_ratio(F.when(open_, F.col(word)), F.when(open_, F.col(candidate)))
+    return quick.withColumn("score", F.coalesce("_quick", ratio)).drop("_quick")

@@ -11,6 +11,8 @@ The results are the same.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from waymark.lineage import settle
 from waymark.operators.index import KEY_CHARS, Index, trigrams
 from waymark.schema import LAST_CHAR, SearchParams
 
-FEW, AT_ONCE = 2000, 10
+FEW, AT_ONCE = 2000, 8
 
 
 def tokens(queries: DataFrame) -> DataFrame:
@@ -38,14 +40,17 @@ def few(rows: DataFrame, column: str, most: int = FEW) -> list | None:
 
 
 def only(table: DataFrame, column: str, values: list | None) -> DataFrame:
-    """The rows of ``table`` with one of a few values; Parquet skips the row groups without them."""
+    """``table`` without most rows that have none of a few (sorted) values, for a join that follows.
+
+    Short lists reach the Parquet files value by value, long ones as a few ranges, so that row groups are skipped.
+    """
     if values is None:
         return table
-    # Short lists are pushed to the files value by value, long ones only as a range.
-    parts = [F.col(column).isin(values[k : k + AT_ONCE]) for k in range(0, len(values), AT_ONCE)] or [F.lit(False)]
-    while len(parts) > 1:
-        parts = [parts[k] | parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return table.where(parts[0])
+    if len(values) <= AT_ONCE:
+        return table.where(F.col(column).isin(values))
+    step = -(-len(values) // AT_ONCE)
+    parts = [values[k : k + step] for k in range(0, len(values), step)]
+    return table.where(reduce(Column.__or__, (F.col(column).between(part[0], part[-1]) for part in parts)))
 
 
 def prefix_candidates(asked: DataFrame, prefixes: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
@@ -170,10 +175,11 @@ def rank(kinds: DataFrame, completed: DataFrame, asked: DataFrame, places: DataF
     if not params.exact_topk:
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "stage", "pn", "first", "place_id")
         every = every.withColumn("_pf", F.row_number().over(order)).where(F.col("_pf") <= F.col("lim") * params.prefilter).drop("_pf")
-    shown = places.select("place_id", display_name(F.col("name"), F.col("context")).alias("display"), "category", "lon", "lat")
+    # What orders the hits is narrow; whole addresses are joined to the last hits only.
+    shown = places.select("place_id", primary_name(display_name(F.col("name"), F.col("context"))).alias("name"), "category", "lon", "lat")
     origin = queries.select("query_id", F.col("lat").alias("olat"), F.col("lon").alias("olon"))
     hits = every.join(shown, "place_id").join(origin, "query_id").withColumns({
-        "is_area": is_area(F.col("category")), "name": primary_name(F.col("display")), "address": address_parts(F.col("display")),
+        "is_area": is_area(F.col("category")),
         "metres": equirectangular_m(F.col("olat"), F.col("olon"), F.col("lat"), F.col("lon")),
     })
     order = Window.partitionBy("query_id").orderBy(
@@ -181,6 +187,8 @@ def rank(kinds: DataFrame, completed: DataFrame, asked: DataFrame, places: DataF
     )
     asked_words = asked.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("words"))
     last = hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("lim")).join(asked_words, "query_id")
+    last = last.join(places.select("place_id", F.col("name").alias("_name"), F.col("context").alias("_context")), "place_id")
+    last = last.withColumn("address", address_parts(display_name(F.col("_name"), F.col("_context"))))
     matched = F.zip_with("words", "scores", lambda w, s: F.struct(w.alias("word"), s.alias("score")))
     return last.select("query_id", "pos", "place_id", "score", F.col("exact_count").cast("int").alias("exact_count"), "is_area", "name", "address", matched.alias("matched"), "lon", "lat", "metres")
 
