@@ -14,6 +14,7 @@ from waymark.llm.pii import op1_pii
 from waymark.llm.sharding import op6_sharding
 from waymark.llm.simhash import op2_simhash
 from waymark.llm.urls import op3_urls
+from waymark.llm.variants import op13_variants
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_urls, op4_licenses, op5_packing, op6_sharding, op7_langid, op8_lempelziv, op9_decontaminate, op10_htmltext, op12_negatives)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_urls, op4_licenses, op5_packing, op6_sharding, op7_langid, op8_lempelziv, op9_decontaminate, op10_htmltext, op12_negatives, op13_variants)}
 ORACLE_SQL: dict[str, str] = {"op12_negatives": NEGATIVES_SQL}
