@@ -1,32 +1,32 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding by joining pieces.
 
-A text is cut into words by the tokenizer's pattern.  Documents are dealt to blocks of about ``BLOCK`` bytes; the
-distinct words of each block are gathered, and every distinct word is encoded once, however many blocks hold it.
-A word that is a token is its id.  Else its bytes, written in
+A text is cut into words by the tokenizer's pattern.  A word that is a token is its id.  Else its bytes, written in
 hexadecimal, are parts that a fold of higher-order functions merges: in each step the adjacent parts whose
 joined bytes have the lowest rank become one.  Ranks are read from a constant map, dealt into slots by a hash
-so that a look-up takes constant time.  The ids decode by joining their binary pieces, again once for each distinct word.
-Each block's words then meet its documents, whose ids and bytes are those of their words in turn, put together from Arrow arrays.
+so that a look-up takes constant time.
+
+The distinct words that a sample of ``SAMPLE`` rows holds (the commonest ``REMEMBERED`` of them) are folded once, and go to the tasks as
+one bounded table; the few occurrences of other words are folded where they stand, by the same fold.  What is remembered
+only saves work: no id depends on it.  Documents are neither shuffled nor written.  Ids are put together, and decoded by joining
+their binary pieces, as whole Arrow arrays.
 
 Short words merge the leftmost lowest pair in each step.  Longer ones merge all pairs of the lowest rank at once, so that a
 run of a million equal signs takes twenty steps; that gives the same parts, unless a merged part has a
 lower rank with a neighbour, and where the ranks allow that it is looked for, and if found only the leftmost pair is merged.  Long words of
 very many different pairs still cost steps times length.
 
-A task holds one block and its dictionary; a word that all blocks hold is one narrow row for each block.  Texts travel once.
-
 Spark's regular expressions may know fewer letters and digits than the tokenizer's; both are asked for all code points, and
 the pattern is completed by the difference.
 
 Defined results: a null text is an empty one, without ids; repeated rows are encoded each; null doc_ids pass; an empty table
-gives no rows; other columns pass through, but those called ``ids`` and ``decoded`` are replaced.
+gives no rows; other columns pass through, but those called ``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import table
+from waymark.llm._common import lean, table
 
-RANKS, SLOTS, BLOCK, SHORT, ROUND = "byte_bpe_multi_50k.tiktoken", 1 << 15, 1 << 23, 32, 64
+RANKS, SLOTS, SHORT, ROUND = "byte_bpe_multi_50k.tiktoken", 1 << 15, 32, 64
+REMEMBERED, SAMPLE, LONGEST = 1 << 20, 50_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -222,76 +223,119 @@ def _classed(pattern: str) -> str:
     return "".join(out)
 
 
-def _pieces(ranks: dict[bytes, int]) -> Column:
-    """A constant array: the bytes of each id, in hexadecimal."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+def frequent_words(docs: DataFrame, own: str, most: int = REMEMBERED, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
+    """(word): the commonest words, at most ``most`` of at most ``longest`` characters, of about ``sample`` rows of ``docs`` (text)."""
+    share = max(1, docs.count() // max(1, sample))
+    some = docs.withColumn("k", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0)
+    # An outer explode: Spark adds no filter on the size, which would cut every text twice.
+    found = some.select(F.explode_outer(F.regexp_extract_all("text", F.lit(own), F.lit(0))).alias("word")).where(F.length("word") <= longest)
+    return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(most).select("word")
+
+
+def encode_words(found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(word, ids) for the words ``found``: their token ids."""
+    # The constant map is bound once a row, so that the plan names it once.
+    return found.select("word", bound(rank_map(ranks), lambda held: Merges(held).ids(F.hex("word"))).alias("ids"))
+
+
+def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _known_ids(lists: pa.Array, known: pa.Array, ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For lists of words the ids of known ones in turn, -1 for each other word, and the lists of these."""
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    at = pc.index_in(flat, value_set=known)
+    missing = at.is_null().to_numpy(zero_copy_only=False)
+    held = ids.take(at.drop_null())
+    sizes = np.ones(len(flat), dtype=np.int64)
+    sizes[~missing] = np.diff(held.offsets.to_numpy())
+    starts = np.r_[0, np.cumsum(sizes)]
+    out = np.empty(starts[-1], dtype=np.int32)
+    gap = np.zeros(len(out), dtype=bool)
+    gap[starts[:-1][missing]] = True
+    out[gap], out[~gap] = -1, held.flatten().to_numpy(zero_copy_only=False)
+    rare = np.r_[0, np.cumsum(missing)]
+    return (
+        pa.ListArray.from_arrays(pa.array(starts[bounds], pa.int32()), pa.array(out)),
+        pa.ListArray.from_arrays(pa.array(rare[bounds], pa.int32()), flat.filter(pa.array(missing))),
+    )
+
+
+def _filled(coded: pa.Array, rare: pa.Array) -> pa.Array:
+    """The lists of ids with each -1 replaced by the ids of the next of the lists ``rare``."""
+    flat, bounds = coded.flatten().to_numpy(zero_copy_only=False), coded.offsets.to_numpy() - coded.offsets[0].as_py()
+    each = rare.flatten()
+    sizes, gap = np.ones(len(flat), dtype=np.int64), flat < 0
+    sizes[gap] = np.diff(each.offsets.to_numpy())
+    starts = np.r_[0, np.cumsum(sizes)]
+    own = np.zeros(starts[-1], dtype=bool)
+    own[starts[:-1][~gap]] = True
+    out = np.empty(len(own), dtype=np.int32)
+    out[own], out[~own] = flat[~gap], each.flatten().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(starts[bounds], pa.int32()), pa.array(out))
+
+
+def joined_pieces(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """The bytes that lists of ids decode to: their binary pieces, joined."""
+    found = pieces.take(ids.flatten())
+    ends = np.r_[0, np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)]
+    bounds = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    whole = pa.py_buffer(ends[bounds].astype("<i8").tobytes())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, whole, found.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _piece_array(ranks: dict[bytes, int]) -> pa.Array:
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        pieces[rank] = token
+    return pa.array(pieces, pa.large_binary())
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of token ids: their binary pieces, joined (in hexadecimal, so that joining takes one pass)."""
-    return bound(_pieces(ranks), lambda t: F.unhex(F.array_join(F.transform(ids, lambda k: F.get(t, k)), "")))
+def decode(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``df`` (ids and any others) with ``decoded``, the bytes that the ids decode to."""
+    kept = df.drop("decoded")
+    pieces, where = kept.sparkSession.sparkContext.broadcast(_piece_array(ranks)), kept.columns.index("ids")  # the tokenizer's pieces
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = joined_pieces(batch.column(where), pieces.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, whole.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
 
-def encode_words(found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids, decoded) for distinct words: their token ids, and the bytes that these decode to."""
-    # The constant map is bound once a row, so that the plan names it once.
-    coded = found.select("word", bound(rank_map(ranks), lambda held: Merges(held).ids(F.hex("word"))).alias("ids"))
-    return coded.withColumn("decoded", decode(F.col("ids"), ranks))
-
-
-def _assembled(docs: pa.Table, known: pa.Table, names: list[str]) -> pa.Table:
-    """The block's documents with the ids and bytes of their words in turn."""
-    lists = docs["words"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    at = pc.index_in(lists.flatten(), value_set=known["word"].combine_chunks())
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-
-    def taken(name: str):
-        column = known[name].combine_chunks()
-        return (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).take(at)
-
-    ids, decoded = taken("ids"), taken("decoded").cast(pa.large_binary())
-    ends = np.frombuffer(decoded.buffers()[1], dtype="<i8")[decoded.offset : decoded.offset + len(decoded) + 1]
-    data = decoded.buffers()[2] or pa.py_buffer(b"")
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(ends[bounds].tobytes()), data])
-    starts = ids.offsets.to_numpy()
-    numbers = pa.ListArray.from_arrays(pa.array(starts[bounds] - starts[0], pa.int32()), ids.flatten())
-    return pa.table([*(docs[n] for n in names), numbers, whole.cast(pa.binary())], names=[*names, "ids", "decoded"])
-
-
-def recode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block: int = BLOCK) -> DataFrame:
-    """``docs`` (text and any others) with ``ids``, the token ids of the text, and ``decoded``, the bytes that they decode to."""
-    own = spark_pattern(docs.sparkSession, pattern)
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    cut = dealt.select("row", "block", F.regexp_extract_all("text", F.lit(own), F.lit(0)).alias("words"))
-    # An outer explode: Spark adds no filter on the size, which would cut every text twice.
-    held = cut.select("block", F.explode_outer("words").alias("word")).where("word is not null").distinct()
-    # A number of its own: folding is much work on few bytes, which Spark would gather in few tasks.
-    held = held.repartition(max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word")
-    coded = encode_words(held.select("word").distinct(), ranks)
-    known = held.join(coded, "word").select(F.col("block").alias("at"), "word", "ids", "decoded")
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` (text and any others) with ``ids``, the token ids of the text, in place of the text."""
+    spark, own = docs.sparkSession, spark_pattern(docs.sparkSession, pattern)
+    kept = [c for c in docs.columns if c not in ("ids", "text")]
+    tasks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = encode_words(frequent_words(docs.select("text"), own, remembered, sample).repartition(tasks), ranks).toArrow()  # at most ``remembered`` short words
+    shared = spark.sparkContext.broadcast((_one(table["word"]), _one(table["ids"])))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(own), F.lit(0)).alias("words"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded, rare = _known_ids(batch.column(1), *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), coded, rare], names=["row", "coded", "rare"])
 
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        return _assembled(docs, known, ["row"])
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _filled(batch.column(1), batch.column(2))], names=["row", "ids"])
 
-    schema = T.StructType([cut.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    made = cut.groupBy("block").cogroup(known.groupBy("at")).applyInArrow(run, schema)
-    return made.select(*(F.col(f"row.`{c}`") for c in kept), "ids", "decoded")
+    known = rows.mapInArrow(lean(look), T.StructType([rows.schema["row"], T.StructField("coded", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StringType()))]))
+    folded = bound(rank_map(ranks), lambda held: F.transform("rare", lambda w: Merges(held).ids(F.hex(w))))
+    made = known.select("row", "coded", folded.alias("rare")).mapInArrow(lean(fill), T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return made.select(*(F.col(f"row.`{c}`") for c in kept), "ids")
 
 
 def op11_bytepairs(spark, sf_dir: str) -> DataFrame:
     """Every document's ids, and the text that they decode to, as digests."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = recode(docs, read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
-    return coded.select(
+    docs, ranks = table(spark, sf_dir, "documents").select("doc_id", "text"), read_ranks(public_tokenizers.path(RANKS))
+    return decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
