@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.lineage import settle  # noqa: F401
@@ -41,6 +41,27 @@ def keep_rows(df: DataFrame, ids: DataFrame, keys: list[str], kind: str) -> Data
     return df.join(ids, keys, kind)
 
 
+def sampled(rows: DataFrame, most: int, kind: str | None = None) -> DataFrame:
+    """At most ``most`` distinct rows, of each value of the column ``kind`` if given: those with the smallest 64-bit hashes.
+
+    Works alike at every size: the threshold has 64 bits, equal rows count once (and are put together before they are
+    shuffled), and null columns are values like others.  The values of ``kind`` are few.
+    """
+    nulls = F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in rows.columns))
+    hashed = rows.withColumn("_hash", F.xxhash64(F.lit(7), nulls, *rows.columns))
+    groups = [kind] if kind else []
+    sizes = hashed.groupBy(*groups).agg(F.approx_count_distinct("_hash").alias("n")).collect()
+    limit = F.lit(None).cast("bigint")
+    for r in sizes:  # more than twice the sample, so that neither chance nor the error of the count matters
+        bound = F.lit(min((2 * most + 64) * 2**64 // max(r["n"], 1), 2**64 - 1) - 2**63)
+        limit = F.when(F.col(kind).eqNullSafe(r[kind]), bound).otherwise(limit) if kind else bound
+    picked = hashed.where(F.col("_hash") <= limit).groupBy("_hash", *rows.columns).agg(F.count("*").alias("_many"))
+    if not kind:
+        return picked.orderBy("_hash", *rows.columns).limit(most).select(*rows.columns)
+    order = Window.partitionBy(kind).orderBy("_hash", *(c for c in rows.columns if c != kind))
+    return picked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).select(*rows.columns)
+
+
 def lean(run):
     """An Arrow batch function that hands its freed memory back when its task ends; workers live on between tasks."""
 

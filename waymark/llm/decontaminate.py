@@ -7,9 +7,9 @@ A hit fixes how item and document lie against each other; along that diagonal th
 one by one and the best run is scored: a match counts 1, a substitution costs 1.  The pair is reported if
 the run scores at least ``LEAST``, or four fifths of the words of a shorter item.
 
-Items of fewer than ``SPAN`` words have no place for a mask and are found exactly: one of at least ``RUN``
-words wherever all of its words stand in turn, a shorter one where it is the whole document, because such
-words follow each other in any prose.
+Items of fewer than ``SMALL`` words have masks of their own length.  From ``LOOSE`` words on each mask leaves out one place,
+so that one substituted word is tolerated anywhere; items of ``RUN`` words are found word for word.  Shorter ones are
+found word for word too, but marked ``brief`` unless they are the whole document, because such words follow each other in any prose.
 
 The seeds of the benchmark go to all executors, in blocks of whole items of at most ``BLOCK`` seeds
 (counted first), so that a larger benchmark means more passes over the corpus and never a larger
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm._common import settle, table
 
-MASKS, LEAST, RUN, BLOCK = ("1101011", "11100101", "10110011"), 10, 4, 500_000
+MASKS, LEAST, RUN, LOOSE, SMALL, BLOCK = ("1101011", "11100101", "10110011"), 10, 4, 5, 10, 500_000
 SPAN = max(map(len, MASKS))
 
 
@@ -54,26 +54,27 @@ def _placed(rows: DataFrame, column: str, span: int) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, matched, score, doc_word, item_word, words): the best run of each pair that leaks.
+    """(doc_id, item_id, matched, score, doc_word, item_word, words, brief): the best run of each pair that leaks.
 
-    ``doc_word`` and ``item_word`` are where the run begins, ``words`` its length.
+    ``doc_word`` and ``item_word`` are where the run begins, ``words`` its length; ``brief`` marks runs too short to tell a leak.
     """
     span = max(map(len, masks))
     known = settle(items.select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0).distinct())
-    places = F.greatest((F.size("item") - (span - 1)) * len(masks), F.lit(1))
+    small = max(span, SMALL)
+    places = F.when(F.size("item") < small, F.size("item")).otherwise((F.size("item") - (span - 1)) * len(masks))
     total = known.agg(F.sum(places).alias("n")).first()["n"] or 0
-    sizes = [r["n"] for r in known.where(F.size("item") < span).select(F.size("item").alias("n")).distinct().collect()]  # fewer than span
+    sizes = [r["n"] for r in known.where(F.size("item") < small).select(F.size("item").alias("n")).distinct().collect()]  # fewer than small
     blocks = max(1, -(-total // block))
     body = docs.select("doc_id", word_hashes(F.col("text")).alias("doc"))
     probes = _placed(body, "doc", span).select("doc_id", "doc", "at", F.explode(_seeds(F.col("doc"), F.col("at"), masks)).alias("key"))
     # Blocks by the words, not the ids: many items may share an id, or have none.
     parts = [known if blocks == 1 else known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) for k in range(blocks)]
-    found = [_block(probes, part.where(F.size("item") >= span), span, masks, least) for part in parts]
+    found = [_block(probes, part.where(F.size("item") >= small), span, masks, least) for part in parts]
     if sizes:
-        found += [_short(body, part.where(F.size("item") < span), sorted(sizes)) for part in parts]
+        found += [_short(body, part.where(F.size("item") < small), sorted(sizes)) for part in parts]
     best = F.max_by("run", F.struct("run.score", -F.col("run.doc_word"), -F.col("run.item_word"))).alias("run")
     pairs = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
-    return pairs.select("doc_id", "item_id", "run.matched", "run.score", "run.doc_word", "run.item_word", "run.words")
+    return pairs.select("doc_id", "item_id", "run.matched", "run.score", "run.doc_word", "run.item_word", "run.words", F.col("run.brief").alias("brief"))
 
 
 def _block(probes: DataFrame, items: DataFrame, span: int, masks: tuple[str, ...], least: int) -> DataFrame:
@@ -98,28 +99,34 @@ def _block(probes: DataFrame, items: DataFrame, span: int, masks: tuple[str, ...
         "doc_id", "item_id",
         F.struct(
             "run.score", "run.matched", (F.col("shift") + F.col("first") + F.col("run.start")).alias("doc_word"),
-            (F.col("first") + F.col("run.start")).alias("item_word"), (F.col("run.end") - F.col("run.start")).alias("words"),
+            (F.col("first") + F.col("run.start")).alias("item_word"), (F.col("run.end") - F.col("run.start")).alias("words"), F.lit(False).alias("brief"),
         ).alias("run"),
     )
 
 
+def short_masks(size: int) -> list[list[int]]:
+    """The places that each mask over an item of so few words looks at."""
+    every = list(range(size))
+    return [every] if size < LOOSE else [every[:k] + every[k + 1 :] for k in every]
+
+
 def _short(body: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """Items of so many words that stand word for word in a document, or, if shorter than ``RUN``, are all of it."""
-    spot = "array<struct<at: int, n: int>>"
-
-    def places(n: int):
-        fits = F.size("doc") >= n if n >= RUN else F.size("doc") == n
-        at = F.transform(F.sequence(F.lit(0), F.size("doc") - n), lambda at: F.struct(at.alias("at"), F.lit(n).alias("n")))
-        return F.when(fits, at).otherwise(F.array().cast(spot))
-
-    spots = F.concat(*map(places, sizes))
-    probes = body.select("doc_id", "doc", F.explode_outer(spots).alias("spot")).where("spot is not null")
-    own = probes.select("doc_id", "spot", F.slice("doc", F.col("spot.at") + 1, F.col("spot.n")).alias("item"))
-    # A bounded block of the benchmark.
-    known = F.broadcast(items.select("item_id", "item", F.xxhash64("item").alias("key")))
-    hits = own.withColumn("key", F.xxhash64("item")).join(known, ["key", "item"])
-    run = F.struct(F.col("spot.n").alias("score"), F.col("spot.n").alias("matched"), F.col("spot.at").alias("doc_word"), F.lit(0).alias("item_word"), F.col("spot.n").alias("words"))
-    return hits.select("doc_id", "item_id", run.alias("run"))
+    """Items of so many words that stand in a document, but for one word from ``LOOSE`` words on."""
+
+    def seeds(hashes, at, size: int):
+        return F.array(*(F.xxhash64(F.lit(size), F.lit(k), *(F.get(hashes, at + F.lit(j)) for j in places)) for k, places in enumerate(short_masks(size))))
+
+    placed = [_placed(body, "doc", n).select("doc_id", "doc", "at", F.lit(n).alias("n"), F.explode(seeds(F.col("doc"), F.col("at"), n)).alias("key")) for n in sizes]
+    probes = reduce(DataFrame.unionByName, placed)
+    own = [items.where(F.size("item") == n).select("item_id", "item", F.explode(seeds(F.col("item"), F.lit(0), n)).alias("key")) for n in sizes]
+    # A bounded block of the benchmark, with at most SMALL - 1 seeds an item.
+    hits = probes.join(F.broadcast(reduce(DataFrame.unionByName, own)), "key").where(F.size("item") == F.col("n"))
+    met = hits.select("doc_id", "item_id", "at", "n", "item", F.slice("doc", F.col("at") + 1, F.col("n")).alias("own"), (F.size("doc") == F.col("n")).alias("whole")).distinct()
+    matched = F.size(F.filter(F.zip_with("own", "item", lambda x, y: x == y), lambda same: same))
+    scored = met.withColumn("matched", matched).where(F.col("matched") >= F.col("n") - (F.col("n") >= LOOSE).cast("int"))
+    brief = (F.col("n") < RUN) & ~F.col("whole")
+    run = F.struct((2 * F.col("matched") - F.col("n")).alias("score"), "matched", F.col("at").alias("doc_word"), F.lit(0).alias("item_word"), F.col("n").alias("words"), brief.alias("brief"))
+    return scored.select("doc_id", "item_id", run.alias("run"))
 
 
 def _best_run(same):

@@ -6,7 +6,7 @@ proportions from the words' trigram likelihoods.  Language sets are nested by th
 set with the best penalised likelihood (log-likelihood minus ``PENALTY`` * size * ln(words)) is kept: a
 document's set grows, up to all learned languages, as long as a further one improves that value.
 
-The models learn from at most ``SAMPLE`` training documents a language, taken by hash of the doc_id and
+The models learn from at most ``SAMPLE`` distinct training texts a language, taken by hash and
 counted on the executors; only the counts (``BUCKETS`` numbers a language) reach the driver.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text whose
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import lean, table, text_chunks
+from waymark.llm._common import lean, sampled, settle, table, text_chunks
 
 BUCKETS, SAMPLE, ROUNDS, PENALTY, UNKNOWN = 1 << 16, 1500, 8, 2.0, "und"
 
@@ -116,17 +116,11 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> LanguageModel:
-    """Learn from ``labelled`` (doc_id, text, lang), at most ``sample`` documents a language."""
-    rows = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    """Learn from ``labelled`` (text, lang), at most ``sample`` distinct texts a language."""
+    picked = settle(sampled(labelled.where("lang is not null and text is not null").select("lang", "text"), sample, "lang"))
+    languages = tuple(sorted(r["lang"] for r in picked.select("lang").distinct().collect()))
+    if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0), dtype=np.float32))
-    languages = tuple(sorted(sizes))
-    limit = F.lit(0)
-    for lang in languages:  # a hash threshold that keeps about the sample of each language
-        share = min(1.0, sample / sizes[lang])
-        limit = F.when(F.col("lang") == lang, F.lit(int(share * 1_000_000))).otherwise(limit)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import literal_table, settle, table
+from waymark.llm._common import literal_table, sampled, settle, table
 
 NEGATIVES, CONFIRM, DOUBT, PRIOR, UNKNOWN, BLOCK, FOLDS = 3000, 0.5, 0.2, 0.02, "unknown", 256, 5
 STEMS = r"(?i)licen[cs]|copyright|copyleft|warrant|public domain|rights reserved|\bgpl|\bcc[ -](by|0)|spdx|redistribut|permission is"
@@ -200,9 +200,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    spark, total = docs.sparkSession, docs.count()
-    share = min(1.0, negatives / max(total, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    spark, some = docs.sparkSession, sampled(docs.select("text"), negatives)
     lines = settle(some.select(F.explode(F.split("text", "\n")).alias("body")).where(F.length("body") > 0).distinct().withColumn("words", _words(F.col("body"))))
     known = F.array(*map(F.lit, sorted({g for _, body in TEMPLATES for g in _runs(body)})))
     other = lines.where(~F.arrays_overlap(_grams(F.col("words")), known))

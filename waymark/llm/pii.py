@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm._common import lean, table
+from waymark.llm._common import lean, sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SAMPLE_TOKENS, ROUNDS, SURE, EVIDENCE, DAMPING = 1500, 200, 12, 0.9, 40.0, 0.3
@@ -155,6 +155,13 @@ def keys(text: str) -> Iterator[tuple[str, bool]]:
         yield "e" + digits, False
 
 
+def _before(text: str, start: int) -> str:
+    """The last sign before ``start`` that is no blank, or nothing."""
+    while start and text[start - 1] in " \t":
+        start -= 1
+    return text[start - 1 : start] if start else ""
+
+
 @dataclass
 class Graph:
     """The nodes of some texts: where they lie, their shapes, labels and edges; the base spans among them are evidence."""
@@ -191,7 +198,7 @@ class Graph:
             if start < free:
                 continue
             core = m[0].strip(EDGE_SIGNS)
-            named = names and core.istitle() and core.lower() in names and text[:start].rstrip(" \t")[-1:] not in ("", ".", "!", "?", "\n", "\r")
+            named = names and core.istitle() and core.lower() in names and _before(text, start) not in ("", ".", "!", "?", "\n", "\r")
             if HINT.search(m[0]) or named:
                 yield start, end, 0
 
@@ -344,12 +351,9 @@ def fit(rows: np.ndarray, rounds: int = 1200, rate: float = 0.5, momentum: float
 
 
 def train(df: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Learn from at most about ``sample`` documents of ``df`` (doc_id, text) that hold a digit or an "@"."""
-    rows = df.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    size = rows.count()
-    if not size:
-        return None
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(np.ceil(min(1.0, sample / size) * 1_000_000)))
+    """Learn from at most ``sample`` distinct texts of ``df`` (text) that hold a digit or an "@"."""
+    rows = df.select("text").where(F.col("text").rlike("[0-9@]"))
+    picked = sampled(rows.select("text"), sample)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import settle, table
+from waymark.llm._common import sampled, settle, table
 
 SAMPLE, TREES, DEPTH, SMOOTH, BROADCAST_HOSTS = 4000, 15, 4, 20.0, 100_000
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -153,16 +153,10 @@ def train(urls: DataFrame, labels: DataFrame | None = None, rules=RULES, sample:
 
     rows = label(parted(urls.select("url")), rules) if labels is None else parted(labels.select("url", "label")).withColumn("label", F.col("label").cast("double"))
     hosts = settle(rows.groupBy("host").agg(F.count("*").alias("n"), F.sum("label").alias("bad")))
-    kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}  # two labels
     totals = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     if not totals["n"] or totals["bad"] in (0, totals["n"]):
         return UrlModel(None, 0.0, None)
-    chance = F.lit(0)
-    for kind, n in kinds.items():  # twice the sample, so that the estimate of n does not matter
-        chance = F.when(F.col("label") == kind, F.lit(int(min(1.0, 2 * sample / max(n, 1)) * 1_000_000))).otherwise(chance)
-    some = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < chance).groupBy("url", "host", "path", "label").agg(F.count("*").alias("_many"))
-    picked = [some.where(F.col("label") == kind).orderBy(F.xxhash64("url", F.lit(1)), "url").limit(sample) for kind in sorted(kinds)]
-    taken = settle(picked[0].unionByName(picked[-1])).drop("_many")
+    taken = settle(sampled(rows.select("url", "host", "path", "label"), sample, "label"))
     model = UrlModel(hosts, totals["bad"] / totals["n"], None)
     stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=3)]
     model.trees = Pipeline(stages=stages).fit(settle(model.features(taken).select("url", "label", *FEATURES).orderBy("url").coalesce(1)))
