@@ -59,9 +59,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop the documents that hold passages of the benchmark.
 
     Null and empty texts hold none and stay.  Repeated rows stay or go together.  An empty benchmark drops nothing.
+    Items of under four words drop only the documents that they are the whole of.
     """
     keyed, keys = row_keys(docs)
-    hits = decontaminate.overlaps(keyed.select(F.struct(*keys).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hits = decontaminate.overlaps(keyed.select(F.struct(*keys).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("not brief")
     gone = settle(hits.select(*(F.col(f"doc_id.{k}").alias(k) for k in keys)).distinct())
     return keep_rows(keyed, gone, keys, "left_anti").drop(*keys)
 
