@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from waymark.llm._common import lean, table
 
 RANKS, SLOTS, SHORT, ROUND = "byte_bpe_multi_50k.tiktoken", 1 << 15, 32, 64
-REMEMBERED, SAMPLE, LONGEST = 1 << 20, 50_000, 64
+REMEMBERED, SAMPLE, LONGEST, AT_ONCE = 1 << 20, 50_000, 64, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -243,6 +243,16 @@ def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` elements in the lists of a column, so that a worker stays small."""
+    bounds = batch.column(column).offsets.to_numpy()
+    low = 0
+    while low < len(batch):
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + most, side="right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _known_ids(lists: pa.Array, known: pa.Array, ids: pa.Array) -> tuple[pa.Array, pa.Array]:
     """For lists of words the ids of known ones in turn, -1 for each other word, and the lists of these."""
     flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -300,16 +310,18 @@ def decode(df: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = joined_pieces(batch.column(where), pieces.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, whole.cast(pa.binary())], names=[*batch.schema.names, "decoded"])
+            for part in _slices(batch, where):
+                whole = joined_pieces(part.column(where), pieces.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, whole.cast(pa.binary())], names=[*part.schema.names, "decoded"])
 
     return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` (text and any others) with ``ids``, the token ids of the text, in place of the text."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED, sample: int = SAMPLE, decoded: bool = False) -> DataFrame:
+    """``docs`` (text and any others) with ``ids``, the token ids of the text, in place of the text; ``decoded`` adds what :func:`decode` gives."""
     spark, own = docs.sparkSession, spark_pattern(docs.sparkSession, pattern)
-    kept = [c for c in docs.columns if c not in ("ids", "text")]
+    kept = [c for c in docs.columns if c not in ("ids", "text", "decoded")]
+    pieces = spark.sparkContext.broadcast(_piece_array(ranks))  # the tokenizer's pieces
     tasks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = encode_words(frequent_words(docs.select("text"), own, remembered, sample).repartition(tasks), ranks).toArrow()  # at most ``remembered`` short words
     shared = spark.sparkContext.broadcast((_one(table["word"]), _one(table["ids"])))
@@ -317,17 +329,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, remembered: i
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded, rare = _known_ids(batch.column(1), *shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), coded, rare], names=["row", "coded", "rare"])
+            for part in _slices(batch, 1):
+                coded, rare = _known_ids(part.column(1), *shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), coded, rare], names=["row", "coded", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _filled(batch.column(1), batch.column(2))], names=["row", "ids"])
+            for part in _slices(batch, 1):
+                ids = _filled(part.column(1), part.column(2))
+                more = [joined_pieces(ids, pieces.value).cast(pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *more], names=["row", "ids", "decoded"][: 2 + len(more)])
 
     known = rows.mapInArrow(lean(look), T.StructType([rows.schema["row"], T.StructField("coded", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StringType()))]))
     folded = bound(rank_map(ranks), lambda held: F.transform("rare", lambda w: Merges(held).ids(F.hex(w))))
-    made = known.select("row", "coded", folded.alias("rare")).mapInArrow(lean(fill), T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return made.select(*(F.col(f"row.`{c}`") for c in kept), "ids")
+    fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    made = known.select("row", "coded", folded.alias("rare")).mapInArrow(lean(fill), T.StructType(fields if decoded else fields[:2]))
+    return made.select(*(F.col(f"row.`{c}`") for c in kept), *made.columns[1:])
 
 
 def op11_bytepairs(spark, sf_dir: str) -> DataFrame:
@@ -335,7 +352,7 @@ def op11_bytepairs(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, ranks = table(spark, sf_dir, "documents").select("doc_id", "text"), read_ranks(public_tokenizers.path(RANKS))
-    return decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks).select(
+    return encode(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
