@@ -134,7 +134,11 @@ def test_postings(spark):
     pairs = spark.createDataFrame(rows, "word string, place_id long, named boolean")
     posted = index.postings(pairs)
     assert {tuple(r) for r in index.unpack_postings(posted).collect()} == set(rows)
-    sizes = {r["word"]: encoded_size(r["postings"]) for r in posted.collect()}
+    assert all(len(r["postings"]) == r["places"] and {x >> index.RANGE_BITS for x in r["postings"]} == {r["range"]} for r in posted.collect())
+    whole = {}
+    for r in sorted(posted.collect(), key=lambda r: r["range"]):
+        whole[r["word"]] = whole.get(r["word"], []) + list(r["postings"])
+    sizes = {w: encoded_size(refs) for w, refs in whole.items()}
     assert {r["word"]: r["blob_bytes"] for r in index.vocabulary(pairs).collect()} == sizes
 
 

@@ -73,9 +73,9 @@ def vocabulary(pairs: DataFrame) -> DataFrame:
 
 
 def postings(pairs: DataFrame) -> DataFrame:
-    """(word, places, postings): the array form, for export; a very common word makes a very long array."""
-    refs = pairs.select("word", packed_ref(F.col("place_id"), F.col("named")).alias("ref"))
-    return refs.groupBy("word").agg(F.count("*").alias("places"), F.sort_array(F.collect_list("ref")).alias("postings"))
+    """(word, range, places, postings): the array form, one row for each word and range of places, so that no array outgrows its range."""
+    refs = pairs.select("word", packed_ref(F.col("place_id"), F.col("named")).alias("ref")).withColumn("range", F.shiftright("ref", RANGE_BITS))
+    return refs.groupBy("word", "range").agg(F.count("*").alias("places"), F.sort_array(F.collect_list("ref")).alias("postings"))
 
 
 def unpack_postings(posted: DataFrame) -> DataFrame:

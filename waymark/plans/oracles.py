@@ -103,6 +103,7 @@ cw AS MATERIALIZED (SELECT DISTINCT place_id, unnest({words(fold('context'))}) A
 pairs AS MATERIALIZED (SELECT word, place_id, true AS named FROM nw UNION ALL SELECT word, place_id, false FROM cw ANTI JOIN nw USING (place_id, word))"""
 DELTA = "ref - coalesce(lag(ref) OVER (PARTITION BY word ORDER BY ref), 0)"
 BYTES = "1 + (d >= 128)::INT + (d >= 16384)::INT + (d >= 2097152)::INT + (d >= 268435456)::INT + (d >= 34359738368)::INT"
+VARINT = "".join(f"CASE WHEN d < {1 << 7 * n} THEN printf('" + "%02x" * n + "', " + ", ".join(f"((d >> {7 * k}) & 127) + {128 if k < n - 1 else 0}" for k in range(n)) + ") ELSE " for n in range(1, 6)) + "NULL" + " END" * 5
 VOCAB = f"""vocab AS MATERIALIZED (SELECT word, length(word)::BIGINT AS n_chars, count(*)::BIGINT AS places, sum({BYTES})::BIGINT AS blob_bytes
 FROM (SELECT word, {DELTA} AS d FROM (SELECT word, place_id * 2 + named::INT AS ref FROM pairs)) GROUP BY word)"""
 
@@ -135,6 +136,14 @@ FROM range(0, length({a})) x(i), range(0, length({b})) y(j) WHERE substr({a}, x.
 {name} AS MATERIALIZED (SELECT p.a, p.b, 2.0::DOUBLE * coalesce(m, 0) / (length(p.a) + length(p.b)) AS ratio FROM {name}_p p LEFT JOIN {name}_m USING (a, b))"""
 
 
+VARIANTS = f"""WITH v AS (SELECT p_partkey AS place_id, unnest([0, 1, 2, 3]) AS o, unnest(['name', 'alt_name', 'old_name', 'name:uk']) AS source, unnest([p_name, upper(p_name), p_brand, {uk('p_name')}]) AS name FROM part),
+v1 AS (SELECT place_id, o * 10 AS o, source, name FROM v QUALIFY row_number() OVER (PARTITION BY place_id, lower(name) ORDER BY o) = 1),
+r AS (SELECT place_id, 100 + o AS o, 'translit_kmu' AS source, trim({kmu('name')}) AS name, name AS own FROM v1 WHERE regexp_matches(name, '[Ѐ-ӿ]')
+  UNION ALL SELECT place_id, 101 + o, 'translit_naive', trim({typed('name')}), name FROM v1 WHERE regexp_matches(name, '[Ѐ-ӿ]')),
+a AS (SELECT place_id, o, source, name FROM v1 UNION ALL SELECT place_id, o, source, name FROM r WHERE name <> '' AND lower(name) <> lower(own)),
+d AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY place_id, lower(name) ORDER BY o) = 1)
+SELECT place_id, (row_number() OVER (PARTITION BY place_id ORDER BY o) - 1)::INT AS ord, source, name FROM d"""
+
 ORACLE_SQL = {
     "normalise_text": f"SELECT doc_id, {fold('text')} AS folded FROM documents",
     "tokenise_words": f"SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_distinct, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {words(fold('text'))} AS w FROM documents)",
@@ -145,17 +154,13 @@ SELECT id, coalesce(CASE WHEN cafe THEN 'amenity=cafe' END, 'shop=' || shop, 'pl
 UNION ALL SELECT id, 'settlement', place FROM o WHERE osm_type = 'n' AND place IS NOT NULL UNION ALL SELECT id, 'street', name FROM o WHERE osm_type = 'w' AND highway""",
     "bbox_filter": f"SELECT place_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({POINTS}) WHERE lon BETWEEN 23.0 AND 24.5 AND lat BETWEEN 49.0 AND 50.0",
     "padded_sources": f"SELECT seq, name FROM ({STREETS}) WHERE greatest(ax, bx) >= 23.0 - 0.35 AND least(ax, bx) <= 24.5 + 0.35 AND greatest(ay, by_) >= 49.0 - 0.35 AND least(ay, by_) <= 50.0 + 0.35",
-    "name_concat": "SELECT n_nationkey, n_name, string_agg(c_name, chr(10) ORDER BY c_custkey) AS names FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL",
-    "name_variants_dedup": f"""WITH v AS (SELECT p_partkey AS place_id, unnest([0, 1, 2, 3]) AS o, unnest(['name', 'alt_name', 'old_name', 'name:uk']) AS source, unnest([p_name, upper(p_name), p_brand, {uk('p_name')}]) AS name FROM part),
-v1 AS (SELECT place_id, o * 10 AS o, source, name FROM v QUALIFY row_number() OVER (PARTITION BY place_id, lower(name) ORDER BY o) = 1),
-r AS (SELECT place_id, 100 + o AS o, 'translit_kmu' AS source, trim({kmu('name')}) AS name, name AS own FROM v1 WHERE regexp_matches(name, '[Ѐ-ӿ]')
-  UNION ALL SELECT place_id, 101 + o, 'translit_naive', trim({typed('name')}), name FROM v1 WHERE regexp_matches(name, '[Ѐ-ӿ]')),
-a AS (SELECT place_id, o, source, name FROM v1 UNION ALL SELECT place_id, o, source, name FROM r WHERE name <> '' AND lower(name) <> lower(own)),
-d AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY place_id, lower(name) ORDER BY o) = 1)
-SELECT place_id, (row_number() OVER (PARTITION BY place_id ORDER BY o) - 1)::INT AS ord, source, name FROM d""",
+    "name_variants_dedup": VARIANTS,
+    "name_concat": f"SELECT p_partkey, p_name, names FROM part JOIN (SELECT place_id, string_agg(name, chr(10) ORDER BY ord) AS names FROM ({VARIANTS}) GROUP BY place_id) ON p_partkey = place_id",
     "context_except": f"""WITH {TERMS} SELECT place_id, coalesce((SELECT string_agg(word, ' ' ORDER BY word) FROM pairs x WHERE x.place_id = pl.place_id AND named), '') AS name_terms,
 coalesce((SELECT string_agg(word, ' ' ORDER BY word) FROM pairs x WHERE x.place_id = pl.place_id AND NOT named), '') AS context_terms FROM pl""",
-    "postings_build": f"WITH {TERMS} SELECT word, count(*)::BIGINT AS places, string_agg(ref::VARCHAR, ',' ORDER BY ref) AS postings FROM (SELECT word, place_id * 2 + named::INT AS ref FROM pairs) GROUP BY word",
+    "postings_build": f"WITH {TERMS} SELECT word, ref >> 12 AS range, count(*)::BIGINT AS places, string_agg(ref::VARCHAR, ',' ORDER BY ref) AS postings FROM (SELECT word, place_id * 2 + named::INT AS ref FROM pairs) GROUP BY ALL",
+    "postings_codec": f"""WITH {TERMS}, refs AS (SELECT word, place_id * 2 + named::INT AS ref FROM pairs), steps AS (SELECT word, ref, {DELTA} AS d FROM refs)
+SELECT word, ref >> 12 AS range, count(*)::BIGINT AS places, min(ref) AS first_ref, string_agg({VARINT}, '' ORDER BY ref) AS data, sum({BYTES})::BIGINT AS n_bytes, string_agg(ref::VARCHAR, ',' ORDER BY ref) AS postings FROM steps GROUP BY ALL""",
     "postings_bytes": f"WITH {TERMS}, {VOCAB} SELECT word, n_chars, places, blob_bytes FROM vocab",
     "postings_roundtrip": f"WITH {TERMS} SELECT word, place_id, named FROM pairs",
     "prefix_resolve": f"WITH {TERMS}, {VOCAB}, {asked(20)} SELECT w AS word, candidate, places, blob_bytes, rn::BIGINT AS rn, run::BIGINT AS run FROM pre",

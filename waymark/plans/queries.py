@@ -11,8 +11,8 @@ from waymark.functions import present
 from waymark.functions.geo import equirectangular_m
 from waymark.functions.similarity import score_pairs, block_ratio
 from waymark.functions.text import clean, is_cyrillic, normalise, romanise_kmu, romanise_naive, words
-from waymark.lineage import shared_folder
-from waymark.operators import context, export, index, ingest, origin, search, spatial
+from waymark.lineage import settle, shared_folder
+from waymark.operators import codec, context, export, index, ingest, origin, search, spatial
 from waymark.schema import ADMIN_LEVELS, ContextParams
 from waymark.sources import adapters as src
 from waymark.sources.adapters import read
@@ -60,9 +60,10 @@ def padded_sources(spark, d):
 
 
 def name_concat(spark, d):
-    names = read(spark, d, "customer").select("c_nationkey", F.struct("c_custkey", "c_name").alias("n"))
-    grouped = names.groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("n")), lambda n: n["c_name"]), "\n").alias("names"))
-    return read(spark, d, "nation").join(grouped, F.col("n_nationkey") == F.col("c_nationkey")).select("n_nationkey", "n_name", "names")
+    """The spellings of each part's name as one text: few names for each place."""
+    names = ingest.name_variants(src.part_objects(spark, d))
+    grouped = names.groupBy("place_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda n: n["name"]), "\n").alias("names"))
+    return read(spark, d, "part").join(grouped, F.col("p_partkey") == F.col("place_id")).select("p_partkey", "p_name", "names")
 
 
 def name_variants_dedup(spark, d):
@@ -79,7 +80,15 @@ def _pairs(spark, d):
 
 
 def postings_build(spark, d):
-    return index.postings(_pairs(spark, d)).select("word", "places", joined(F.col("postings").cast("array<string>")).alias("postings"))
+    return index.postings(_pairs(spark, d)).select("word", "range", "places", joined(F.col("postings").cast("array<string>")).alias("postings"))
+
+
+def postings_codec(spark, d):
+    """Every word's postings as bytes, and what these decode to."""
+    coded = settle(codec.encode(_pairs(spark, d)))
+    back = codec.decode(coded).select("word", "range", joined(F.col("postings").cast("array<string>")).alias("postings"))
+    data = codec.streams(coded).select("word", "range", "places", F.col("first").alias("first_ref"), F.lower(F.hex("data")).alias("data"), F.octet_length("data").cast("bigint").alias("n_bytes"))
+    return data.join(back, ["word", "range"])
 
 
 def postings_bytes(spark, d):
@@ -327,7 +336,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalise_text, tokenise_words, clean_whitespace, category_pick, role_split, bbox_filter, padded_sources, name_concat,
-        name_variants_dedup, context_except, postings_build, postings_bytes, postings_roundtrip, prefix_resolve, fuzzy_resolve,
+        name_variants_dedup, context_except, postings_build, postings_bytes, postings_codec, postings_roundtrip, prefix_resolve, fuzzy_resolve,
         similarity_ratio, word_similarity, tally_scores, classify_hits, complete_partial, rank_hits, search_topk,
         primary_related_split, primary_and_address, matched_context, distance_labels, geo_links, short_address, romanise_official,
         romanise_typed, cyrillic_test, knn_settlements, fallback_major, nearest_subdivision, nearest_street, point_in_area,
