@@ -101,6 +101,11 @@ def grams(vocab: DataFrame) -> DataFrame:
     return long.select(F.explode(trigrams(F.col("word"))).alias("gram"), F.col("word").alias("candidate"), "blob_bytes")
 
 
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(gram, words): how many words hold each trigram, so that a search can begin with the rarest."""
+    return grams.groupBy("gram").agg(F.count("*").alias("words"))
+
+
 def write_index(termed: DataFrame, folder: str) -> None:
     """The tables of an index as Parquet, each ranged and sorted by what it is asked for, so that a search reads few row groups."""
     spark = termed.sparkSession
@@ -114,22 +119,23 @@ def write_index(termed: DataFrame, folder: str) -> None:
     save(saved.select("place_id", "word"), "by_place", "place_id", "word")
     vocab = save(vocabulary(saved), "vocab", "word")
     save(prefixes(vocab), "prefixes", "key", "candidate")
-    save(grams(vocab), "grams", "gram", "candidate")
+    save(gram_counts(save(grams(vocab), "grams", "gram", "candidate")), "gram_counts", "gram")
 
 
 class Index:
     """An index on disk, or in the making: places (place_id, name, context, …), pairs, and its other tables."""
 
-    TABLES = ("places", "pairs", "vocab", "prefixes", "grams", "by_place")
+    TABLES = ("places", "pairs", "vocab", "prefixes", "grams", "by_place", "gram_counts")
 
-    def __init__(self, places: DataFrame, pairs: DataFrame, vocab: DataFrame, prefixes: DataFrame, grams: DataFrame, by_place: DataFrame):
-        self.places, self.pairs, self.vocab, self.prefixes, self.grams, self.by_place = places, pairs, vocab, prefixes, grams, by_place
+    def __init__(self, places: DataFrame, pairs: DataFrame, vocab: DataFrame, prefixes: DataFrame, grams: DataFrame, by_place: DataFrame, gram_counts: DataFrame):
+        self.places, self.pairs, self.vocab, self.prefixes, self.grams, self.by_place, self.gram_counts = places, pairs, vocab, prefixes, grams, by_place, gram_counts
 
     @classmethod
     def of(cls, termed: DataFrame) -> "Index":
         exploded = pairs(termed)
         vocab = vocabulary(exploded)
-        return cls(termed, exploded, vocab, prefixes(vocab), grams(vocab), exploded.select("place_id", "word"))
+        held = grams(vocab)
+        return cls(termed, exploded, vocab, prefixes(vocab), held, exploded.select("place_id", "word"), gram_counts(held))
 
     @classmethod
     def open(cls, spark, folder: str) -> "Index":

@@ -70,25 +70,48 @@ def word_totals(asked: DataFrame, found: DataFrame) -> DataFrame:
     return asked.select("word").distinct().join(totals, "word", "left").withColumn("tot", F.coalesce("tot", F.lit(0)))
 
 
+def usable_grams(probe: Column) -> Column:
+    """The trigrams that any word containing the probe contains; an underscore stands for any sign in a LIKE pattern."""
+    return F.filter(trigrams(probe), lambda g: ~F.contains(g, F.lit("_")))
+
+
+def by_grams(probes: DataFrame, index: Index, grams: int = 2) -> DataFrame:
+    """(word, probe, candidate, blob_bytes): the indexed words that hold the ``grams`` rarest trigrams of each probe (word, probe).
+
+    The rarest one makes a hash join whose size is that of the thinnest list; the lists of the others only thin it out.
+    """
+    asked = probes.select("word", "probe", F.explode(usable_grams(F.col("probe"))).alias("gram"))
+    counts = only(index.gram_counts, "gram", few(asked, "gram"))
+    rarest = Window.partitionBy("word").orderBy(F.coalesce("words", F.lit(0)), "gram")
+    chosen = asked.join(counts, "gram", "left").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= grams).select("word", "probe", "gram", "nth")
+    chosen = settle(chosen)  # a few rows a word
+    held = only(index.grams, "gram", few(chosen, "gram"))
+    hit = held.join(chosen.where("nth = 1").drop("nth"), "gram").drop("gram")
+    for nth in range(2, grams + 1):
+        also = chosen.where(F.col("nth") == nth).select("word", "gram")
+        listed = held.join(also, "gram").select("word", "candidate")
+        # Probes of a single trigram have no further list.
+        hit = hit.join(listed.withColumn("_in", F.lit(1)), ["word", "candidate"], "left").join(also.select("word", F.lit(1).alias("_asked")), "word", "left")
+        hit = hit.where("_asked is null or _in is not null").drop("_in", "_asked")
+    return hit.select("word", "probe", "candidate", "blob_bytes")
+
+
 def fuzzy_candidates(totals: DataFrame, index: Index, found: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(word, candidate, blob_bytes, score, ord): indexed words that contain the probe of a thinly resolved word."""
     thin_enough = (F.col("tot") < params.min_confident_places) & (F.col("tot") <= params.max_refs)
     thin = totals.where(thin_enough & (F.length("word") >= params.min_fuzzy_word))
     probe = F.substring("word", F.lit(1), F.greatest(F.lit(params.min_probe), F.length("word") - params.probe_trim))
-    # Any word that contains the probe contains its trigrams; one of them makes it a hash join. An underscore
-    # stands for any sign in a LIKE pattern, so trigrams with one are no keys.
-    usable = F.filter(trigrams(F.col("probe")), lambda g: ~F.contains(g, F.lit("_")))
-    keyed = thin.select("word", probe.alias("probe")).withColumn("gram", F.get(usable, F.lit(0)))
     like = F.expr("candidate like concat('%', probe, '%')")
-    hit = only(index.grams, "gram", few(keyed, "gram")).join(keyed, "gram").where(like).drop("gram")
-    odd = keyed.where("gram is null")
+    keyed = thin.select("word", probe.alias("probe"))
+    hit = by_grams(keyed, index).where(like)
+    odd = keyed.where(F.size(usable_grams(F.col("probe"))) == 0)
     if few(odd, "word", 0) is None:
         # Rare: of such probes a single sign is the key; of underscores alone, which only words with one resemble enough, that one.
         sign = F.coalesce(F.get(F.filter(F.split("probe", ""), lambda c: c != "_"), F.lit(0)), F.lit("_"))
         signs = index.vocab.where("n_chars >= 3").select(F.explode(F.array_distinct(F.split("word", ""))).alias("gram"), F.col("word").alias("candidate"), "blob_bytes")
         hit = hit.unionByName(signs.join(odd.withColumn("gram", sign), "gram").where(like).select(*hit.columns))
     fresh = hit.join(found.select("word", "candidate"), ["word", "candidate"], "left_anti")
-    scored = score_pairs(fresh.select("word", "candidate", "blob_bytes"), params=params).where(F.col("score") >= params.min_score)
+    scored = score_pairs(fresh.select("word", "candidate", "blob_bytes"), params=params, least=F.lit(params.min_score)).where(F.col("score") >= params.min_score)
     order = Window.partitionBy("word").orderBy("candidate")
     return scored.withColumn("ord", F.lit(1000) + F.row_number().over(order))
 
@@ -154,12 +177,13 @@ def complete(kinds: DataFrame, asked: DataFrame, by_place: DataFrame, params: Se
     ids = few(read, "place_id")
     if ids == []:
         return read.select(*kinds.columns, "pn")
-    open_ = read.select("query_id", "place_id", "threshold", F.posexplode("scores").alias("i", "s")).where("s < threshold").select("query_id", "place_id", "i")
+    open_ = read.select("query_id", "place_id", "threshold", F.posexplode("scores").alias("i", "s")).where("s < threshold").select("query_id", "place_id", "i", "threshold")
     terms = only(by_place, "place_id", ids).select("place_id", F.col("word").alias("candidate")).join(open_.select("place_id").distinct(), "place_id")
     first = lambda c: F.substring(c, 1, 1)
     worded = open_.join(asked.select("query_id", "i", "word"), ["query_id", "i"])
     judged = terms.withColumn("f", first("candidate")).join(worded.withColumn("f", first("word")), ["place_id", "f"])
-    distinct = score_pairs(judged.select("word", "candidate").distinct(), params=params)
+    # Scores below the lowest threshold change no hit.
+    distinct = score_pairs(judged.groupBy("word", "candidate").agg(F.min("threshold").alias("threshold")), params=params, least=F.col("threshold")).drop("threshold")
     best = judged.join(distinct, ["word", "candidate"]).groupBy("query_id", "place_id", "i").agg(F.max("score").alias("s"))
     filled = best.groupBy("query_id", "place_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("new"))
     joined = read.join(filled, ["query_id", "place_id"], "left")
