@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.present import hit_line
@@ -17,8 +17,12 @@ from waymark.sources import osm
 def build(spark: SparkSession, extract: str, out: str, box: tuple[float, float, float, float] | None = None, refresh: bool = False, params: ContextParams = ContextParams()) -> tuple[int, int]:
     """Enrich every named place of an extract and write places, names, nodes and the index; returns the counts of places and names."""
 
+    counts: dict[str, Observation] = {}
+
     def kept(df, name: str):
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        # Rows are counted as they are written: nothing is read again for a number.
+        counts[name] = Observation(name)
+        df.observe(counts[name], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
     objects = kept(ingest.named(osm.objects(*osm.read_once(spark, extract, f"{out}/extract"))), "objects")
@@ -40,7 +44,7 @@ def build(spark: SparkSession, extract: str, out: str, box: tuple[float, float,
     places = kept(saved.drop("addr_street").join(around.select("place_id", F.array_join("context", ", ").alias("context")), "place_id"), "places")
     osm.write_xml_nodes(kept(export.export_nodes(places, names), "nodes"), f"{out}/nodes.osm")
     index.write_index(index.terms(places, names), f"{out}/index")
-    return places.count(), names.count()
+    return counts["places"].get["n"], counts["names"].get["n"]
 
 
 def probe(spark: SparkSession, out: str) -> int:

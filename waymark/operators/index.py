@@ -6,10 +6,13 @@ Sizes of the compressed postings, which the search's caps refer to, are added up
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import normalise, romanisations, word_set
+from waymark.lineage import children, exists, read_text, remove, replace_text
 
 RANGE_BITS, KEY_CHARS = 12, 3
 
@@ -106,20 +109,46 @@ def gram_counts(grams: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("words"))
 
 
+CURRENT = "CURRENT"
+
+
 def write_index(termed: DataFrame, folder: str) -> None:
-    """The tables of an index as Parquet, each ranged and sorted by what it is asked for, so that a search reads few row groups."""
+    """The tables of an index as Parquet, each ranged and sorted by what it is asked for, so that a search reads few row groups.
+
+    They go to a new version folder, and one small file that names it is put in place last: until then, and if the work
+    fails, readers see the index of before.  The version before stays for searches under way; older ones are removed.
+    """
     spark = termed.sparkSession
+    before = current_version(spark, folder)
+    version = f"version-{uuid4().hex}"
 
     def save(table: DataFrame, name: str, *order: str) -> DataFrame:
-        table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        table.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/{version}/{name}")
+        return spark.read.parquet(f"{folder}/{version}/{name}")
+
+    try:
+        termed.write.parquet(f"{folder}/{version}/places")
+        saved = save(pairs(spark.read.parquet(f"{folder}/{version}/places")), "pairs", "word", "place_id")
+        save(saved.select("place_id", "word"), "by_place", "place_id", "word")
+        vocab = save(vocabulary(saved), "vocab", "word")
+        save(prefixes(vocab), "prefixes", "key", "candidate")
+        save(gram_counts(save(grams(vocab), "grams", "gram", "candidate")), "gram_counts", "gram")
+    except BaseException:
+        remove(spark, f"{folder}/{version}")
+        raise
+    replace_text(spark, f"{folder}/{CURRENT}", f"{version}\n{before or ''}\n")
+    if before and (older := _versions(spark, folder) - {version, before}):
+        for name in older:
+            remove(spark, f"{folder}/{name}")
+
+
+def current_version(spark, folder: str) -> str | None:
+    """The version that readers see, or None where there is none."""
+    return read_text(spark, f"{folder}/{CURRENT}").split("\n")[0] if exists(spark, f"{folder}/{CURRENT}") else None
+
 
-    termed.write.mode("overwrite").parquet(f"{folder}/places")
-    saved = save(pairs(spark.read.parquet(f"{folder}/places")), "pairs", "word", "place_id")
-    save(saved.select("place_id", "word"), "by_place", "place_id", "word")
-    vocab = save(vocabulary(saved), "vocab", "word")
-    save(prefixes(vocab), "prefixes", "key", "candidate")
-    save(gram_counts(save(grams(vocab), "grams", "gram", "candidate")), "gram_counts", "gram")
+def _versions(spark, folder: str) -> set[str]:
+    return {name for name in children(spark, folder) if name.startswith("version-")}
 
 
 class Index:
@@ -139,7 +168,10 @@ class Index:
 
     @classmethod
     def open(cls, spark, folder: str) -> "Index":
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in cls.TABLES))
+        version = current_version(spark, folder)
+        if version is None:
+            raise FileNotFoundError(f"no index in {folder}")
+        return cls(*(spark.read.parquet(f"{folder}/{version}/{name}") for name in cls.TABLES))
 
     @classmethod
     def open_stored(cls, spark, folder: str | None) -> "Index | None":
@@ -154,5 +186,5 @@ class Index:
             for name in cls.TABLES:  # a damaged file shows when it is read
                 getattr(found, name).limit(1).collect()
             return found
-        except (PySparkException, Py4JJavaError):
+        except (PySparkException, Py4JJavaError, FileNotFoundError):
             return None

@@ -112,6 +112,76 @@ def searches(events: DataFrame, key: str = "user_id", late: str = "10 seconds",
     return grouped.applyInPandasWithState(step, SEARCH, STATE + ", text string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+ANSWER = "user_id bigint, request_id bigint, answer string"
+
+
+def latest_answers(events: DataFrame, key: str = "user_id", late: str = "10 seconds", keep_ms: int = 3_600_000) -> DataFrame:
+    """The answers that are still wanted when they come.
+
+    ``events`` (key, ts, kind, request_id, answer): kind is asked or answered.  A request of a user makes all
+    earlier ones (of smaller ids) stale: an answer passes only if its id is the newest that the user has asked, in whatever
+    batch either comes, and once.  A user without events for ``keep_ms`` is forgotten, with an answer under way.
+    """
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, done, seen = state.get if state.exists else (-1, -1, 0.0)
+        out = []
+        rows = pd.concat(list(batches))
+        # At one moment, what is asked comes before what is answered.
+        rows = rows.assign(_late=rows["kind"] == "answered").sort_values(["ts", "_late", "request_id"], kind="stable")
+        for row in rows.itertuples():
+            seen = max(seen, row.ts.timestamp())
+            if row.kind == "asked":
+                newest = max(newest, int(row.request_id))
+            elif row.request_id == newest and newest > done:
+                done = newest
+                out.append((name[0], newest, row.answer))
+        state.update((newest, done, seen))
+        state.setTimeoutTimestamp(int(max(seen * 1000, state.getCurrentWatermarkMs())) + keep_ms)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in ANSWER.split(", ")])
+
+    grouped = events.withWatermark("ts", late).groupBy(key)
+    return grouped.applyInPandasWithState(step, ANSWER, "newest bigint, done bigint, seen double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+FIXED = "user_id bigint, ts timestamp, text string, fix_ts timestamp, fix_lat double, fix_lon double"
+
+
+def with_current_fix(events: DataFrame, key: str = "user_id", late: str = "10 seconds", keep_ms: int = 3_600_000) -> DataFrame:
+    """Each query with the fix that is current when it comes: one fix a user is all the state.
+
+    ``events`` (key, ts, kind, text, lat, lon): kind is query or fix.  In a batch events count by their time; a fix
+    older than the current one changes nothing, and a query never gets a fix of a later time.  :func:`with_origin` waits for late
+    fixes instead, and keeps all of them until the watermark has passed.
+    """
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, lat, lon = state.get if state.exists else (float("-inf"), float("nan"), float("nan"))
+        out, seen = [], at
+        rows = pd.concat(list(batches))
+        rows = rows.assign(_asks=rows["kind"] == "query").sort_values(["ts", "_asks"], kind="stable")
+        for row in rows.itertuples():
+            now = row.ts.timestamp()
+            seen = max(seen, now)
+            if row.kind == "query":
+                known = at <= now and at > float("-inf")
+                out.append((name[0], row.ts, row.text, pd.Timestamp(at, unit="s") if known else pd.NaT, lat if known else None, lon if known else None))
+            elif now >= at:
+                at, lat, lon = now, float(row.lat), float(row.lon)
+        state.update((at, lat, lon))
+        state.setTimeoutTimestamp(int(max(seen * 1000, state.getCurrentWatermarkMs())) + keep_ms)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in FIXED.split(", ")])
+
+    grouped = events.withWatermark("ts", late).groupBy(key)
+    return grouped.applyInPandasWithState(step, FIXED, "at double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def answer_each_batch(search: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: the newest query of each user in the micro-batch is searched, older ones are stale."""
 
