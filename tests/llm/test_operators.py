@@ -660,3 +660,24 @@ def test_words_in_a_class_do_not_drop_the_article():
         f'<body><article>{article}</article><div class="comments">{"<p>a long remark of a reader</p>" * 40}</div></body>',
     ):
         assert htmltext.Page(page).text() == want
+
+
+def test_prose_beside_a_named_container_stays():
+    intro, rest = "Words of the introduction go on. " * 9, "Words of the body go on and on. " * 21
+    page = f'<body><div class="page"><div class="intro"><p>{intro}</p></div><div class="body"><p>{rest}</p></div></div></body>'
+    assert htmltext.Page(page).text() == f"{intro.strip()}\n{rest.strip()}"
+    page = f'<body><div class="lead"><p>{rest}</p></div><article class="post-content"><p>{"Words of the article. " * 20}</p></article></body>'
+    assert htmltext.Page(page).text().startswith(rest.strip()) and "Words of the article." in htmltext.Page(page).text()
+
+
+@pytest.mark.parametrize("name", ['class="hidden-gems"', 'class="ad-hoc-analysis"', 'class="menu-planning-guide"', 'class="recipe cookies"', 'id="modal-verbs"'])
+def test_sections_of_the_article_stay_whatever_a_word_says(name):
+    section, article = "What this section tells is part of it. " * 6, "words of the article itself. " * 30
+    page = f"<body><article><p>{article}</p><div {name}><p>{section}</p></div></article></body>"
+    assert htmltext.Page(page).text() == f"{article.strip()}\n{section.strip()}"
+
+
+@pytest.mark.parametrize("name", ['class="reader-comments"', 'class="comments"', 'class="newsletter-box"', 'class="ad"', 'class="cookie-consent"', 'id="subscribe"'])
+def test_boilerplate_inside_the_article_goes(name):
+    remark, article = "What some reader has to say of all this. " * 6, "words of the article itself. " * 30
+    assert htmltext.Page(f"<body><article><p>{article}</p><div {name}><p>{remark}</p></div></article></body>").text() == article.strip()

@@ -6,7 +6,7 @@ are scored together: the harmonic mean of the share of the page's prose that the
 prose in what they hold, with a bonus for names like "article".  Each page deals one vote over its paths by
 their scores.  Spark sums the votes per host and path; the paths with at least ``SHARE`` of a vote for each
 page of the host win.  Each page is then read again and takes the path with the best product of its own score
-and its host's vote (plus ``PRIOR``, so that a page unlike its host's others goes by its own score).
+and the square of its host's vote (plus ``PRIOR``, so that a page unlike its host's others goes by its own score).
 
 Elements that hold boilerplate by their kind (menus, page headers, footers, sidebars, forms, hidden parts) or
 by words in class, id or role (adverts, notices, comments) are left out, unless they alone hold an article or
@@ -35,7 +35,7 @@ from xxhash import xxh64_intdigest
 from waymark.llm._common import settle, table
 from waymark.llm.urls import host_of
 
-SHARE, PRIOR, SHARP, BROADCAST_ROWS = 0.1, 0.05, 8, 100_000
+SHARE, PRIOR, SHARP, LEAST_PROSE, BROADCAST_ROWS = 0.1, 0.05, 8, 100, 100_000
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -116,18 +116,30 @@ def tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
     yield "".join(parts) + html[begin:].partition("<!--")[0], False, "", ""
 
 
-def boilerplate(names: str, titled: bool = False) -> bool:
-    """Whether a class, id or role names what is not the article; ``titled``: inside one, where headers belong to it."""
+NONE, CONTESTED, SURE = range(3)
+
+
+def boilerplate(names: str, titled: bool = False) -> int:
+    """Whether a class, id or role names what is not the article: ``NONE``, ``CONTESTED`` or ``SURE``.
+
+    ``titled``: inside an article, where headers belong to it, and where a name is only sure if its last word that says
+    anything speaks of boilerplate ("reader-comments", not "hidden-gems") and no other name of the element says something else.
+    """
+    said, other = NONE, False
     for name in names.split():
         words = [w for w in PARTS.split(CAMEL.sub("-", name).lower()) if w]
         if not words or words[0] in STATE:
             continue
-        if any(AWAY.fullmatch(w) for w in words):
-            return True
+        telling = [w for w in words if not IDLE.fullmatch(w)]
+        away = [w for w in words if AWAY.fullmatch(w)]
         perhaps = [w for w in words if PERHAPS.fullmatch(w) and not (w == "header" and (titled or TITLED.intersection(words)))]
-        if perhaps and all(PERHAPS.fullmatch(w) or IDLE.fullmatch(w) for w in words):
-            return True
-    return False
+        if away:
+            said = max(said, SURE if not titled or AWAY.fullmatch(telling[-1]) or PERHAPS.fullmatch(telling[-1]) else CONTESTED)
+        elif perhaps and all(PERHAPS.fullmatch(w) or IDLE.fullmatch(w) for w in words):
+            said = SURE
+        elif telling:
+            other = True
+    return CONTESTED if titled and said == SURE and other else said
 
 
 class Page:
@@ -138,23 +150,27 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []
         #: Elements that may be boilerplate: the region around each, 0 for none; and the regions that article or main opens in.
         self._around, self._leads = [0], []
+        self._contested: set[int] = set()  # regions whose names also say something else
         self._regions: list[int] = []  # of the blocks
         self._read(html)
         self._sift()
 
     def _sift(self) -> None:
         """Drop the blocks of boilerplate regions, but for those that hold the article or most of the text."""
-        size = [0] * len(self._around)
-        for (text, _, _), region in zip(self.blocks, self._regions, strict=True):
+        size, linked = [0] * len(self._around), [0] * len(self._around)
+        for (text, links, _), region in zip(self.blocks, self._regions, strict=True):
             size[region] += len(text)
+            linked[region] += links
         whole, leads, holds = sum(size), set(self._leads), [False] * len(size)
         for own in range(len(size) - 1, 0, -1):  # inner ones first
             size[self._around[own]] += size[own]
+            linked[self._around[own]] += linked[own]
             holds[own] = (holds[own] or own in leads) and size[own] > 0
             holds[self._around[own]] |= holds[own]
         kept, found = [True], 0 in leads
         for own in range(1, len(size)):  # outer ones first
-            kept.append(kept[self._around[own]] and not found and (holds[own] or 2 * size[own] > whole))
+            prose = own in self._contested and size[own] >= LEAST_PROSE and 2 * linked[own] < size[own]
+            kept.append(kept[self._around[own]] and (prose or not found and (holds[own] or 2 * size[own] > whole)))
             found = found or kept[own] and own in leads
         self.blocks = [b for b, region in zip(self.blocks, self._regions, strict=True) if kept[region]]
 
@@ -211,11 +227,11 @@ class Page:
                 close(min(open_[t][-1] for t in SELF_CLOSING[tag] if open_.get(t) and open_[t][-1] > wall))
             titled = bool(open_.get("article") or open_.get("main"))
             inside = away or tag in DROPPED or (tag == "header" and not titled)
-            names, named = "", tag == "form"
+            names, named = "", SURE if tag == "form" else NONE
             if attributes and attributes != "/":
                 found = [(a.lower(), b or c or d) for a, b, c, d in MARKS.findall(attributes)]
                 if not inside and tag not in ("html", "body", "article", "main"):
-                    named = named or boilerplate(" ".join(v for a, v in found if a in ("class", "id", "role")), titled)
+                    named = max(named, boilerplate(" ".join(v for a, v in found if a in ("class", "id", "role")), titled))
                 inside = inside or any(a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and UNSEEN.search(v) for a, v in found)
                 names = " ".join(v for a, v in found if a == "class").lower()
             if (inside or named) and not away and not block:
@@ -223,6 +239,8 @@ class Page:
             if named and not inside:
                 self._around.append(region)
                 region = len(self._around) - 1
+                if named == CONTESTED:
+                    self._contested.add(region)
             if tag in ("article", "main") and not inside:
                 self._leads.append(region)
             if tag in CONTAINERS:
@@ -255,7 +273,8 @@ class Page:
                 own = by_path.setdefault(self.paths[c], [0.0, 0.0, self.bonus[c]])
                 own[0] += prose[c]
                 own[1] += size[c]
-        return {path: 2 * bonus * p / (prose[0] + n) for path, (p, n, bonus) in by_path.items()}
+        # A name counts for as much as the path holds of the page, so that it never outweighs prose beside it.
+        return {path: 2 * (1 + (bonus - 1) * (p / prose[0]) ** 2) * p / (prose[0] + n) for path, (p, n, bonus) in by_path.items()}
 
     def votes(self) -> dict[int, float]:
         """One vote, dealt over the paths of the page by their scores."""
@@ -269,7 +288,7 @@ class Page:
         if not scores:
             return "\n".join(text for text, _, _ in self.blocks)
         known = winners or {}
-        best = max(scores, key=lambda path: scores[path] * (PRIOR + known.get(path, 0.0)))  # the deepest of equal ones
+        best = max(scores, key=lambda path: scores[path] * (PRIOR + known.get(path, 0.0) ** 2))  # the deepest of equal ones
         inside = [False] * len(self.paths)
         for c in range(len(self.paths)):
             inside[c] = self.paths[c] == best or (self.parents[c] >= 0 and inside[self.parents[c]])
