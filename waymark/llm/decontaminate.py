@@ -113,15 +113,21 @@ def short_masks(size: int) -> list[list[int]]:
 def _short(body: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     """Items of so many words that stand in a document, but for one word from ``LOOSE`` words on."""
 
-    def seeds(hashes, at, size: int):
-        return F.array(*(F.xxhash64(F.lit(size), F.lit(k), *(F.get(hashes, at + F.lit(j)) for j in places)) for k, places in enumerate(short_masks(size))))
+    def seeds(hashes, size: int):
+        return F.array(*(F.xxhash64(F.lit(size), F.lit(k), *(F.get(hashes, F.lit(j)) for j in places)) for k, places in enumerate(short_masks(size))))
 
-    placed = [_placed(body, "doc", n).select("doc_id", "doc", "at", F.lit(n).alias("n"), F.explode(seeds(F.col("doc"), F.col("at"), n)).alias("key")) for n in sizes]
-    probes = reduce(DataFrame.unionByName, placed)
-    own = [items.where(F.size("item") == n).select("item_id", "item", F.explode(seeds(F.col("item"), F.lit(0), n)).alias("key")) for n in sizes]
+    def probes(n: int) -> DataFrame:
+        # Of each place only its own words go on, not the whole text.
+        spots = F.transform(F.sequence(F.lit(0), F.size("doc") - n), lambda at: F.struct(at.alias("at"), F.slice("doc", at + 1, F.lit(n)).alias("own")))
+        whole = (F.size("doc") == n).alias("whole")
+        placed = body.select("doc_id", whole, F.explode_outer(F.when(F.size("doc") >= n, spots)).alias("spot")).where("spot is not null")
+        return placed.select("doc_id", "whole", "spot.at", "spot.own", F.lit(n).alias("n"), F.explode(seeds(F.col("spot.own"), n)).alias("key"))
+
+    own = [items.where(F.size("item") == n).select("item_id", "item", F.explode(seeds(F.col("item"), n)).alias("key")) for n in sizes]
     # A bounded block of the benchmark, with at most SMALL - 1 seeds an item.
-    hits = probes.join(F.broadcast(reduce(DataFrame.unionByName, own)), "key").where(F.size("item") == F.col("n"))
-    met = hits.select("doc_id", "item_id", "at", "n", "item", F.slice("doc", F.col("at") + 1, F.col("n")).alias("own"), (F.size("doc") == F.col("n")).alias("whole")).distinct()
+    known = F.broadcast(reduce(DataFrame.unionByName, own))
+    hits = reduce(DataFrame.unionByName, map(probes, sizes)).join(known, "key").where(F.size("item") == F.col("n"))
+    met = hits.select("doc_id", "item_id", "at", "n", "item", "own", "whole").distinct()
     matched = F.size(F.filter(F.zip_with("own", "item", lambda x, y: x == y), lambda same: same))
     scored = met.withColumn("matched", matched).where(F.col("matched") >= F.col("n") - (F.col("n") >= LOOSE).cast("int"))
     brief = (F.col("n") < RUN) & ~F.col("whole")
