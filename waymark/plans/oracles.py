@@ -199,6 +199,18 @@ SELECT place_id AS node_id, CASE WHEN n % 3 <> 0 THEN category WHEN starts_with(
     "count_audit": "SELECT count(*)::BIGINT AS written, count(DISTINCT doc_id)::BIGINT AS kept, (count(*) - count(DISTINCT doc_id))::BIGINT AS lost FROM documents",
     "asof_origin": """SELECT q.event_id, q.user_id, f.event_id AS fix_id, f.value FROM (SELECT * FROM events WHERE event_type IN ('search', 'purchase', 'view')) q
 ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) f ON q.user_id = f.user_id AND q.ts >= f.ts""",
+    "origin_reruns": """SELECT c.event_id AS change_id, c.user_id, q.query_id, q.text FROM (SELECT * FROM events WHERE event_type = 'click') c
+ASOF JOIN (SELECT user_id, ts, max(event_id) AS query_id, arg_max(event_type, event_id) AS text FROM events WHERE event_type <> 'click' GROUP BY ALL) q ON c.user_id = q.user_id AND c.ts >= q.ts""",
+    "origin_states": """SELECT user_id, epoch_us(ts) AS micros, event_type AS kind, round(value, 6) AS lat, event_type AS label FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "located_points": f"""SELECT c_custkey AS osm_id, ['n', 'w', 'a'][(c_custkey % 3)::INT + 1] AS osm_type,
+round({LON.format('c_custkey')} + [0.0, 0.005, 0.005][(c_custkey % 3)::INT + 1], 6)::DOUBLE AS lon, round({LAT.format('c_custkey')} + [0.0, 0.005, 0.005][(c_custkey % 3)::INT + 1], 6)::DOUBLE AS lat FROM customer""",
+    "first_tags": f"""SELECT id AS osm_id, CASE WHEN building THEN 'building' WHEN shop IS NOT NULL THEN 'shop' WHEN cafe THEN 'amenity' WHEN level IS NOT NULL THEN 'boundary' WHEN place IS NOT NULL THEN 'place' WHEN highway THEN 'highway' END AS key,
+CASE WHEN building THEN 'yes' WHEN shop IS NOT NULL THEN shop WHEN cafe THEN 'cafe' WHEN level IS NOT NULL THEN 'administrative' WHEN place IS NOT NULL THEN place WHEN highway THEN 'residential' END AS value FROM ({OBJECTS})""",
+    "point_in_slanted_area": f"""WITH g AS (SELECT *, 22.5 + (n_nationkey % 5) * 0.76 AS x, 48.6 + (n_nationkey // 5) * 0.42 AS y FROM nation),
+u AS (SELECT place_id, n_name, lon - x AS u, lat - y AS v FROM ({POINTS}), g WHERE lon BETWEEN x AND x + 0.76 AND lat BETWEEN y AND y + 0.42)
+SELECT place_id, '8' AS level, n_name AS name FROM u WHERE v >= 0 AND v <= 0.4 / 0.38 * u AND v <= 0.4 / 0.38 * (0.76 - u)
+AND NOT (v > 0.1 AND v < 0.1 + 0.1 / 0.08 * (u - 0.3) AND v < 0.1 + 0.1 / 0.08 * (0.46 - u))""",
     "debounce_queries": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n >= ts + INTERVAL 6 HOURS",
     "latest_answers": "SELECT user_id, max(event_id) AS request_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "fix_throttle": "SELECT user_id, epoch(w)::BIGINT AS window_start, event_id AS fix_id, value FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS w FROM events) QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY ts DESC, event_id DESC) = 1",

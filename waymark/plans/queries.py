@@ -308,6 +308,39 @@ def asof_origin(spark, d):
     return found.select("event_id", "user_id", F.col("origin.fix_id").alias("fix_id"), F.col("origin.value").alias("value"))
 
 
+def origin_reruns(spark, d):
+    """Each change of an origin with the query that is searched again."""
+    rows = src.events(spark, d)
+    changes = rows.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("change_id"))
+    asked = rows.where("event_type <> 'click'").select("user_id", "ts", F.col("event_id").alias("query_id"), F.col("event_type").alias("text"))
+    return origin.reruns(changes, asked).select("change_id", "user_id", F.col("query.query_id").alias("query_id"), F.col("query.text").alias("text"))
+
+
+def origin_states(spark, d):
+    """The origin of each user after all events."""
+    rows = src.events(spark, d)
+    none = F.lit(None).cast("double")
+    states = origin.origin_state(rows.select("user_id", "ts", "event_id", F.col("event_type").alias("kind"), F.col("value").alias("lat"), none.alias("lon"), F.col("event_type").alias("label")))
+    return states.select("user_id", F.unix_micros("ts").alias("micros"), "kind", F.round("lat", 6).alias("lat"), "label")
+
+
+def located_points(spark, d):
+    """The representative point of nodes, lines and areas."""
+    at = ingest.located(src.objects(spark, d))
+    return at.select("osm_id", "osm_type", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+def first_tags(spark, d):
+    """The first tag of each object that is not its name."""
+    tag = export.first_tag(F.col("tags"))
+    return src.objects(spark, d).select("osm_id", tag["k"].alias("key"), tag["v"].alias("value"))
+
+
+def point_in_slanted_area(spark, d):
+    """Points in triangles with a triangular hole."""
+    return spatial.areas_of(src.customer_places(spark, d), src.nation_triangles(spark, d)).select("place_id", "level", "name")
+
+
 def debounce_queries(spark, d):
     return origin.debounced(src.events(spark, d), "6 hours").select("event_id", "user_id")
 
@@ -340,7 +373,7 @@ QUERIES = {
         similarity_ratio, word_similarity, tally_scores, classify_hits, complete_partial, rank_hits, search_topk,
         primary_related_split, primary_and_address, matched_context, distance_labels, geo_links, short_address, romanise_official,
         romanise_typed, cyrillic_test, knn_settlements, fallback_major, nearest_subdivision, nearest_street, point_in_area,
-        context_assembly, export_nodes, distinct_categories, rescue_tags, count_audit, asof_origin, debounce_queries,
+        context_assembly, export_nodes, distinct_categories, rescue_tags, count_audit, asof_origin, origin_reruns, origin_states, located_points, first_tags, point_in_slanted_area, debounce_queries,
         latest_answers, fix_throttle, ttl_filter, tags_json,
     )
 }
