@@ -98,12 +98,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each is written as Parquet in the shared folder and read again, and the one before it removed."""
+    """All stages on ``documents``; each is written as Parquet in the shared folder and read again, and the one before it removed.
+
+    If a stage fails, nothing stays behind.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            remove(spark, f"{folder}/{k - 1}")
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs
