@@ -42,18 +42,27 @@ TEXTS = [
 ]
 
 
-def test_texts_of_all_kinds(spark, ranks, theirs, monkeypatch):
+def test_texts_of_all_kinds(spark, ranks, theirs):
     rnd = random.Random(4)
     texts = TEXTS + ["".join(rnd.choice("abcdeéßЖ漢 \n'1.") for _ in range(rnd.randint(1, 400))) for _ in range(60)] + ["same words again"] * 5
     docs = spark.createDataFrame([(k if k % 7 else None, t, "i") for k, t in enumerate(texts)], "doc_id bigint, text string, ids string").withColumns({"word": F.lit(1), "block": F.lit("b"), "row": F.lit(2)})
     for remembered in (1 << 20, 5):
         got = bytepairs.decode(bytepairs.encode(docs, ranks, public_tokenizers.PATTERN, remembered=remembered), ranks).withColumn("text", F.col("decoded").cast("string"))
         assert sorted(got.columns) == sorted([*docs.columns, "decoded"])
-        monkeypatch.setattr(bytepairs, "AT_ONCE", 1000)
         found = sorted((r["text"] or "", list(r["ids"]), bytes(r["decoded"])) for r in got.collect())
         assert found == sorted((t or "", theirs.encode_ordinary(t or ""), (t or "").encode()) for t in texts)
 
 
+def test_slices_hold_whole_rows():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([[1] * n for n in (3, 0, 50, 2, 2, 2, 9, 0)])], names=["x"])
+    for most in (1, 4, 10, 1000):
+        parts = list(bytepairs._slices(batch, 0, most))
+        assert [row for p in parts for row in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+        assert all(len(p) == 1 or sum(map(len, p.column(0).to_pylist())) <= most for p in parts)
+
+
 def test_folds_of_short_and_long_words_equal_single_merges(spark, monkeypatch):
     """Also where a merged part forms a lower rank with its neighbour, so that merging all pairs at once would differ."""
     base = {bytes([b]): b for b in range(256)}
