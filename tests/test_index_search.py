@@ -149,9 +149,9 @@ def test_index_round_trip_and_missing_index(spark, tmp_path):
     opened = index.Index.open_stored(spark, str(tmp_path / "i"))
     assert {tuple(r) for r in opened.pairs.collect()} == {tuple(r) for r in built.pairs.collect()}
     assert index.Index.open_stored(spark, str(tmp_path / "none")) is None and index.Index.open_stored(spark, None) is None
-    for part in (tmp_path / "i" / "vocab").glob("*.parquet"):
+    for part in (tmp_path / "i").glob("version-*/vocab/*.parquet"):
         part.write_bytes(b"damaged")
-    for sums in (tmp_path / "i" / "vocab").glob(".*.crc"):
+    for sums in (tmp_path / "i").glob("version-*/vocab/.*.crc"):
         sums.unlink()
     assert index.Index.open_stored(spark, str(tmp_path / "i")) is None
 
