@@ -87,5 +87,5 @@ def test_empty_documents(spark, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
