@@ -28,6 +28,7 @@ def uk(x: str) -> str:
 
 def spelled(x: str, naive: bool) -> str:
     """A romanised Cyrillic expression."""
+    # The romanisation tables.
     x = f"lower({x})"
     several = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch"}
     if naive:
