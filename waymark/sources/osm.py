@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.functions.rings import polygons
 from waymark.schema import POINT
 
 TAGS = "array<struct<_k: string, _v: string>>"
@@ -35,12 +37,15 @@ def read_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     return nodes, ways, relations
 
 
-def read_once(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, ways and relations of an extract, decoded once and kept as Parquet; later passes read columns of that."""
+def read_once(spark: SparkSession, path: str, folder: str, key: str | None = "name") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations of an extract, decoded once and kept as Parquet; later passes read columns of that.
+
+    Of a .pbf extract, only objects with a tag ``key`` keep their tags (all, if None): the others matter as points and lines alone.
+    """
     if path.endswith(".pbf"):
         from waymark.sources.pbf import read_rows
 
-        read_rows(spark, path).write.mode("overwrite").partitionBy("kind").parquet(folder)
+        read_rows(spark, path, key=key).write.mode("overwrite").partitionBy("kind").parquet(folder)
         kept = spark.read.schema("id bigint, lon double, lat double, tags array<struct<k: string, v: string>>, refs array<bigint>, members array<struct<type: string, ref: bigint, role: string>>, kind string").parquet(folder)
         of = lambda kind, *columns: kept.where(F.col("kind") == kind).select("id", *columns, "tags")
         return of("node", "lon", "lat"), of("way", "refs"), of("relation", "members")
@@ -61,52 +66,22 @@ def lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ordered.select("id", F.transform("n", lambda n: n["ref"]).alias("refs"), F.transform("n", lambda n: n["p"]).alias("line"))
 
 
-def stitch(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from open stretches that meet end to end; what does not close is left out."""
-    rings, open_ = [], [list(p) for p in parts if len(p) > 1]
-    while open_:
-        ring = open_.pop(0)
-        while ring[0] != ring[-1]:
-            for k, other in enumerate(open_):
-                if other[0] == ring[-1] or other[-1] == ring[-1]:
-                    ring += (other if other[0] == ring[-1] else other[::-1])[1:]
-                    del open_[k]
-                    break
-            else:
-                break
-        if ring[0] == ring[-1] and len(ring) > 3:
-            rings.append(ring)
-    return rings
-
-
-def inside(point: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
-    x, y = point
-    odd = False
-    for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
-        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
-            odd = not odd
-    return odd
-
-
 def areas(relations: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(id, polys) of multipolygon and boundary relations: each outer ring with the inner rings in it."""
+    """(id, polys) of multipolygon and boundary relations: each outer ring with the holes in it (see ``functions.rings``).
+
+    Geometry decides what is a hole, not the members' roles.  A relation is one row in the end, so its lines meet in one task.
+    """
     wanted = relations.where(has_tag("type", "multipolygon") | has_tag("type", "boundary"))
-    members = wanted.select("id", F.posexplode("members").alias("pos", "m")).where("m.type = 'way'")
-    parts = members.join(drawn.select(F.col("id").alias("way"), "line"), F.col("m.ref") == F.col("way")).select("id", "pos", (F.col("m.role") == "inner").alias("hole"), "line")
+    members = wanted.select("id", F.explode("members").alias("m")).where("m.type = 'way'").select("id", F.col("m.ref").alias("way")).distinct()
+    # Plain arrays of numbers reach Python as such.
+    numbers = lambda name: F.transform("line", lambda p: p[name]).alias(name)
+    parts = members.join(drawn.select(F.col("id").alias("way"), numbers("lon"), numbers("lat")), "way").select("id", "lon", "lat")
     shape = T.ArrayType(T.ArrayType(T.ArrayType(T._parse_datatype_string(POINT))))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("polys", shape)])
 
     def assemble(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        points = [[(p["lon"], p["lat"]) for p in line] for line in group["line"]]
-        outer = stitch([p for p, hole in zip(points, group["hole"], strict=True) if not hole])
-        polys = [[ring] for ring in outer]
-        for hole in stitch([p for p, h in zip(points, group["hole"], strict=True) if h]):
-            for poly in polys:
-                if inside(hole[0], poly[0]):
-                    poly.append(hole)
-                    break
-        as_rows = [[[{"lon": x, "lat": y} for x, y in ring] for ring in poly] for poly in polys]
+        lines = [np.column_stack([x, y]) for x, y in zip(group["lon"], group["lat"], strict=True)]
+        as_rows = [[[{"lon": p.real, "lat": p.imag} for p in ring.tolist()] for ring in poly] for poly in polygons(lines)]
         return pd.DataFrame({"id": [group["id"].iloc[0]], "polys": [as_rows]})
 
     return parts.groupBy("id").applyInPandas(assemble, schema)
