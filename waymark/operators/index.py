@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from waymark.functions.text import normalise, romanisations, word_set
 from waymark.lineage import children, exists, read_text, remove, replace_text
 
-RANGE_BITS, KEY_CHARS = 12, 3
+RANGE_BITS, BOUND_BITS, KEY_CHARS = 12, 7, 3
 
 
 def terms(places: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -93,6 +93,16 @@ def prefixes(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode(keys).alias("key"), F.col("word").alias("candidate"), "n_chars", "places", "blob_bytes")
 
 
+def bound_range(place_id: Column) -> Column:
+    """The range of places that a row of :func:`bounds` speaks of."""
+    return F.shiftright(place_id, BOUND_BITS)
+
+
+def bounds(pairs: DataFrame) -> DataFrame:
+    """(word, range, refs, named): how many places of a range hold a word, and whether any does in its name: what a search can gain there at most."""
+    return pairs.groupBy("word", bound_range(F.col("place_id")).alias("range")).agg(F.count("*").alias("refs"), F.bool_or("named").alias("named"))
+
+
 def trigrams(word: Column) -> Column:
     """The distinct runs of three characters of a word that has so many."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda k: F.substring(word, k, F.lit(3))))
@@ -130,6 +140,7 @@ def write_index(termed: DataFrame, folder: str) -> None:
         termed.write.parquet(f"{folder}/{version}/places")
         saved = save(pairs(spark.read.parquet(f"{folder}/{version}/places")), "pairs", "word", "place_id")
         save(saved.select("place_id", "word"), "by_place", "place_id", "word")
+        save(bounds(saved), "bounds", "word", "range")
         vocab = save(vocabulary(saved), "vocab", "word")
         save(prefixes(vocab), "prefixes", "key", "candidate")
         save(gram_counts(save(grams(vocab), "grams", "gram", "candidate")), "gram_counts", "gram")
@@ -154,17 +165,17 @@ def _versions(spark, folder: str) -> set[str]:
 class Index:
     """An index on disk, or in the making: places (place_id, name, context, …), pairs, and its other tables."""
 
-    TABLES = ("places", "pairs", "vocab", "prefixes", "grams", "by_place", "gram_counts")
+    TABLES = ("places", "pairs", "vocab", "prefixes", "grams", "by_place", "gram_counts", "bounds")
 
-    def __init__(self, places: DataFrame, pairs: DataFrame, vocab: DataFrame, prefixes: DataFrame, grams: DataFrame, by_place: DataFrame, gram_counts: DataFrame):
-        self.places, self.pairs, self.vocab, self.prefixes, self.grams, self.by_place, self.gram_counts = places, pairs, vocab, prefixes, grams, by_place, gram_counts
+    def __init__(self, places: DataFrame, pairs: DataFrame, vocab: DataFrame, prefixes: DataFrame, grams: DataFrame, by_place: DataFrame, gram_counts: DataFrame, bounds: DataFrame):
+        self.places, self.pairs, self.vocab, self.prefixes, self.grams, self.by_place, self.gram_counts, self.bounds = places, pairs, vocab, prefixes, grams, by_place, gram_counts, bounds
 
     @classmethod
     def of(cls, termed: DataFrame) -> "Index":
         exploded = pairs(termed)
         vocab = vocabulary(exploded)
         held = grams(vocab)
-        return cls(termed, exploded, vocab, prefixes(vocab), held, exploded.select("place_id", "word"), gram_counts(held))
+        return cls(termed, exploded, vocab, prefixes(vocab), held, exploded.select("place_id", "word"), gram_counts(held), bounds(exploded))
 
     @classmethod
     def open(cls, spark, folder: str) -> "Index":

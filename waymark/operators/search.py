@@ -2,7 +2,8 @@
 
 Words are resolved, not rows: each distinct query word meets the vocabulary once (by prefix, and by
 containment where that is thin), the resolved words' postings score the places, and only queries that
-stay short of hits have places read in full.  All caps hold per query and word, as windows.
+stay short of hits have places read in full.  On request (``early``) ranges of places are left out whose
+bounds say that no hit can lie there.  All caps hold per query and word, as windows.
 
 The index is stored by what is asked for.  A small batch (at most ``FEW`` distinct words) names its keys in
 filters that reach the files, so that a single query reads a few row groups; a large one joins by shuffles.
@@ -21,7 +22,7 @@ from waymark.functions.present import address_parts, display_name, is_area, prim
 from waymark.functions.similarity import score_pairs
 from waymark.functions.text import normalise, words
 from waymark.lineage import settle
-from waymark.operators.index import KEY_CHARS, Index, trigrams
+from waymark.operators.index import KEY_CHARS, Index, bound_range, trigrams
 from waymark.schema import LAST_CHAR, SearchParams
 
 FEW, AT_ONCE = 2000, 8
@@ -129,17 +130,45 @@ def resolve(asked: DataFrame, index: Index, params: SearchParams = SearchParams(
     return walked.where(F.col("before") <= params.max_refs).join(capped, "word").select("word", "candidate", "score", "exact", "ord", "names_only")
 
 
-def tally(asked: DataFrame, resolved: DataFrame, pairs: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """(query_id, i, place_id, score, exact, ord): each place's best score for each query word."""
+def gain(named: Column, params: SearchParams) -> Column:
+    """A candidate's score where it stands in a name, or in the context."""
+    return F.when(named, F.col("score")).otherwise(F.col("score") - params.context_penalty)
+
+
+def tally(asked: DataFrame, resolved: DataFrame, pairs: DataFrame, params: SearchParams = SearchParams(), spans: DataFrame | None = None) -> DataFrame:
+    """(query_id, i, place_id, score, exact, ord): each place's best score for each query word.
+
+    With ``spans`` (query_id, range) only places in those ranges of each query, and only postings in them are joined.
+    """
+    rows = only(pairs, "word", few(resolved, "candidate")).withColumnRenamed("word", "candidate")
+    by, at = ["candidate"], ["word"]
+    if spans is not None:
+        asked, rows = asked.join(spans.select("query_id", "range"), "query_id"), rows.withColumn("range", bound_range(F.col("place_id")))
+        resolved = resolved.join(asked.select("word", "range").distinct(), "word")
+        by, at = [*by, "range"], [*at, "range"]
     refs = (
-        only(pairs, "word", few(resolved, "candidate")).withColumnRenamed("word", "candidate").join(resolved, "candidate")
+        rows.join(resolved, by)
         .where(~F.col("names_only") | F.col("named"))
-        .select("word", "place_id", "ord", F.when(F.col("named"), F.col("score")).otherwise(F.col("score") - params.context_penalty).alias("score"), (F.col("exact") & F.col("named")).alias("exact"))
+        .select(*at, "place_id", "ord", gain(F.col("named"), params).alias("score"), (F.col("exact") & F.col("named")).alias("exact"))
     )
     # Of equal scores the first candidate counts; the earliest one that reached the place is kept too.
     best = F.min(F.struct((-F.col("score")).alias("s"), "ord", "exact")).alias("b")
-    by_word = refs.groupBy("word", "place_id").agg(best, F.min("ord").alias("first"))
-    return asked.select("query_id", "i", "word").join(by_word, "word").select("query_id", "i", "place_id", (-F.col("b.s")).alias("score"), "b.exact", F.col("b.ord").alias("ord"), "first")
+    by_word = refs.groupBy(*at, "place_id").agg(best, F.min("ord").alias("first"))
+    return asked.select("query_id", "i", *at).join(by_word, at).select("query_id", "i", "place_id", (-F.col("b.s")).alias("score"), "b.exact", F.col("b.ord").alias("ord"), "first")
+
+
+def reach(asked: DataFrame, resolved: DataFrame, queries: DataFrame, index: Index, params: SearchParams = SearchParams()) -> DataFrame:
+    """(query_id, range, whole, most): the ranges of places with a hit or a partial one of each query, by what its words can score there.
+
+    ``whole``: every word can reach the threshold, so only there are ranked places.  ``most``: the largest sum of scores.  In ranges
+    that are not listed no word reaches the threshold.
+    """
+    listed = only(index.bounds, "word", few(resolved, "candidate")).withColumnRenamed("word", "candidate").join(resolved, "candidate")
+    at_most = listed.where(~F.col("names_only") | F.col("named")).groupBy("word", "range").agg(F.max(gain(F.col("named"), params)).alias("score"))
+    by_query = asked.join(at_most, "word").groupBy("query_id", "range", "k").agg(F.sort_array(F.collect_list(F.struct("i", "score"))).alias("s"))
+    known = by_query.join(queries.select("query_id", "threshold"), "query_id").withColumn("scores", F.transform("s", lambda x: x["score"]))
+    good = F.size(F.filter("scores", lambda x: x >= F.col("threshold")))
+    return known.withColumn("good", good).where("good > 0").select("query_id", "range", (F.col("good") == F.col("k")).alias("whole"), total("scores").alias("most"))
 
 
 def grid(tallied: DataFrame, asked: DataFrame) -> DataFrame:
@@ -224,13 +253,46 @@ def judged_places(index: Index, queries: DataFrame, params: SearchParams = Searc
     """
     asked = settle(tokens(queries))
     resolved = settle(resolve(asked, index, params))
-    scored = grid(tally(asked, resolved, index.pairs, params), asked)
-    return asked, settle(classified(scored, queries).where("kind is not null"))
+    return asked, _kinds(asked, resolved, queries, index, params)
+
+
+def _kinds(asked: DataFrame, resolved: DataFrame, queries: DataFrame, index: Index, params: SearchParams, spans: DataFrame | None = None) -> DataFrame:
+    scored = grid(tally(asked, resolved, index.pairs, params, spans), asked)
+    return settle(classified(scored, queries).where("kind is not null"))
+
+
+def needed_places(index: Index, queries: DataFrame, params: SearchParams = SearchParams(), early: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`judged_places`, without partly matched places that no hit can come from.
+
+    With ``early``, first only ranges of places in which every word can reach the threshold are read.  Queries that have
+    their hits then need no partial ones; for the others the rest is read, except ranges whose largest sum lies below the
+    ``max_incomplete``-th partial one already found.  It pays where most queries find enough hits; the hits are the same.
+    """
+    asked = settle(tokens(queries))
+    resolved = settle(resolve(asked, index, params))
+    if not early:
+        return asked, _kinds(asked, resolved, queries, index, params)
+    ranges = settle(reach(asked, resolved, queries, index, params))
+    kinds = _kinds(asked, resolved, queries, index, params, ranges.where("whole"))
+    rest = settle(still_open(ranges, kinds, queries, params))
+    if few(rest, "query_id", 0) is None:
+        kinds = kinds.unionByName(_kinds(asked, resolved, queries, index, params, rest))
+    return asked, kinds
+
+
+def still_open(ranges: DataFrame, kinds: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+    """(query_id, range): the ranges not yet read that could give a query without enough ranked places another partial one."""
+    ranked = kinds.where("kind = 'ranked'").groupBy("query_id").agg(F.count("*").alias("nr"))
+    short = queries.select("query_id", "lim").join(ranked, "query_id", "left").where(F.coalesce("nr", F.lit(0)) < F.col("lim")).select("query_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("sum").desc())
+    partial = kinds.where("kind = 'partial'").join(short, "query_id").select("query_id", total("scores").alias("sum"))
+    floor = partial.withColumn("rn", F.row_number().over(order)).where(F.col("rn") == params.max_incomplete).select("query_id", F.col("sum").alias("floor"))
+    return ranges.where("not whole").join(short, "query_id").join(floor, "query_id", "left").where("floor is null or most >= floor").select("query_id", "range")
 
 
-def search(index: Index, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
+def search(index: Index, queries: DataFrame, params: SearchParams = SearchParams(), early: bool = False) -> DataFrame:
     """Ranked hits of ``queries`` (query_id, text, lim, threshold, lat, lon); lat and lon null without an origin."""
-    asked, kinds = judged_places(index, queries, params)
+    asked, kinds = needed_places(index, queries, params, early)
     return rank(kinds, complete(kinds, asked, index.by_place, params), asked, index.places, queries, params)
 
 
