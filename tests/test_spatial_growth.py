@@ -69,3 +69,11 @@ def test_shapes_keep_their_digits(spark, tmp_path):
     spark.createDataFrame([(6800, "c", "M"), (60, "d", "M")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("N"), "id").alias("n_name")).write.parquet(f"{tmp_path}/nation.parquet")
     assert [r["place_id"] for r in QUERIES["point_in_slanted_area"](spark, str(tmp_path)).collect()] == [60]
+
+
+def test_a_centroid_is_found_once(spark, tmp_path):
+    """The plan names the sum over a shape once; before, each column and filter summed it anew."""
+    spark.createDataFrame([(k, f"c{k}", "M") for k in range(6)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["located_points"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(flatten(") == 1
+    assert found.count() == 6

@@ -67,7 +67,8 @@ def located(objects: DataFrame) -> DataFrame:
     point = F.when(F.col("osm_type") == "n", F.struct("lon", "lat")).otherwise(
         F.coalesce(F.when(F.size("polys") > 0, polygons_centroid(F.col("polys"))), F.when(F.size("line") > 0, line_centroid(F.col("line"))))
     )
-    return objects.withColumn("_at", point).withColumns({"lon": F.col("_at.lon"), "lat": F.col("_at.lat")}).drop("_at").where("lon is not null and lat is not null")
+    # Exploded, so that each column and the filter do not find it anew.
+    return objects.withColumn("_at", F.explode_outer(F.array(point))).withColumns({"lon": F.col("_at.lon"), "lat": F.col("_at.lat")}).drop("_at").where("lon is not null and lat is not null")
 
 
 def name_variants(objects: DataFrame, key: str = "place_id") -> DataFrame:
