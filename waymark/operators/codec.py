@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waymark.operators.index import postings, varint_bytes
+from waymark.operators.index import map_runs
 
 MOST_BYTES = 9  # of a number below 2 ** 63
 
@@ -45,7 +46,7 @@ def from_bytes(data: np.ndarray) -> np.ndarray:
 
 
 def _body(batch: pa.RecordBatch) -> pa.RecordBatch:
-    lists = batch.column(2)
+    lists = batch.column(3)
     refs, bounds = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     inner = np.ones(len(refs), dtype=bool)
     inner[bounds[:-1]] = False
@@ -60,20 +61,19 @@ def _body(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def encode(pairs: DataFrame) -> DataFrame:
     """(word, range, places, first, last, body) for ``pairs`` (word, place_id, named)."""
+    return map_runs(pairs.where("place_id is not null"), _body, "word string, range bigint, places bigint, first bigint, last bigint, body binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(_body, batches)
-
-    return postings(pairs).select("word", "range", "postings").mapInArrow(run, "word string, range bigint, places bigint, first bigint, last bigint, body binary")
 
-
-def decode(blocks: DataFrame) -> DataFrame:
-    """(word, range, postings) for ``blocks`` (word, range, places, first, body)."""
+def decode(blocks: DataFrame, *also: str) -> DataFrame:
+    """(word, range, postings) for ``blocks`` (word, range, places, first, body), and the columns ``also`` as they are."""
+    kept = blocks.select("word", "range", *also, F.col("places").alias("_n"), F.col("first").alias("_first"), "body")
+    fields = [*kept.schema.fields[: 2 + len(also)], T.StructField("postings", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, first = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            data = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8)
+            *own, places, firsts, body = batch.columns
+            counts, first = places.to_numpy(), firsts.to_numpy()
+            data = np.frombuffer(b"".join(body.to_pylist()), dtype=np.uint8)
             bounds = np.r_[0, np.cumsum(counts)]
             steps = np.zeros(bounds[-1], dtype=np.int64)
             inner = np.ones(len(steps), dtype=bool)
@@ -81,19 +81,9 @@ def decode(blocks: DataFrame) -> DataFrame:
             steps[inner] = from_bytes(data)
             total = np.cumsum(steps)
             refs = total + np.repeat(first - total[bounds[:-1]], counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(refs))], names=["word", "range", "postings"])
-
-    return blocks.select("word", "range", "places", "first", "body").mapInArrow(run, "word string, range bigint, postings array<bigint>")
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(refs))], names=[f.name for f in fields])
 
-
-def heads(blocks: DataFrame) -> DataFrame:
-    """(word, range, step, step_bytes): how far each block's first ref is from the last one of the block before.
-
-    Only the skip entries of a word are put in order, never its bodies.
-    """
-    along = Window.partitionBy("word").orderBy("range")
-    step = F.col("first") - F.coalesce(F.lag("last").over(along), F.lit(0))
-    return blocks.select("word", "range", step.alias("step")).withColumn("step_bytes", varint_bytes(F.col("step")))
+    return kept.mapInArrow(run, T.StructType(fields))
 
 
 def head_bytes(step):
@@ -105,6 +95,10 @@ def head_bytes(step):
 
 
 def streams(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with ``data``: the block's part of the word's whole postings, head and body."""
-    found = heads(blocks)
-    return blocks.join(found.select("word", "range", "step"), ["word", "range"]).withColumn("data", F.concat(head_bytes(F.col("step")), "body")).drop("step")
+    """``blocks`` with ``data``: the block's part of the word's whole postings, head and body.
+
+    The blocks of a word are put in order, one for each range of places that holds it; each passes by once.
+    """
+    along = Window.partitionBy("word").orderBy("range")
+    step = F.col("first") - F.coalesce(F.lag("last").over(along), F.lit(0))
+    return blocks.withColumn("step", step).withColumn("data", F.concat(head_bytes(F.col("step")), "body")).drop("step")
