@@ -37,6 +37,10 @@ def test_runs_go_on_over_batches_and_keep_repeats_and_nulls(spark):
     assert "collect_list" not in plan(index.postings(pairs))
 
 
+def test_codec_passes_the_blocks_once(spark):
+    assert "Join" not in plan(QUERIES["postings_codec"](spark, "/root/testdata/sf0.001"))
+
+
 def test_words_need_neither_cleaning_nor_patterns_of_whole_texts(spark):
     found = plan(QUERIES["postings_bytes"](spark, "/root/testdata/sf0.001"))
     assert "covered_words" in found and "regexp_replace(text" not in found and "(?U)" not in found
