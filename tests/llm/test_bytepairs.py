@@ -107,3 +107,36 @@ def test_query_equals_the_library(spark, theirs):
         ids = theirs.encode_ordinary(r["text"] or "")
         want[r["doc_id"]] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
     assert got == want
+
+
+def test_remembered_words_are_not_hashed_for_each_slice(monkeypatch):
+    """The hash tables that look-ups build have the common words and those of the batch, never all remembered ones."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rnd = random.Random(3)
+    known = pa.array([f"w{k}" for k in range(5000)])
+    words = [[f"w{min(rnd.randrange(6000), rnd.randrange(6000), rnd.randrange(6000))}" for _ in range(n)] for n in (0, 40, 3, 0, 200, 1, 90, 0, 70, 300)]
+    batch, common = pa.RecordBatch.from_arrays([pa.array(words)], names=["words"]), pa.array(np.arange(0, 50, dtype=np.int32)[::-1])
+    sizes, own = [], pc.index_in
+    monkeypatch.setattr(pc, "index_in", lambda values, value_set: sizes.append(len(value_set)) or own(values, value_set=value_set))
+    monkeypatch.setattr(bytepairs, "_slices", lambda batch, column: (batch.slice(k, 2) for k in range(0, len(batch), 2)))
+    for together in (1, 3, 8):
+        monkeypatch.setattr(bytepairs, "TOGETHER", together)
+        got = [(part.column(0).to_pylist(), at.to_pylist()) for part, at in bytepairs._looked_up(batch, 0, known, common)]
+        assert [row for rows, _ in got for row in rows] == words
+        assert [k for _, at in got for k in at] == [int(w[1:]) if int(w[1:]) < len(known) else None for row in words for w in row]
+    assert max(sizes) <= sum(map(len, words))
+    assert [(len(p), len(at)) for p, at in bytepairs._looked_up(batch, 0, known.slice(0, 0), common.slice(0, 0))] == [(2, len(words[k]) + len(words[k + 1])) for k in range(0, 10, 2)]
+
+
+def test_short_words_merge_over_numbers(spark, ranks, theirs):
+    """Up to the longest word that the fold over numbers takes, and beyond; its state holds no strings or structs, which lambdas would copy."""
+    rnd = random.Random(12)
+    words = sorted({"".join(rnd.choice("abeinrst üß漢") for _ in range(n)) for n in range(1, 70) for _ in range(4)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r["word"]: list(r["ids"]) for r in bytepairs.encode_words(df, ranks).collect()} == {w: merged(w.encode(), ranks) for w in words}
+    held = bytepairs.rank_map(ranks)
+    fold = df.select(bytepairs.bound(held, lambda h: bytepairs.Merges(h)._short(F.hex("word"))).alias("ids"), F.length(F.hex("word")).alias("n"), "word").where(F.col("n") <= 2 * bytepairs.MOST)
+    assert {r["word"]: list(r["ids"]) for r in fold.collect()} == {w: merged(w.encode(), ranks) for w in words if len(w.encode()) <= bytepairs.MOST}

@@ -7,8 +7,9 @@ so that a look-up takes constant time.
 
 The distinct words that a sample of ``SAMPLE`` rows holds (the commonest ``REMEMBERED`` of them) are folded once, and go to the tasks as
 one bounded table; the few occurrences of other words are folded where they stand, by the same fold.  What is remembered
-only saves work: no id depends on it.  Documents are neither shuffled nor written.  Ids are put together, and decoded by joining
-their binary pieces, as whole Arrow arrays.
+only saves work: no id depends on it.  Words are looked up among the ``COMMON`` commonest first, since a hash table of all is
+costly to build.  Documents are neither shuffled nor written.  Ids are put together, and decoded by joining their binary
+pieces, as whole Arrow arrays.
 
 Short words merge the leftmost lowest pair in each step.  Longer ones merge all pairs of the lowest rank at once, so that a
 run of a million equal signs takes twenty steps; that gives the same parts, unless a merged part has a
@@ -40,6 +41,8 @@ from waymark.llm._common import lean, table
 
 RANKS, SLOTS, SHORT, ROUND = "byte_bpe_multi_50k.tiktoken", 1 << 15, 32, 64
 REMEMBERED, SAMPLE, LONGEST, AT_ONCE = 1 << 20, 50_000, 64, 1 << 19
+COMMON, TOGETHER = 1 << 16, 8
+PLACE, NONE, MARK, MOST = 8, 1 << 40, 1 << 62, 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,21 +102,40 @@ class Merges:
         signs = F.regexp_extract_all(word, F.lit(".."), F.lit(0))  # one pass: substrings of a long text would count its signs again and again
         return bound(signs, lambda parts: F.struct(parts.alias("parts"), F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), lambda a, b: self.rank(F.concat(a, b))).alias("ranks")))
 
-    def _leftmost(self, state: Column) -> Column:
-        """The state with its leftmost pair of the lowest rank merged, or as it is if no pair has a rank."""
-        parts, ranks = state["parts"], state["ranks"]
-
-        def merged(at: Column, whole: Column) -> Column:
-            before = F.when(at > 1, F.array(self.rank(F.concat(F.get(parts, at - 2), whole)))).otherwise(F.array().cast("array<int>"))
-            after = F.when(at < F.size(ranks), F.array(self.rank(F.concat(whole, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(whole), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, F.size(parts))).alias("ranks"),
-            )
-
-        at = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        step = bound(at, lambda at: bound(F.concat(F.get(parts, at - 1), F.get(parts, at)), lambda whole: merged(at, whole)))
-        return F.when(F.array_min(ranks).isNull(), state).otherwise(step)
+    def _short(self, word: Column) -> Column:
+        """The ids of a word of at most ``MOST`` bytes: its leftmost pair of the lowest rank merges in each step.
+
+        The state is an array of numbers: a mask of the bytes where parts start, above all others by ``MARK``, then for each part the rank of
+        it with the next one, or ``NONE``, and behind that the byte where it starts.  So the least number is the leftmost lowest pair,
+        parts are cut from the word, and the mask tells a part's place; lambdas copy what they return, which costs little for numbers.
+        """
+        size = F.shiftright(F.length(word), 1)
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+        start = lambda number: number.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
+        piece = lambda low, high: F.substr(word, 2 * low + 1, 2 * (high - low))
+        none = lambda low: F.lit(NONE) + low
+
+        def pair(low: Column, high: Column) -> Column:
+            return F.coalesce(F.shiftleft(self.rank(piece(low, high)).cast("bigint"), PLACE), F.lit(NONE)) + low
+
+        def merged(state: Column, low: Column, at: Column) -> Column:
+            end = lambda k: F.coalesce(start(F.get(state, k)), size)
+            mask = F.get(state, F.lit(0)) - bit(start(F.get(state, at + 1)))
+            new = F.when(at + 2 < F.size(state), pair(low, end(at + 3))).otherwise(none(low))
+            rest = F.slice(state, at + 3, F.size(state))
+            met = bound(start(F.get(state, at - 1)), lambda before: pair(before, end(at + 2)))
+            return F.when(at > 1, F.concat(F.array(mask), F.slice(state, F.lit(2), at - 2), F.array(met, new), rest)).otherwise(F.concat(F.array(mask, new), rest))
+
+        def step(state: Column, _: Column) -> Column:
+            place = lambda low: F.bit_count(F.get(state, F.lit(0)).bitwiseAND(bit(low) - 1)) + 1
+            go = lambda least: bound(start(least), lambda low: bound(place(low), lambda at: merged(state, low, at)))
+            return bound(F.array_min(state), lambda least: F.when(least >= NONE, state).otherwise(go(least)))
+
+        def done(state: Column) -> Column:
+            return F.transform(F.slice(state, F.lit(2), F.size(state)), lambda x, k: F.shiftright(self.rank(piece(start(x), F.coalesce(start(F.get(state, k + 2)), size))), 1))
+
+        begun = F.transform(F.sequence(F.lit(0), size - 1), lambda low: F.when(low + 1 < size, pair(low, low + 2)).otherwise(none(low)))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.concat(F.array(F.lit(MARK) + (bit(size) - 1)), begun), step, done)
 
     def _all(self, state: Column) -> Column:
         """The state with all pairs of the lowest rank merged, from left to right, or just the leftmost where a merged part has a lower rank with a neighbour."""
@@ -148,15 +170,14 @@ class Merges:
     def ids(self, word: Column) -> Column:
         """The ids of a word in hexadecimal, which is not empty."""
         number = lambda piece: F.shiftright(self.rank(piece), 1)
-        steps = F.sequence(F.lit(1), F.greatest((F.length(word) / 2).cast("int") - 1, F.lit(1)))
         done = lambda state: F.transform(state["parts"], number)
-        short = F.aggregate(steps, self._parts(word), lambda state, _: self._leftmost(state), done)
         begun = bound(self._parts(word), lambda s: F.struct(s["parts"].alias("parts"), s["ranks"].alias("ranks"), F.array_min(s["ranks"]).alias("best"), F.lit(None).cast("int").alias("low")))
         # Rounds of steps: a fold cannot end early, but a round that has nothing to merge is passed over whole.
         rounds = F.sequence(F.lit(1), F.greatest((F.length(word) / (2 * ROUND)).cast("int") + 1, F.lit(1)))
         several = lambda state: F.aggregate(F.sequence(F.lit(1), F.lit(ROUND)), state, lambda s, _: self._all(s))
         long = F.aggregate(rounds, begun, lambda state, _: F.when(state["best"].isNull(), state).otherwise(several(state)), done)
-        return bound(number(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) <= 2 * SHORT, short).otherwise(long))
+        short = bound(word, self._short)
+        return bound(number(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) <= 2 * min(SHORT, MOST), short).otherwise(long))
 
 
 def _ranges(codes: list[int]) -> str:
@@ -224,18 +245,18 @@ def _classed(pattern: str) -> str:
 
 
 def frequent_words(docs: DataFrame, own: str, most: int = REMEMBERED, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
-    """(word): the commonest words, at most ``most`` of at most ``longest`` characters, of about ``sample`` rows of ``docs`` (text)."""
+    """(word, n): the commonest words with their counts, at most ``most`` of at most ``longest`` characters, of about ``sample`` rows of ``docs`` (text)."""
     share = max(1, docs.count() // max(1, sample))
     some = docs.withColumn("k", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0)
     # An outer explode: Spark adds no filter on the size, which would cut every text twice.
     found = some.select(F.explode_outer(F.regexp_extract_all("text", F.lit(own), F.lit(0))).alias("word")).where(F.length("word") <= longest)
-    return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(most).select("word")
+    return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
 
 
 def encode_words(found: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids) for the words ``found``: their token ids."""
+    """The words ``found`` (word and any others) with ``ids``, their token ids."""
     # The constant map is bound once a row, so that the plan names it once.
-    return found.select("word", bound(rank_map(ranks), lambda held: Merges(held).ids(F.hex("word"))).alias("ids"))
+    return found.select(*found.columns, bound(rank_map(ranks), lambda held: Merges(held).ids(F.hex("word"))).alias("ids"))
 
 
 def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -253,10 +274,36 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = AT_ONCE) -> Iterator
         low = high
 
 
-def _known_ids(lists: pa.Array, known: pa.Array, ids: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """For lists of words the ids of known ones in turn, -1 for each other word, and the lists of these."""
+def _places(words: pa.Array, known: pa.Array) -> pa.Array:
+    """Where each of ``words`` is in ``known``, null if nowhere.  Only the distinct words, not ``known``, are put into a hash table."""
+    coded = words.dictionary_encode()
+    at = pc.index_in(known, value_set=coded.dictionary)
+    place = np.full(len(coded.dictionary), -1, dtype=np.int32)
+    place[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    found = place[coded.indices.to_numpy()]
+    return pa.array(found, mask=found < 0)
+
+
+def _looked_up(batch: pa.RecordBatch, column: int, known: pa.Array, common: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The slices of a batch, each with the places in ``known`` of the words in its lists, null for each other word.
+
+    Most words are among the few at the places ``common``.  The others of several slices are looked up at once, since each look-up passes over ``known``.
+    """
+    hot, slices = known.take(common), list(_slices(batch, column))
+    for low in range(0, len(slices), TOGETHER):
+        group = slices[low : low + TOGETHER]
+        flats = [part.column(column).flatten() for part in group]
+        held = [common.take(pc.index_in(flat, value_set=hot)) for flat in flats]
+        others = [flat.filter(at.is_null()) for flat, at in zip(flats, held, strict=True)]
+        places, start = _places(pa.concat_arrays(others), known), 0
+        for part, at, other in zip(group, held, others, strict=True):
+            yield part, pc.replace_with_mask(at, at.is_null(), places.slice(start, len(other)))
+            start += len(other)
+
+
+def _known_ids(lists: pa.Array, at: pa.Array, ids: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """For lists of words, whose ids are at the places ``at``, the ids in turn, -1 for each word without a place, and the lists of these."""
     flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    at = pc.index_in(flat, value_set=known)
     missing = at.is_null().to_numpy(zero_copy_only=False)
     held = ids.take(at.drop_null())
     sizes = np.ones(len(flat), dtype=np.int64)
@@ -324,13 +371,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, remembered: i
     pieces = spark.sparkContext.broadcast(_piece_array(ranks))  # the tokenizer's pieces
     tasks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = encode_words(frequent_words(docs.select("text"), own, remembered, sample).repartition(tasks), ranks).toArrow()  # at most ``remembered`` short words
-    shared = spark.sparkContext.broadcast((_one(table["word"]), _one(table["ids"])))
+    common = np.argsort(-table["n"].to_numpy(), kind="stable")[:COMMON].astype(np.int32)
+    shared = spark.sparkContext.broadcast((_one(table["word"]), _one(table["ids"]), pa.array(common)))
     rows = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(own), F.lit(0)).alias("words"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, each, common = shared.value
         for batch in batches:
-            for part in _slices(batch, 1):
-                coded, rare = _known_ids(part.column(1), *shared.value)
+            for part, at in _looked_up(batch, 1, known, common):
+                coded, rare = _known_ids(part.column(1), at, each)
                 yield pa.RecordBatch.from_arrays([part.column(0), coded, rare], names=["row", "coded", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
